@@ -230,6 +230,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("int")
     return e.select(
+        "event_id",
         F.col("event_type").alias("model"),
         (F.col("user_id") % 20).alias("prompt"),
         F.concat(F.lit("c"), (F.col("user_id") % 4).cast("string")).alias("category"),

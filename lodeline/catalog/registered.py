@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from lodeline.catalog import telemetry  # noqa: F401
+from lodeline.catalog import profiles, telemetry  # noqa: F401

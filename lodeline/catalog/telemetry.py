@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodeline.catalog import query
-from lodeline.catalog.fixtures import LAB, RAW, REQ, TEL, ntz, r6, raw_ratings, requests, table, telemetry
+from lodeline.catalog.fixtures import LAB, RAW, REQ, TEL, ntz, r6, raw_ratings, requests, scores, table, telemetry
 from lodeline.functions.scalar import classify_threshold, flag_threshold, shape_features
 from lodeline.operators.checks import expect
 from lodeline.operators.clean import drop_incomplete, staging_cast
@@ -100,17 +100,14 @@ def _(spark, sf):
        FROM events GROUP BY 1, 2, 3""",
 )
 def _(spark, sf):
-    # One nested file object per model and user keeps every array short.
-    from lodeline.catalog.fixtures import scores
-
+    # One nested object per model and stretch of 1000 events keeps every array short.
     path = work_dir(spark, "results-json")
-    s = scores(spark, sf).withColumn("part", F.floor(F.rand(1) * 64))
+    s = scores(spark, sf).withColumn("part", F.floor(F.col("event_id") / 1000))
     nested = s.groupBy("model", "part").agg(
         F.collect_list(F.struct("prompt", "category", "score", "speed", "ram")).alias("results")
     )
     nested.select("model", "results").write.json(path)
-    df = spark.read.schema("model string, results array<struct<prompt: long, score: int>>").json(path)
-    df = df.select("model", F.explode("results").alias("r")).select("model", "r.*")
+    df = readers.scan_nested_results(spark, path, multi_line=False)
     return df.groupBy("model", "prompt", "score").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -118,10 +115,9 @@ def _(spark, sf):
 def _(spark, sf):
     path = work_dir(spark, "document-files")
     d = table(spark, sf, "documents").select("source", "text")
-    d.write.partitionBy("source").text(path)
-    names = (
-        d.select("source").distinct().select(F.col("source").alias("file"), F.concat("source", F.lit(".txt")).alias("original"))
-    )
+    d.write.option("maxRecordsPerFile", 64).partitionBy("source").text(path)
+    listed = readers.list_files(spark, path, max_items=None).select(F.col("name").alias("file"))
+    names = listed.withColumn("original", F.concat(F.lit("upload-"), "file"))
     files = readers.scan_documents_dir(spark, f"{path}/*", names)
     return files.select("file", "original", F.length("text").alias("chars"))
 
@@ -129,7 +125,7 @@ def _(spark, sf):
 @query("list_files")
 def _(spark, sf):
     path = work_dir(spark, "listed-files")
-    table(spark, sf, "documents").select("source", "text").write.partitionBy("source").text(path)
+    table(spark, sf, "documents").select("source", "text").write.option("maxRecordsPerFile", 64).partitionBy("source").text(path)
     return readers.list_files(spark, path, glob="*.txt", max_items=50)
 
 

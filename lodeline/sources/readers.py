@@ -121,10 +121,10 @@ def json_line_events(spark: SparkSession, path: str, *, files_per_trigger: int =
     )
 
 
-def scan_nested_results(spark: SparkSession, path: str) -> DataFrame:
+def scan_nested_results(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
     """Benchmark result files: one row per model and prompt."""
     schema = "model string, results array<struct<prompt: long, category: string, score: int, speed: double, ram: double>>"
-    nested = spark.read.schema(schema).option("multiLine", "true").json(path)
+    nested = spark.read.schema(schema).option("multiLine", multi_line).json(path)
     return nested.select("model", F.explode("results").alias("r")).select("model", "r.*")
 
 
@@ -139,9 +139,9 @@ def scan_documents_dir(spark: SparkSession, path: str, names: DataFrame | None =
     return joined.withColumn("original", F.coalesce("_o", "file")).drop("_o")
 
 
-def list_files(spark: SparkSession, path: str, *, glob: str = "*", max_items: int = 200) -> DataFrame:
+def list_files(spark: SparkSession, path: str, *, glob: str = "*", max_items: int | None = 200) -> DataFrame:
     """Name, type and size of the files that match; contents are not read."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     listed = df.select(name.alias("name"), F.lit("file").alias("type"), F.col("length").alias("size"))
-    return listed.orderBy("name").limit(max_items)
+    return listed.orderBy("name").limit(max_items) if max_items else listed
