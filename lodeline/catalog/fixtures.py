@@ -192,7 +192,7 @@ MEM = """mem AS (
 
 
 def _sql_words(text: str) -> str:
-    return f"len(list_filter(regexp_split_to_array({text}, '\\s+'), w -> w <> ''))"
+    return f"len(list_filter(regexp_split_to_array({text}, '\\s+'), lambda w: w <> ''))"
 
 
 # Turn log made of conversations.
