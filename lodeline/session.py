@@ -49,3 +49,10 @@ def work_dir(spark: SparkSession, name: str) -> str:
         base = os.path.join(tempfile.gettempdir(), f"lodeline-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df, name: str = "step"):
+    """The same rows read back from a table in the shared folder, with the lineage cut."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
