@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from lodeline.catalog import context, corpus, learning, profiles, recommend, telemetry, timeline  # noqa: F401
+from lodeline.catalog import context, corpus, learning, profiles, recommend, streams, telemetry, timeline  # noqa: F401
