@@ -174,7 +174,23 @@ def _(spark, sf):
     return made.select("key", "type", "id", "tokens", "rank")
 
 
-@query("memory_upsert_versions")
+UPSERT = f"""{MEM}, o AS (SELECT id, type, key, ts, confidence, row_number() OVER (PARTITION BY type, key ORDER BY ts, id) AS i FROM mem),
+walk AS (
+  SELECT type, key, i, id, confidence, confidence AS c, ts AS t, TRUE AS won, CAST(1 AS BIGINT) AS wins FROM o WHERE i = 1
+  UNION ALL
+  SELECT type, key, i, id, confidence, CASE WHEN win THEN confidence ELSE c END, CASE WHEN win THEN ts ELSE t END, win,
+         CASE WHEN win THEN wins + 1 ELSE wins END
+  FROM (SELECT o.*, w.c, w.t, w.wins, CASE WHEN abs(o.confidence - w.c) > CAST(0.1 AS DOUBLE) THEN o.confidence > w.c ELSE o.ts >= w.t END AS win
+        FROM walk w JOIN o ON o.type = w.type AND o.key = w.key AND o.i = w.i + 1)),
+res AS (SELECT *, CASE WHEN won THEN wins ELSE 1 END AS version, CASE WHEN won THEN confidence ELSE least(confidence, 0.5) END AS kept,
+               max(wins) OVER (PARTITION BY type, key) AS top FROM walk)"""
+
+
+@query(
+    "memory_upsert_versions",
+    f"""WITH RECURSIVE {UPSERT} SELECT id, type, key, CASE WHEN NOT won THEN 'kept' WHEN wins = top THEN 'current' ELSE 'replaced' END AS state,
+          version, kept AS confidence FROM res""",
+)
 def _(spark, sf):
     made = ctx.memory_upsert(memory(spark, sf).drop("text"))
     return made.select("id", "type", "key", "state", "version", "confidence")

@@ -85,7 +85,21 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", snippet(t, 280).alias("preview"), snippet(t, 200, "…").alias("short"))
 
 
-@query("main_text")
+def _main_text_sql(html: str) -> str:
+    t = f"regexp_replace({html}, '(?is)<!--.*?-->', ' ', 'g')"
+    for tag in ("script", "style", "nav"):
+        t = f"regexp_replace({t}, '(?is)<{tag}[^>]*>.*?</{tag}>', ' ', 'g')"
+    t = f"regexp_replace({t}, '(?is)<head[^>]*>.*?</head>', ' ', 'g')"
+    block = "(?i)<(?:/p|/div|/h[1-6]|/li|/tr|/article|/section|/ul|/ol|/table|br)[^>]*>"
+    t = f"regexp_replace({t}, '{block}', chr(10), 'g')"
+    t = f"regexp_replace({t}, '<[^>]+>', ' ', 'g')"
+    for entity, char in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&nbsp;", "' '"), ("&amp;", "'&'")):
+        t = f"replace({t}, '{entity}', {char})"
+    t = f"regexp_replace({t}, '[ \\t\\r\\f]+', ' ', 'g')"
+    return f"trim(regexp_replace({t}, '[ ]*\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10))"
+
+
+@query("main_text", f"SELECT page_id, {_main_text_sql('html')} AS text FROM pages")
 def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", tx.main_text(F.col("html")).alias("text"))
 
@@ -210,7 +224,7 @@ def replies(spark, sf):
     payload = F.to_json(
         F.struct(
             F.array(F.struct(head.alias("text"), F.col("role").alias("key"), F.lit(0.9).alias("confidence"))).alias("decisions"),
-            F.array(F.struct(F.upper(head).alias("summary"), F.array(F.lit("coder")).alias("roles"))).alias("facts"),
+            F.array(F.struct(F.concat(F.lit("Noted: "), head).alias("summary"), F.array(F.lit("coder")).alias("roles"))).alias("facts"),
             F.array().cast("array<string>").alias("plans"),
         )
     )
@@ -225,7 +239,16 @@ def replies(spark, sf):
     return c.select("conv_id", "turn", F.col("role").alias("agent"), reply.alias("reply"))
 
 
-@query("extract_json_span")
+@query(
+    "extract_json_span",
+    r"""WITH h AS (SELECT conv_id, turn, role, substr(regexp_replace(text, '\s+', ' ', 'g'), 1, 40) AS head FROM conversations)
+        SELECT conv_id, turn, 'decision' AS type, head AS text, CAST(0.9 AS DOUBLE) AS confidence, 'planner' AS roles, 'plan' AS stages
+        FROM h WHERE conv_id % 5 IN (0, 1)
+        UNION ALL SELECT conv_id, turn, 'fact', 'Noted: ' || head, 0.7, 'planner,coder', 'plan' FROM h WHERE conv_id % 5 IN (0, 1)
+        UNION ALL SELECT conv_id, turn, 'fact', trim(CASE conv_id % 5 WHEN 2 THEN '{"decisions": [' || head
+            WHEN 3 THEN '```python' || chr(10) || head || chr(10) || '```' ELSE head END), 0.6, 'planner', 'plan'
+        FROM h WHERE conv_id % 5 IN (2, 3, 4)""",
+)
 def _(spark, sf):
     items = records.extract_items(replies(spark, sf), text="reply", roles=["planner"], stages=["plan"])
     return items.select(
@@ -363,7 +386,15 @@ def _(spark, sf):
     return conv.render_chat_template(table(spark, sf, "conversations"))
 
 
-@query("stage_progression")
+@query(
+    "stage_progression",
+    """WITH s AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'planner' WHEN 'assistant' THEN 'coder' ELSE 'reviewer' END AS spoken
+                 FROM conversations),
+       a AS (SELECT conv_id, min(turn) AS e0 FROM s WHERE spoken = 'planner' GROUP BY 1),
+       b AS (SELECT s.conv_id, min(turn) AS e1 FROM s JOIN a USING (conv_id) WHERE spoken = 'coder' AND turn > e0 GROUP BY 1)
+       SELECT conv_id, turn, spoken, CASE WHEN e0 IS NULL OR turn <= e0 THEN 'plan' WHEN e1 IS NULL OR turn <= e1 THEN 'execute'
+              ELSE 'review' END AS stage FROM s LEFT JOIN a USING (conv_id) LEFT JOIN b USING (conv_id)""",
+)
 def _(spark, sf):
     c = table(spark, sf, "conversations")
     spoken = F.when(F.col("role") == "user", "planner").when(F.col("role") == "assistant", "coder").otherwise("reviewer")

@@ -291,13 +291,17 @@ def _(spark, sf):
     return clean.label_encode(table(spark, sf, "part").select("p_partkey", "p_type"), "p_type")
 
 
-@query("numeric_feature_matrix")
+@query(
+    "numeric_feature_matrix",
+    f"""WITH {REQ} SELECT label, count(*) AS n, round(avg(user_id), 6) AS mean_0, round(avg(value), 6) AS mean_1,
+          round(avg(k), 6) AS mean_2 FROM req GROUP BY 1""",
+)
 def _(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
     made = clean.numeric_feature_matrix(requests(spark, sf), target="label", exclude=["unique_key"])
     v = vector_to_array("features")
-    return made.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *[F.avg(v[i]).alias(f"mean_{i}") for i in range(3)])
+    return made.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *[r6(F.avg(v[i])).alias(f"mean_{i}") for i in range(3)])
 
 
 # ---- keyed changes -------------------------------------------------------------------

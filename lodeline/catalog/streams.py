@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodeline.catalog import query
+from lodeline.catalog.context import UPSERT
 from lodeline.catalog.corpus import KEYWORDS
-from lodeline.catalog.fixtures import MEM, TEL, labeled, memory, ntz, r6, table, telemetry
+from lodeline.catalog.fixtures import TEL, labeled, memory, ntz, r6, table, telemetry
 from lodeline.catalog.telemetry import HOURLY, ROLL_COLS, _event_messages, _rolling_out, _rolling_sql
 from lodeline.functions.scalar import classify_threshold
 from lodeline.operators import corpus
@@ -52,7 +53,7 @@ def _(spark, sf):
     return spark.read.parquet(f"{out}/rows").select("event_id", "user_id", "value")
 
 
-@query("incremental_file_discovery")
+@query("incremental_file_discovery", "SELECT CAST(event_id % 2 AS INTEGER) AS run, count(*) AS n FROM events GROUP BY 1")
 def _(spark, sf):
     """Two runs over one folder: the second sees only the files added in between."""
     src, out = work_dir(spark, "growing"), work_dir(spark, "discovered")
@@ -124,7 +125,7 @@ def _(spark, sf):
     return df.select("doc_id", "quality", F.round("score0", 4).alias("score0"), F.round("score1", 4).alias("score1"), "pred")
 
 
-@query("stream_memory_upsert")
+@query("stream_memory_upsert", f"WITH RECURSIVE {UPSERT} SELECT id, won, version, kept AS confidence FROM res")
 def _(spark, sf):
     src, out = work_dir(spark, "stream-items"), work_dir(spark, "stream-upserts")
     m = memory(spark, sf).select("type", "key", "ts", "id", "confidence")

@@ -140,11 +140,11 @@ def null_profile(df: DataFrame) -> DataFrame:
 def exact_duplicates(df: DataFrame, cols: Sequence[str], *, hashed: bool = False) -> DataFrame:
     """Rows that repeat an earlier row on ``cols``; ``hashed`` groups long text by its SHA-256."""
     keys = [F.sha2(F.col(c), 256).alias(c) if hashed else F.col(c) for c in cols]
-    sizes = df.select(*keys).groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
+    sizes = df.select(*keys).groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
     return sizes.agg(
-        F.sum("n").alias("rows"),
-        F.sum(F.col("n") - 1).alias("duplicates"),
-        F.count_if(F.col("n") > 1).alias("duplicated_keys"),
+        F.sum("_n").alias("rows"),
+        F.sum(F.col("_n") - 1).alias("duplicates"),
+        F.count_if(F.col("_n") > 1).alias("duplicated_keys"),
     )
 
 

@@ -38,12 +38,12 @@ def expect(df: DataFrame, checks: Sequence[tuple]) -> DataFrame:
         one = df.agg(
             F.count(F.lit(1)).alias("rows"),
             *[
-                F.count_if(_failing(c[0], c[1], c[2] if len(c) > 2 else None)).alias(f"f{i}")
+                F.count_if(_failing(c[0], c[1], c[2] if len(c) > 2 else None)).alias(f"_f{i}")
                 for i, c in enumerate(row_checks)
             ],
         )
         entries = [
-            F.struct(F.lit(c[0]).alias("check"), F.lit(c[1]).alias("column"), F.col(f"f{i}").alias("failures"))
+            F.struct(F.lit(c[0]).alias("check"), F.lit(c[1]).alias("column"), F.col(f"_f{i}").alias("failures"))
             for i, c in enumerate(row_checks)
         ]
         reports.append(one.select("rows", F.inline(F.array(*entries))))
@@ -51,13 +51,13 @@ def expect(df: DataFrame, checks: Sequence[tuple]) -> DataFrame:
         if c[0] != "unique":
             continue
         cols = [c[1]] if isinstance(c[1], str) else list(c[1])
-        sizes = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
+        sizes = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
         reports.append(
             sizes.agg(
-                F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+                F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
                 F.lit("unique").alias("check"),
                 F.lit("+".join(cols)).alias("column"),
-                F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n") - 1)), F.lit(0)).alias("failures"),
+                F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n") - 1)), F.lit(0)).alias("failures"),
             )
         )
     out = reduce(DataFrame.unionByName, reports)

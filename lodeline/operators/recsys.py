@@ -72,7 +72,8 @@ def _pairs_by_block(ratings: DataFrame, weights: DataFrame, k: int, block_rows:
     where = placed.groupBy("item").agg(F.collect_set("blk").alias("others"))
     spread = placed.join(where, "item").select("blk", F.explode("others").alias("other"), "user", "item", "w")
     mine = spread.groupBy("blk", "other")
-    theirs = spread.select(F.col("other").alias("blk"), F.col("blk").alias("other"), "user", "item", "w").groupBy("blk", "other")
+    swapped = {"other": "blk", "blk": "other", "user": "user", "item": "item", "w": "w"}
+    theirs = spread.select(*[F.col(c).alias(name) for c, name in swapped.items()]).groupBy("blk", "other")
 
     def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
