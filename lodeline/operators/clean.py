@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeline.plans.hot_groups import row_frames, running
+from lodeline.plans.hot_groups import row_frames, row_positions, running
 
 SILVER_TYPES = {
     "device_id": "string",
@@ -67,10 +67,11 @@ def numeric_feature_matrix(df: DataFrame, *, target: str, exclude: Sequence[str]
 def label_encode(df: DataFrame, col: str, out: str = "code", classes: DataFrame | None = None) -> DataFrame:
     """Index of each class in sorted order; a value outside ``classes`` gets NULL.
 
-    The ranking runs over the distinct values, not over the rows.
+    The ranking runs over the distinct values, not over the rows, and is split into blocks
+    when there are very many (user or item ids).
     """
-    distinct = (classes or df).select(col).where(F.col(col).isNotNull()).distinct()
-    codes = distinct.withColumn(out, (F.row_number().over(Window.orderBy(col)) - 1).cast("long"))
+    distinct = (df if classes is None else classes).select(col).where(F.col(col).isNotNull()).distinct()
+    codes = row_positions(distinct, [], [col], name=out).withColumn(out, F.col(out) - 1)
     return df.join(codes, col, "left")
 
 

@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from lodeline.functions.text import SENSITIVE_PATTERNS, count_matches, words
 
 GRAM = 4
+# Terms are sent to every task only up to these sizes.
+MAX_SENT_TERMS = 50_000
+MAX_SENT_CHARS = 16_000_000
+
+
+def _longest(parts: Column) -> Column:
+    return F.aggregate(parts, F.lit(""), lambda x, w: F.when(F.length(w) > F.length(x), w).otherwise(x))
 
 
 def contained_terms(
@@ -22,6 +29,7 @@ def contained_terms(
     term: str = "term",
     case_insensitive: bool = False,
     whole_words: bool = False,
+    context: int | None = None,
 ) -> DataFrame:
     """Pairs where the term is a substring of the text, with its 1-based position.
 
@@ -30,59 +38,68 @@ def contained_terms(
     word of the text, so the longest inner word is the join key. A shorter term must lie
     within a word or across the border of two, so a four-character piece of its longest
     word is looked up among the pieces of the text's words.
+
+    While the terms are few (their size is checked) they are sent to the texts, and a text
+    never leaves its task. Otherwise only ids and keys are shuffled to find candidates, and
+    the texts join them once by id. ``context`` adds the text around the hit.
     """
     norm = (lambda c: F.lower(c)) if case_insensitive else (lambda c: c)
-    d = docs.select(F.col(doc_id).alias("_d"), norm(F.col(text)).alias("_text"))
     t = terms.select(F.col(term_id).alias("_t"), norm(F.col(term)).alias("_term")).filter(F.length("_term") > 0)
+    size = t.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("_term")), F.lit(0)).alias("chars")).first()
+    few = size["n"] <= MAX_SENT_TERMS and size["chars"] <= MAX_SENT_CHARS
     t = t.withColumn("_w", F.split("_term", r"\s"))
-    inner = F.filter(F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0))), lambda w: w != "")
-    longest = lambda a: F.aggregate(a, F.lit(""), lambda x, w: F.when(F.length(w) > F.length(x), w).otherwise(x))
-    t = t.withColumn("_anchor", longest(inner))
+    t = t.withColumn("_anchor", _longest(F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0)))))
     by_word = t.filter(F.col("_anchor") != "").select("_t", "_term", "_anchor")
-    tokens = F.array_distinct(F.filter(F.split("_text", r"\s"), lambda w: w != ""))
-    found = (
-        d.withColumn("_anchor", F.explode(tokens)).join(by_word, "_anchor").filter(F.col("_text").contains(F.col("_term")))
-    )
-    found = found.select("_d", "_t", "_text", "_term")
-
-    piece = F.substring(longest(F.col("_w")), 1, GRAM)
+    piece = F.substring(_longest(F.col("_w")), 1, GRAM)
     by_piece = t.filter(F.col("_anchor") == "").select("_t", "_term", piece.alias("_anchor"))
     lengths = sorted(r[0] for r in by_piece.select(F.length("_anchor").alias("n")).distinct().collect())
-    blank = [n for n in lengths if n == 0]
-    lengths = [n for n in lengths if n]
-    if lengths:
+    if 0 in lengths:
+        raise ValueError("terms made only of blanks cannot be searched")
 
-        def pieces_of(n: int) -> Column:
-            last = F.greatest(F.length("_word") - n + 1, F.lit(1))
-            return F.transform(F.sequence(F.lit(1), last), lambda i: F.col("_word").substr(i, F.lit(n)))
+    body = [F.col(text).alias("_orig"), norm(F.col(text)).alias("_text")]
+    source = docs.select(F.col(doc_id).alias("_d"), *body)
+    tokens = F.array_distinct(F.filter(F.split("_text", r"\s"), lambda w: w != ""))
 
-        grams = F.concat(*[pieces_of(n) for n in lengths])
-        pieces = d.withColumn("_word", F.explode(tokens)).withColumn("_anchor", F.explode(F.array_distinct(grams)))
-        near = pieces.join(by_piece, "_anchor").filter(F.col("_text").contains(F.col("_term")))
-        found = found.unionByName(near.select("_d", "_t", "_text", "_term").dropDuplicates(["_d", "_t"]))
-    if blank:
-        raise ValueError("terms made only of blanks cannot be searched")
+    def pieces_of(n: int) -> Column:
+        last = F.greatest(F.length("_word") - n + 1, F.lit(1))
+        return F.transform(F.sequence(F.lit(1), last), lambda i: F.col("_word").substr(i, F.lit(n)))
+
+    def keyed(by: DataFrame, anchors: Column, word: bool) -> DataFrame:
+        d = source if word else source.withColumn("_word", F.explode(tokens))
+        d = d.withColumn("_anchor", F.explode(anchors)).drop("_word")
+        if few:
+            return d.join(F.broadcast(by), "_anchor").filter(F.col("_text").contains(F.col("_term")))
+        pairs = d.select("_d", "_anchor").join(by.select("_t", "_anchor"), "_anchor").select("_d", "_t").distinct()
+        return pairs.join(source, "_d").join(by.select("_t", "_term"), "_t").filter(F.col("_text").contains(F.col("_term")))
+
+    cols = ["_d", "_t", "_term", "_orig", "_text"]
+    found = keyed(by_word, tokens, True).select(*cols)
+    if lengths:
+        grams = F.array_distinct(F.concat(*[pieces_of(n) for n in lengths]))
+        found = found.unionByName(keyed(by_piece, grams, False).select(*cols))
     if whole_words:
         edge = F.concat(F.lit(r"(^|\W)\Q"), F.col("_term"), F.lit(r"\E(\W|$)"))
         found = found.filter(F.regexp_like("_text", edge))
-    at = F.expr("instr(_text, _term)").cast("long")
-    return found.select(F.col("_d").alias(doc_id), F.col("_t").alias(term_id), at.alias("position"))
+    found = found.withColumn("position", F.expr("instr(_text, _term)").cast("long"))
+    out = [F.col("_d").alias(doc_id), F.col("_t").alias(term_id), F.col("position")]
+    if context is not None:
+        start = F.greatest(F.col("position") - context, F.lit(1))
+        stop = F.col("position") + F.length("_term") + context
+        around = F.col("_orig").substr(start.cast("int"), (stop - start).cast("int"))
+        out.append(F.replace(around, F.lit("\n"), F.lit(" ")).alias("context"))
+    made = found.select(*out)
+    # Several pieces of one text may lead to the same short term.
+    return made.dropDuplicates([doc_id, term_id]) if lengths and few else made
 
 
 def needle_presence(
     docs: DataFrame, needles: DataFrame, *, needle_id: str, needle: str, context: int = 60, case_insensitive: bool = False
 ) -> DataFrame:
     """Per needle and document: position and the text around it; absent needles have one row."""
-    terms = needles.select(F.col(needle_id), F.col(needle))
-    hits = contained_terms(docs, terms, term_id=needle_id, term=needle, case_insensitive=case_insensitive)
-    placed = hits.join(docs.select("doc_id", "text"), "doc_id").join(
-        terms.select(needle_id, F.length(needle).alias("_n")), needle_id
+    hits = contained_terms(
+        docs, needles, term_id=needle_id, term=needle, case_insensitive=case_insensitive, context=context
     )
-    start = F.greatest(F.col("position") - context, F.lit(1))
-    stop = F.col("position") + F.col("_n") + context
-    around = F.replace(F.col("text").substr(start.cast("int"), (stop - start).cast("int")), F.lit("\n"), F.lit(" "))
-    placed = placed.select(needle_id, "doc_id", "position", around.alias("context"))
-    return terms.select(needle_id).join(placed, needle_id, "left").withColumn("present", F.col("doc_id").isNotNull())
+    return needles.select(needle_id).join(hits, needle_id, "left").withColumn("present", F.col("doc_id").isNotNull())
 
 
 def lines(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -16,6 +16,7 @@ SIM_DIGITS = 9
 # Query vectors are sent to every task only up to this many numbers.
 MAX_SHARED_VALUES = 8_000_000
 BLOCK_VECTORS = 20_000
+MAX_SENT_ROWS = 1_000_000
 
 
 def centroids(df: DataFrame, *, group: str, vector: str) -> DataFrame:
@@ -160,7 +161,10 @@ def retrieve_topk_sources(
     top = cosine_topk(corpus, asked, k=k, id=doc_id, query=query)
     cut = F.when(F.length(text) > 200, F.concat(F.substring(text, 1, 200), F.lit("..."))).otherwise(F.col(text))
     meta = docs.withColumn("content", cut).drop(text).withColumnRenamed(doc_id, "id")
-    return top.join(meta, "id")
+    # A short result list is sent to the documents, so that the texts are not shuffled.
+    if queries.count() * k <= MAX_SENT_ROWS:
+        top = F.broadcast(top)
+    return meta.join(top, "id")
 
 
 def ann_topk(

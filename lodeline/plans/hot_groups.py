@@ -72,6 +72,8 @@ def split_groups(
 
     total = sum(r["count"] for r in long_groups)
     block_rows = max(limit, math.ceil(total / MAX_BLOCKS))
+    if keys == [_ALL]:
+        return Split(df.filter(F.lit(False)), _with_blocks(df, keys, names, block_rows), keys, names, limit)
     key_schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys])
     hot_keys = spark.createDataFrame([tuple(r[k] for k in keys) for r in long_groups], key_schema)
     same = _same_key(df, hot_keys, keys)

@@ -17,10 +17,10 @@ def new_rows(
 ) -> DataFrame:
     """Batch rows above the stored offset of their own partition.
 
-    The watermark has one row per topic partition, which bounds the broadcast.
+    The watermarks, one row per topic partition, come from a partial aggregation.
     """
     marks = target.groupBy(partition_col).agg(F.max(offset_col).alias("_mark"))
-    joined = batch.join(F.broadcast(marks), partition_col, "left")
+    joined = batch.join(marks, partition_col, "left")
     return joined.filter(F.col("_mark").isNull() | (F.col(offset_col) > F.col("_mark"))).drop("_mark")
 
 

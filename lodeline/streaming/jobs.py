@@ -22,6 +22,9 @@ from lodeline.operators.online_text import decide, log_score, token_counts
 from lodeline.sources.readers import flatten_events
 
 
+MAX_KEYWORDS = 10_000
+
+
 def _start(writer, checkpoint: str, available_now: bool, every: str):
     writer = writer.option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
@@ -229,8 +232,11 @@ def drift_monitor(
 ) -> DataFrame:
     """Per window and keyword: hits now, the frozen baseline share, and the accuracy of the window's messages.
 
-    ``baseline`` (keyword, base_pct) is a short list given by the caller.
+    ``baseline`` (keyword, base_pct) is a keyword list; its length is checked because every
+    task gets a copy.
     """
+    if baseline.limit(MAX_KEYWORDS + 1).count() > MAX_KEYWORDS:
+        raise ValueError(f"more than {MAX_KEYWORDS} keywords")
     marked = stream.withWatermark(ts, late).select(ts, F.explode(words(F.col(text))).alias("keyword"), F.col(correct).alias("_ok"))
     joined = marked.join(F.broadcast(baseline), "keyword")
     made = joined.groupBy(F.window(ts, window), "keyword", "base_pct").agg(

@@ -11,8 +11,10 @@ DOCS = [(1, "The quick brown fox\njumps over it"), (2, "A foxy approach, an appr
 TERMS = ["fox", "quick brown fox", "brown", "approach", "n fox", "x", "a", "brown  fox", "it", "fox\njumps over", "Fox", "oxy app"]
 
 
+@pytest.mark.parametrize("few", [True, False])
 @pytest.mark.parametrize("ignore_case", [False, True])
-def test_contained_terms_equal_brute_force(spark, ignore_case):
+def test_contained_terms_equal_brute_force(spark, monkeypatch, ignore_case, few):
+    monkeypatch.setattr(corpus, "MAX_SENT_TERMS", 10**6 if few else 0)
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     terms = spark.createDataFrame(list(enumerate(TERMS)), "term_id long, term string")
     norm = (lambda s: s.lower()) if ignore_case else (lambda s: s)
