@@ -103,8 +103,11 @@ def exact_quantiles(df: DataFrame, col: str, ps: Sequence[float], *, keys: Seque
         base = base.withColumn("_one", F.lit(0))
     counts = base.groupBy(*key_cols, col).agg(F.count(F.lit(1)).alias("_w"))
     placed = running(counts, key_cols, [col], {"_cum": ("sum", "_w")})
-    totals = base.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("n"))
-    placed = placed.join(totals, key_cols)
+    size = F.count(F.lit(1))
+    if keys:
+        placed = placed.join(base.groupBy(*keys).agg(size.alias("n")), keys)
+    else:
+        placed = placed.withColumn("n", base.agg(size).scalar())
     aggs, out = [], []
     for i, p in enumerate(ps):
         at = F.lit(p) * (F.col("n") - 1)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 UNIT_MICROS = {"s": 1_000_000, "m": 60_000_000, "h": 3_600_000_000, "d": 86_400_000_000}
 
 # A sliding frame costs rows x frame, so it is used only while every group is short.
-SLIDING_LIMIT = 5_000
+SLIDING_LIMIT = 500
 ROWS_PER_BUCKET = 50_000
 MIN_BUCKETS, MAX_BUCKETS = 64, 4096
 
