@@ -101,9 +101,10 @@ def rolling_features(
 ) -> DataFrame:
     """Stddev and mean of the last ``rows`` readings of a session, from the ``rows``-th on.
 
-    The state of a session is its last ``rows - 1`` readings. With ``idle`` a session is
-    forgotten once the watermark passes its last reading by that time, and starts anew. A
-    micro-batch must not hold readings older than those already seen of the session.
+    The state of a session is its last ``rows - 1`` readings with their times. With ``idle``
+    a session starts anew after a pause of that length, and its state is removed once the
+    watermark has passed. A micro-batch must not hold readings older than those already
+    seen of the session.
     """
     names = [f"{c}_{k}" for c in cols for k in ("std", "mean")]
     fields = {f.name: f for f in stream.schema.fields}
@@ -120,9 +121,13 @@ def rolling_features(
             return
         pdf = pd.concat(list(batches)).sort_values(order)
         old = [list(r) for r in state.get[0]] if state.exists else []
-        new = pdf[cols].astype("float64").to_numpy().tolist()
-        values = pd.DataFrame(old + new, columns=cols)
-        rolled = values.rolling(rows, min_periods=rows)
+        times = pdf[order[0]].map(lambda t: t.timestamp() * 1000.0)
+        new = [[t, *v] for t, v in zip(times, pdf[cols].astype("float64").to_numpy().tolist())]
+        values = pd.DataFrame(old + new, columns=["_ms", *cols])
+        # A pause longer than ``idle`` starts the session anew; no frame may reach across it.
+        part = (values["_ms"].diff() > idle_ms).cumsum() if idle_ms else pd.Series(0, index=values.index)
+        place = values.groupby(part).cumcount()
+        rolled = values[cols].rolling(rows, min_periods=rows)
         std, mean = rolled.std(), rolled.mean()
         made = pd.DataFrame(dict(zip(keys, [[v] * len(new) for v in key])))
         made[last] = pdf[last].to_numpy()
@@ -130,12 +135,10 @@ def rolling_features(
             made[f"{c}_std"] = std[c].to_numpy()[len(old) :]
             made[f"{c}_mean"] = mean[c].to_numpy()[len(old) :]
         made["texture_score"] = made[[f"{c}_std" for c in cols]].mean(axis=1)
-        keep = (old + new)[-(rows - 1) :]
-        state.update((keep,))
+        state.update(((old + new)[-(rows - 1) :],))
         if idle_ms:
-            state.setTimeoutTimestamp(int(pdf[order[0]].iloc[-1].timestamp() * 1000) + idle_ms)
-        full = values.index.to_numpy()[len(old) :] >= rows - 1
-        yield made[full]
+            state.setTimeoutTimestamp(int(times.iloc[-1]) + idle_ms)
+        yield made[place.to_numpy()[len(old) :] >= rows - 1]
 
     slim = stream.select(*keys, *order, *cols)
     slim = slim.withWatermark(order[0], idle) if idle else slim
