@@ -14,6 +14,7 @@ from lodeline.operators.windows import last_n_holdout
 HEAVY_ITEM = 2_000
 # Rows a block of users brings to one block product.
 BLOCK_ROWS = 100_000
+BLOCK_USERS = 2_000
 ITEM_SLICE = 4_096
 SIM_DIGITS = 9
 PAIR_SCHEMA = "user long, neighbor long, sim double"
@@ -60,8 +61,8 @@ def _pairs_by_item(weights: DataFrame) -> DataFrame:
 
 def _pairs_by_block(ratings: DataFrame, weights: DataFrame, k: int, block_rows: int) -> DataFrame:
     sizes = ratings.groupBy("user").agg(F.count(F.lit(1)).alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0]
-    blocks = max(1, -(-total // block_rows))
+    users, total = sizes.agg(F.count("n"), F.sum("n")).first()
+    blocks = max(1, -(-total // block_rows), -(-users // BLOCK_USERS))
     # Users that would fill a block alone: at most total/long_user of them.
     long_user = max(block_rows, total // 200)
     long_ids = sizes.filter(F.col("n") > long_user).select("user")

@@ -14,7 +14,8 @@ from lodeline.operators.aggregates import topk_per_group
 
 SIM_DIGITS = 9
 # Query vectors are sent to every task only up to this many numbers.
-MAX_SHARED_VALUES = 8_000_000
+MAX_SHARED_VALUES = 1_000_000
+QUERY_SLICE = 512
 BLOCK_VECTORS = 20_000
 MAX_SENT_ROWS = 1_000_000
 
@@ -38,17 +39,24 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def _best(ids, scopes, vectors, q_ids, q_scopes, q_unit, k) -> pd.DataFrame:
-    """The k most similar rows of this batch for each query."""
-    sims = np.round(q_unit @ _matrix(vectors).T, SIM_DIGITS)
-    ids = np.asarray(ids)
+    """The k most similar rows of this batch for each query, a slice of the queries at a time."""
+    order = np.argsort(np.asarray(ids), kind="stable")
+    ids, unit = np.asarray(ids)[order], _matrix(vectors)[order]
+    q_ids = np.asarray(q_ids)
     if q_scopes is not None:
-        sims[np.asarray(q_scopes)[:, None] != np.asarray(scopes)[None, :]] = -np.inf
-    order = np.argsort(ids, kind="stable")
-    best = order[np.argsort(-sims[:, order], axis=1, kind="stable")[:, :k]]
-    rows = np.repeat(np.arange(len(q_ids)), best.shape[1])
-    cols = best.ravel()
-    out = pd.DataFrame({"query": np.asarray(q_ids)[rows], "id": ids[cols], "sim": sims[rows, cols]})
-    return out[np.isfinite(out["sim"])]
+        scopes, q_scopes = np.asarray(scopes)[order], np.asarray(q_scopes)
+    parts = []
+    for lo in range(0, len(q_ids), QUERY_SLICE):
+        sims = np.round(q_unit[lo : lo + QUERY_SLICE] @ unit.T, SIM_DIGITS)
+        if q_scopes is not None:
+            sims[q_scopes[lo : lo + QUERY_SLICE, None] != scopes[None, :]] = -np.inf
+        # Columns are in id order, so a stable sort breaks ties by the smaller id.
+        best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        rows = np.repeat(np.arange(len(sims)), best.shape[1])
+        cols = best.ravel()
+        out = pd.DataFrame({"query": q_ids[lo + rows], "id": ids[cols], "sim": sims[rows, cols]})
+        parts.append(out[np.isfinite(out["sim"])])
+    return pd.concat(parts, ignore_index=True)
 
 
 def cosine_topk(

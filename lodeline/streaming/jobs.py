@@ -235,13 +235,11 @@ def drift_monitor(
 ) -> DataFrame:
     """Per window and keyword: hits now, the frozen baseline share, and the accuracy of the window's messages.
 
-    ``baseline`` (keyword, base_pct) is a keyword list; its length is checked because every
-    task gets a copy.
+    ``baseline`` (keyword, base_pct) is a keyword list, sent to every task while it is short.
     """
-    if baseline.limit(MAX_KEYWORDS + 1).count() > MAX_KEYWORDS:
-        raise ValueError(f"more than {MAX_KEYWORDS} keywords")
+    short = baseline.limit(MAX_KEYWORDS + 1).count() <= MAX_KEYWORDS
     marked = stream.withWatermark(ts, late).select(ts, F.explode(words(F.col(text))).alias("keyword"), F.col(correct).alias("_ok"))
-    joined = marked.join(F.broadcast(baseline), "keyword")
+    joined = marked.join(F.broadcast(baseline) if short else baseline, "keyword")
     made = joined.groupBy(F.window(ts, window), "keyword", "base_pct").agg(
         F.count(F.lit(1)).alias("hits"), F.avg(F.col("_ok").cast("double")).alias("hit_accuracy")
     )
