@@ -11,6 +11,7 @@ from lodeline.functions.rubrics import RUBRICS, rubric_score, rubric_sql
 from lodeline.functions.scalar import snippet
 from lodeline.operators import conversations as conv
 from lodeline.operators import corpus, records
+from lodeline.plans.layout import spread
 
 # Common English words used as keywords.
 KEYWORDS = ["the", "of", "and", "to", "in", "that"]
@@ -361,8 +362,10 @@ _PROMPT_SQL = f"[{', '.join(repr(p) for p in PROMPTS)}][doc_id % {len(PROMPTS)}
 def _(spark, sf):
     ids = F.array(*[F.lit(p) for p in PROMPTS])
     prompt = F.get(ids, (F.col("doc_id") % len(PROMPTS)).cast("int"))
-    d = table(spark, sf, "documents").select("doc_id", prompt.alias("prompt"), "text")
-    return d.select("doc_id", "prompt", rubric_score(F.col("prompt"), F.col("text")).alias("score"))
+    d = spread(table(spark, sf, "documents").select("doc_id", prompt.alias("prompt"), "text"))
+    d = d.withColumn("lowered", F.lower("text"))
+    score = rubric_score(F.col("prompt"), F.col("text"), lower=F.col("lowered"))
+    return d.select("doc_id", "prompt", score.alias("score"))
 
 
 # ---- conversations -------------------------------------------------------------------

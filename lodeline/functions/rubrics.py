@@ -205,9 +205,8 @@ def _lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda s: s != "")
 
 
-def _test(text: Column, spec: tuple) -> Column:
+def _test(text: Column, lower: Column, spec: tuple) -> Column:
     kind, arg = spec[0], spec[1]
-    lower = F.lower(text)
     any_of = lambda where, phrases: _fold([where.contains(p) for p in phrases], lambda a, b: a | b)
     if kind == "has":
         return any_of(lower, arg)
@@ -293,11 +292,18 @@ def _sql_combine(condition: str, text: str, tests: dict[str, tuple]) -> str:
     return " AND ".join("(" + " OR ".join(one(no, n) for no, n in c) + ")" for c in _clauses(condition))
 
 
-def rubric_score(prompt: Column, text: Column, rubrics: dict[str, dict] = RUBRICS) -> Column:
-    """0-3 points of a response by the rubric of its prompt; unknown prompts get 1."""
+def rubric_score(
+    prompt: Column, text: Column, rubrics: dict[str, dict] = RUBRICS, *, lower: Column | None = None
+) -> Column:
+    """0-3 points of a response by the rubric of its prompt; unknown prompts get 1.
+
+    ``lower`` may name a column that already holds the lowercased text, so that it is not
+    made again for every phrase.
+    """
     out = None
+    lower = F.lower(text) if lower is None else lower
     for pid, r in rubrics.items():
-        tests = {n: _test(text, spec) for n, spec in r["tests"].items()}
+        tests = {n: _test(text, lower, spec) for n, spec in r["tests"].items()}
         points = None
         for score, condition in r["tiers"]:
             hit = _combine(condition, tests)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeline.functions.text import SENSITIVE_PATTERNS, count_matches, words
+from lodeline.plans.layout import spread
 
 GRAM = 4
 # Terms are sent to every task only up to these sizes.
@@ -57,7 +58,7 @@ def contained_terms(
         raise ValueError("terms made only of blanks cannot be searched")
 
     body = [F.col(text).alias("_orig"), norm(F.col(text)).alias("_text")]
-    source = docs.select(F.col(doc_id).alias("_d"), *body)
+    source = spread(docs.select(doc_id, text)).select(F.col(doc_id).alias("_d"), *body)
     tokens = F.array_distinct(F.filter(F.split("_text", r"\s"), lambda w: w != ""))
 
     def pieces_of(n: int) -> Column:
@@ -187,7 +188,7 @@ def sensitive_counts(df: DataFrame, *, text: str = "text", patterns: dict[str, s
 
 def pii_leak_scan(df: DataFrame, *, text: str = "text", patterns: dict[str, str] = SENSITIVE_PATTERNS) -> DataFrame:
     """Rows with a finding and matches per class, in one pass over the texts."""
-    counted = sensitive_counts(df.select(text), text=text, patterns=patterns)
+    counted = sensitive_counts(spread(df.select(text)), text=text, patterns=patterns)
     one = counted.agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.count_if(F.col(f"n_{n}") > 0).alias(f"r_{n}") for n in patterns],
