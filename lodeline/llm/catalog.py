@@ -6,8 +6,13 @@ from pyspark.sql import functions as F
 
 from lodeline.catalog import query
 from lodeline.catalog.fixtures import table
-from lodeline.llm.common import LOWER, UPPER
+from lodeline.llm import language_id, url_filter
+from lodeline.llm.common import LOWER, UPPER, crc_mod
+from lodeline.llm.decontaminate import contamination
+from lodeline.llm.lattice_lm import lattice_scores
 from lodeline.llm.line_dedup import dedup_lines
+from lodeline.llm.packing import pack_documents
+from lodeline.llm.simhash import near_duplicates
 
 SQL_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -33,3 +38,91 @@ def sql_lower(expr: str) -> str:
 def op1_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def vocabulary() -> str:
+    """The public vocabulary file of the contracts; every machine has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op2_simhash")
+def op2_simhash(spark, sf_dir):
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op3_lattice_lm")
+def op3_lattice_lm(spark, sf_dir):
+    return lattice_scores(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def _url_sql() -> str:
+    alone = lambda terms: f"'(^|[^\\p{{L}}])({'|'.join(terms)})([^\\p{{L}}]|$)'"
+    strict = f"regexp_matches(low, {alone(url_filter.STRICT)})"
+    soft = " + ".join(f"CAST(regexp_matches(low, {alone([t])}) AS INTEGER)" for t in url_filter.SOFT)
+    fits = lambda host, path: f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
+    longest = sorted(url_filter.RULES, key=lambda r: -len(r[0] + r[1]))
+    rule = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for h, p, _ in longest)
+    verdict = " ".join(f"WHEN rule = '{h}{p}' THEN '{v}'" for h, p, v in longest)
+    return f"""WITH a AS (
+      SELECT page_id, coalesce({sql_lower("url")}, '') AS low,
+             CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    b AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS h FROM a),
+    c AS (SELECT *, {sql_lower("h")} AS host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM b),
+    d AS (SELECT *, CASE {rule} END AS rule FROM c)
+    SELECT page_id, host, path, rule,
+           CASE {verdict} WHEN {strict} OR ({soft}) >= {url_filter.MIN_SOFT} THEN 'block' ELSE 'allow' END AS verdict FROM d"""
+
+
+@query("op4_url_filter", _url_sql())
+def op4_url_filter(spark, sf_dir):
+    found = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+SQL_WORDS = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query(
+    "op6_decontaminate",
+    f"""WITH b AS (SELECT item_id, {SQL_WORDS.format(sql_lower("coalesce(text, '')"))} AS w FROM benchmark),
+    win AS (SELECT item_id, least(len(w), 10) AS l, unnest(range(0, len(w) - least(len(w), 10) + 1)) AS i, w
+            FROM b WHERE len(w) > 0),
+    wt AS (SELECT DISTINCT item_id, l, array_to_string(w[i + 1:i + l], ' ') AS t FROM win),
+    d AS (SELECT doc_id, {SQL_WORDS.format(sql_lower("coalesce(text, '')"))} AS w FROM documents),
+    p AS (SELECT doc_id, l, unnest(range(0, len(w) - l + 1)) AS i, w FROM d, (SELECT DISTINCT l FROM wt) WHERE len(w) >= l),
+    h AS (SELECT p.doc_id, p.i, p.l, wt.item_id
+          FROM (SELECT doc_id, i, l, array_to_string(w[i + 1:i + l], ' ') AS t FROM p) p JOIN wt USING (l, t)),
+    hw AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(i, i + l)) AS pos FROM h) GROUP BY 1),
+    hi AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+           FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY 1)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hw.n, 0) AS n_hit, coalesce(hi.n, 0) AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(hw.n, 0) > 0 AS contaminated
+    FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)""",
+)
+def op6_decontaminate(spark, sf_dir):
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@query("op8_best_fit_packing")
+def op8_best_fit_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query("op10_language_id")
+def op10_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(True))
+    model = language_id.fit(docs, ~held)
+    found = language_id.predict(docs.select("doc_id", held.alias("held_out"), "text"), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
