@@ -9,10 +9,13 @@ from lodeline.catalog.fixtures import table
 from lodeline.llm import language_id, url_filter
 from lodeline.llm.common import LOWER, UPPER, crc_mod
 from lodeline.llm.decontaminate import contamination
+from lodeline.llm.html_text import extract_text
 from lodeline.llm.lattice_lm import lattice_scores
 from lodeline.llm.line_dedup import dedup_lines
 from lodeline.llm.packing import pack_documents
+from lodeline.llm.pivot_index import near_vectors
 from lodeline.llm.simhash import near_duplicates
+from lodeline.llm.warc import round_trip
 
 SQL_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -126,3 +129,39 @@ def op10_language_id(spark, sf_dir):
     model = language_id.fit(docs, ~held)
     found = language_id.predict(docs.select("doc_id", held.alias("held_out"), "text"), model)
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@query("op5_html_text")
+def op5_html_text(spark, sf_dir):
+    return extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query(
+    "op7_warc",
+    """WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+    s AS (SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+    o AS (SELECT payload_digest, min(page_id) AS owner FROM s WHERE payload_bytes >= 100 GROUP BY 1)
+    SELECT page_id, payload_bytes, s.payload_digest,
+           CASE WHEN page_id <> owner THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN page_id <> owner THEN owner END AS refers_to
+    FROM s LEFT JOIN o USING (payload_digest)""",
+)
+def op7_warc(spark, sf_dir):
+    found = round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query(
+    "op9_pivot_index",
+    """WITH RECURSIVE e AS (
+      SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+          WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+    r AS (SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.c = l.a)
+    SELECT r.vec_id, (SELECT count(*) FROM l WHERE l.a = r.vec_id) AS n_links, min(c) AS component_id,
+           r.vec_id = min(c) AS kept FROM r GROUP BY r.vec_id""",
+)
+def op9_pivot_index(spark, sf_dir):
+    return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
