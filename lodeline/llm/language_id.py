@@ -17,7 +17,7 @@ import unicodedata
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeline.llm.common import map_arrow
@@ -82,17 +82,21 @@ def unit_vector(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def sample(docs: DataFrame, rows: int = SAMPLE, train: Column | None = None) -> DataFrame:
-    """(lang, text): at most ``rows`` labelled rows of each language, those with the smallest hash of their id."""
+    """(lang, text, at): at most ``rows`` labelled rows of each language, those with the smallest hash of their id.
+
+    ``at`` orders the rows of a language.
+    """
     label = docs.where("lang is not null and doc_id is not null")
     if train is not None:
         label = label.where(train)
-    from pyspark.sql import Window
-
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = label.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows)
     ids = stored(ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")), "sample-ids")
     keys = (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))
-    return label.select("doc_id", "lang", "text").join(ids, keys, "left_semi").select("lang", "text")
+    few = label.select("doc_id", "lang", "text").join(ids, keys, "left_semi")
+    # Rows that repeat an id count once, so the bound holds for them too.
+    few = few.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    return few.select("lang", "text", F.xxhash64("doc_id").alias("at"))
 
 
 def fit(docs: DataFrame, train: Column | None = None, rows: int = SAMPLE, clusters: int = CLUSTERS) -> list[dict]:
@@ -103,33 +107,34 @@ def fit(docs: DataFrame, train: Column | None = None, rows: int = SAMPLE, cluste
     """
 
     def vectors(part: pa.RecordBatch):
-        langs, index, value = [], [], []
-        for lang, text in zip(part["lang"].to_pylist(), part["text"].to_pylist()):
+        langs, orders, index, value = [], [], [], []
+        for lang, text, order in zip(*(part[c].to_pylist() for c in ("lang", "text", "at"))):
             counts = ngram_counts(text)
             if counts is not None:
                 at = np.flatnonzero(counts)
                 langs.append(lang)
+                orders.append(order)
                 index.append(at.astype(np.int32))
                 value.append(counts[at])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(langs, pa.string()), pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float64()))],
-            ["lang", "at", "n"],
+            [pa.array(langs, pa.string()), pa.array(orders, pa.int64()), pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float64()))],
+            ["lang", "o", "at", "n"],
         )
 
-    vecs = stored(map_arrow(sample(docs, rows, train), vectors, "lang string, at array<int>, n array<double>"), "vectors")
+    vecs = stored(map_arrow(sample(docs, rows, train), vectors, "lang string, o long, at array<int>, n array<double>"), "vectors")
     total = vecs.count()
     df = np.zeros(DIM)
     for r in vecs.select(F.explode("at").alias("at")).groupBy("at").count().collect():  # DIM rows at most
         df[r["at"]] = r["count"]
     idf = np.log((1.0 + total) / (1.0 + df)) + 1.0
 
-    def centroids(key, own: pd.DataFrame) -> pd.DataFrame:
+    def centroids(key, own):
+        own = own.sort_values("o", kind="stable")  # the same sums when a task runs again
         x = np.zeros((len(own), DIM), np.float32)
         for i, (at, n) in enumerate(zip(own["at"], own["n"])):
             dense = np.zeros(DIM)
             dense[at] = n
             x[i] = unit_vector(dense, idf)
-        x = x[np.lexsort(x[:, :8].T)]  # an order that does not depend on which task sent a row first
         means = _spherical_kmeans(x, clusters)
         near = (x @ means.T).max(axis=1)
         limit = float(near.min()) * SLACK

@@ -120,17 +120,13 @@ class _Window:
         """The first magic that starts in bytes ``at`` to ``end``, or -1."""
         while at < end:
             part = self.get(at, READ)
+            while len(part) < len(MAGIC) and (more := self.get(at + len(part), len(MAGIC) - len(part))):
+                part += more
             hit = part.find(MAGIC)
             if hit >= 0:
                 return at + hit if at + hit < end else -1
             if len(part) < len(MAGIC):
-                rest = self.get(at + len(part), len(MAGIC))
-                if not rest:
-                    return -1
-                if (part + rest).startswith(MAGIC):
-                    return at
-                at += 1
-                continue
+                return -1
             at += len(part) - len(MAGIC) + 1  # the magic may cross the end of the buffer
         return -1
 
