@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -27,7 +28,29 @@ def get_session(app: str = "lodeline", master: str | None = None, **conf: str) -
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the session's Python workers, once per application.
+
+    Functions of the package are pickled by name, so workers started from any folder must be
+    able to import it. The archive is a few hundred kilobytes.
+    """
+    root = os.path.dirname(os.path.abspath(__file__))
+    sc = spark.sparkContext
+    if getattr(sc, "_lodeline_shipped", False):
+        return spark
+    path = os.path.join(tempfile.mkdtemp(prefix="lodeline-"), "lodeline.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._lodeline_shipped = True
+    return spark
 
 
 def max_group_rows(spark: SparkSession) -> int:
