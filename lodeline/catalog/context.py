@@ -123,7 +123,7 @@ routed AS (SELECT t.* FROM top t JOIN walk w USING (role, stage, rank) WHERE w.t
 
 
 def routed(spark, sf):
-    return ctx.route_context(item_vectors(spark, sf), as_of=as_of(), query_vecs=role_queries(spark, sf))
+    return ctx.route_context(item_vectors(spark, sf), as_of=as_of(), query_vecs=role_queries(spark, sf), k_max=50)
 
 
 @query("route_context", f"WITH RECURSIVE {ROUTED} SELECT role, stage, CAST(rank AS INTEGER) AS rank, id, tokens, importance FROM routed")
@@ -162,11 +162,40 @@ def _greedy_groups(spark, sf):
         SELECT key, CAST(rank AS INTEGER) AS rank, id, tokens FROM top JOIN walk USING (key, rank) WHERE take""",
 )
 def _(spark, sf):
-    made = ctx.budget_select(_greedy_groups(spark, sf), group=["key"], score="confidence", id="id", tokens="tokens", budget="budget")
+    made = ctx.budget_select(_greedy_groups(spark, sf), group=["key"], score="confidence", id="id", tokens="tokens", budget="budget", k_max=50)
     return made.select("key", "rank", "id", "tokens")
 
 
-@query("exact_budget_select")
+def _exact_groups(spark, sf):
+    """Sources cut by 200 ids, about ten items each, with the budget of their source."""
+    return _greedy_groups(spark, sf).withColumn("part", F.floor(F.col("id") / 200))
+
+
+# All subsets of each small group: the best total, then the higher-ranked items, as bits of one number.
+EXACT = f"""WITH RECURSIVE {MEM}, b AS (SELECT key, floor(sum(tokens) / 12) AS budget FROM mem GROUP BY 1),
+    r AS (SELECT m.key, m.id // 200 AS part, m.id, m.tokens, b.budget, CAST(round(confidence * 1e9) AS BIGINT) AS worth,
+            row_number() OVER (PARTITION BY m.key, m.id // 200 ORDER BY confidence DESC, id) AS rank,
+            count(*) OVER (PARTITION BY m.key, m.id // 200) AS n FROM mem m JOIN b USING (key)),
+    sub AS (
+      SELECT DISTINCT key, part, n, budget, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS total, CAST(0 AS BIGINT) AS bits FROM r
+      UNION ALL
+      SELECT s.key, s.part, s.n, s.budget, s.i + 1, s.used + t.take * r.tokens, s.total + t.take * r.worth, s.bits * 2 + t.take
+      FROM sub s JOIN r ON r.key = s.key AND r.part = s.part AND r.rank = s.i + 1, (VALUES (0), (1)) t(take)
+      WHERE s.used + t.take * r.tokens <= s.budget),
+    best AS (SELECT key, part, max({{'total': total, 'bits': bits}}).bits AS bits FROM sub WHERE i = n GROUP BY 1, 2)
+    SELECT r.key, r.part, r.id, r.tokens, CAST(r.rank AS INTEGER) AS rank FROM r JOIN best USING (key, part)
+    WHERE ((best.bits >> CAST(r.n - r.rank AS INTEGER)) & 1) = 1"""
+
+
+@query("exact_budget_select", EXACT)
+def _(spark, sf):
+    made = ctx.exact_budget_select(
+        _exact_groups(spark, sf), group=["key", "part"], score="confidence", id="id", tokens="tokens", budget="budget"
+    )
+    return made.select("key", "part", "id", "tokens", "rank")
+
+
+@query("exact_budget_select_by_type")
 def _(spark, sf):
     made = ctx.budget_select(
         _greedy_groups(spark, sf), group=["key", "type"], score="confidence", id="id", tokens="tokens", budget="budget", exact=True
@@ -428,7 +457,22 @@ def _(spark, sf):
        GROUP BY w.page_id, url ORDER BY min(depth), url, w.page_id LIMIT 50""",
 )
 def _(spark, sf):
-    return graph.bounded_crawl(table(spark, sf, "pages"))
+    return graph.bounded_crawl(table(spark, sf, "pages"), max_pages=50, same_host=False)
+
+
+@query(
+    "same_domain_crawl",
+    """WITH RECURSIVE h AS (SELECT DISTINCT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host,
+         unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS href FROM pages),
+       walk AS (SELECT CAST(1 AS BIGINT) AS page_id, 0 AS depth
+                UNION SELECT DISTINCT b.page_id, w.depth + 1 FROM walk w JOIN h a ON a.page_id = w.page_id
+                  JOIN h b ON b.href = a.href AND b.host = a.host WHERE w.depth < 2)
+       SELECT w.page_id, CAST(min(depth) AS INTEGER) AS depth, url FROM walk w JOIN pages p ON p.page_id = w.page_id
+       GROUP BY w.page_id, url""",
+)
+def _(spark, sf):
+    return graph.bounded_crawl(table(spark, sf, "pages"), seed=1)
+
 
 
 TRIPLES = """ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
@@ -455,5 +499,5 @@ def _(spark, sf):
     nodes, edges = graph.build_graph_tables(graph.neighbor_triples(docs))
     b = table(spark, sf, "benchmark").withColumnRenamed("item_id", "query")
     hits = vec.retrieve_topk_sources(docs, b, k=2).select(F.col("id").alias("doc_id")).distinct()
-    _, kept = graph.query_subgraph(nodes, edges, docs.join(hits, "doc_id", "left_semi"))
+    named, kept = graph.query_subgraph(nodes, edges, docs.join(hits, "doc_id", "left_semi"))
     return kept

@@ -70,7 +70,7 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", *[tx.token_estimate(F.col("text"), m).alias(m) for m in methods])
 
 
-@query("strip_tags", r"""SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages""")
+@query("strip_tags", rf"""SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'), {tx.SQL_WHITE_SPACE}) AS text FROM pages""")
 def _(spark, sf):
     p = table(spark, sf, "pages")
     return p.select("page_id", tx.strip_tags(F.lit(None).cast("string"), F.col("html")).alias("text"))
@@ -119,10 +119,8 @@ def _(spark, sf):
 
 @query(
     "corpus_grep",
-    f"""WITH {LINES} (SELECT 'literal' AS kind, doc_id, line_number, line FROM ln WHERE contains(lower(line), 'tion of')
-          ORDER BY doc_id, line_number LIMIT 200)
-        UNION ALL (SELECT 'regex', doc_id, line_number, line FROM ln WHERE regexp_matches(line, '(?i)[0-9]{{3}}-[0-9]{{4}}')
-          ORDER BY doc_id, line_number LIMIT 200)""",
+    f"""WITH {LINES} SELECT 'literal' AS kind, doc_id, line_number, line FROM ln WHERE contains(lower(line), 'tion of')
+        UNION ALL SELECT 'regex', doc_id, line_number, line FROM ln WHERE regexp_matches(line, '(?i)[0-9]{{3}}-[0-9]{{4}}')""",
 )
 def _(spark, sf):
     d = table(spark, sf, "documents")

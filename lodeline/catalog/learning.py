@@ -186,16 +186,47 @@ def prequential(spark, sf):
     return made.withColumns({c: F.round(c, 4) for c in ("pre_score0", "pre_score1", "post_score0", "post_score1")})
 
 
-@query("batch_naive_bayes")
+# Counts of all words of the first half, then the messages scored with them.
+BATCH = LAB + """,
+mid AS (SELECT quantile_cont(doc_id, 0.5) AS m FROM lab),
+ms AS (SELECT doc_id, quality, CASE WHEN doc_id < m THEN 'initial' ELSE 'drift' END AS phase, text FROM lab, mid),
+bt AS (SELECT doc_id, quality, phase, unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM ms),
+bc AS (SELECT w, count(*) FILTER (WHERE quality = 0) AS n0, count(*) FILTER (WHERE quality = 1) AS n1
+       FROM bt WHERE phase = 'initial' AND w <> '' GROUP BY 1),
+bs AS (SELECT sum(n0) AS c0, sum(n1) AS c1, count(*) AS v,
+         (SELECT count(*) FILTER (WHERE quality = 0) FROM ms WHERE phase = 'initial') AS d0,
+         (SELECT count(*) FILTER (WHERE quality = 1) FROM ms WHERE phase = 'initial') AS d1 FROM bc),
+bl AS (SELECT doc_id, sum(ln((n0 + 1.0) / (c0 + v))) AS s0, sum(ln((n1 + 1.0) / (c1 + v))) AS s1 FROM bt JOIN bc USING (w), bs GROUP BY 1),
+bp AS (SELECT ms.doc_id, quality, phase, coalesce(s0, 0) + ln(d0 / (d0 + d1)) AS s0, coalesce(s1, 0) + ln(d1 / (d0 + d1)) AS s1
+       FROM ms LEFT JOIN bl USING (doc_id), bs),
+bn AS (SELECT doc_id, quality, phase, CAST(s1 > s0 AS INTEGER) AS batch_pred, 1 / (1 + exp(-abs(s1 - s0))) AS batch_confidence FROM bp)"""
+
+
+@query(
+    "batch_naive_bayes",
+    f"WITH {BATCH} SELECT doc_id, quality, phase, batch_pred, round(batch_confidence, 6) AS batch_confidence FROM bn",
+)
 def batch_nb(spark, sf):
     m = messages(spark, sf)
     made = online_text.batch_naive_bayes(
-        m.filter(F.col("phase") == "initial"), m, text="text", label="quality", keep=["doc_id", "quality", "phase"]
+        m.filter(F.col("phase") == "initial"), m, order="doc_id", text="text", label="quality", keep=["doc_id", "quality", "phase"]
     )
     return made.withColumn("batch_confidence", r6(F.col("batch_confidence")))
 
 
-@query("drift_scoreboard")
+@query(
+    "drift_scoreboard",
+    f"""WITH {PREQUENTIAL}, {BATCH.removeprefix(LAB + ",")}, o AS (SELECT doc_id, y,
+          CASE WHEN a1 IS NOT NULL AND (a0 IS NULL OR a1 > a0) THEN 1 ELSE 0 END AS pre,
+          CASE WHEN b1 IS NOT NULL AND (b0 IS NULL OR b1 > b0) THEN 1 ELSE 0 END AS post FROM sc)
+        SELECT phase, count(*) AS messages, round(avg(CAST(batch_pred = y AS INTEGER)), 6) AS batch_accuracy,
+               round(avg(CAST(pre = y AS INTEGER)), 6) AS online_accuracy,
+               round(avg(CAST(post = y AS INTEGER)), 6) AS online_accuracy_after_learning,
+               CAST(count(*) FILTER (WHERE batch_pred <> y) AS BIGINT) AS batch_missed,
+               CAST(count(*) FILTER (WHERE post = y) AS BIGINT) AS correct_after_learning,
+               CAST(count(*) FILTER (WHERE pre <> post) AS BIGINT) AS updates
+        FROM o JOIN bn USING (doc_id) GROUP BY 1""",
+)
 def _(spark, sf):
     online = online_text.prequential_nb(labeled(spark, sf), order="doc_id", text="text", label="quality")
     made = online_text.drift_scoreboard(online, batch_nb(spark, sf).drop("quality"), order="doc_id", label="quality", phase="phase")

@@ -126,7 +126,7 @@ def _(spark, sf):
 def _(spark, sf):
     path = work_dir(spark, "listed-files")
     table(spark, sf, "documents").select("source", "text").write.option("maxRecordsPerFile", 64).partitionBy("source").text(path)
-    return readers.list_files(spark, path, glob="*.txt", max_items=50)
+    return readers.list_files(spark, path, glob="*.txt")
 
 
 @query(

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodeline.functions.text import SQL_WHITE_SPACE, strip
+
 # Tests and tiers per prompt. A test is (feature, argument[, comparison, number]):
 #   has      any phrase occurs in the lowercased response
 #   raw      any phrase occurs in the response as written
@@ -202,7 +204,7 @@ RUBRICS: dict[str, dict] = {
 
 
 def _lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, "\n"), strip), lambda s: s != "")
 
 
 def _test(text: Column, lower: Column, spec: tuple) -> Column:
@@ -215,7 +217,7 @@ def _test(text: Column, lower: Column, spec: tuple) -> Column:
     if kind == "each":
         return _fold([text.contains(p) for p in arg], lambda a, b: a & b)
     if kind == "equals":
-        return F.trim(F.replace(F.replace(F.trim(lower), F.lit("."), F.lit("")), F.lit("!"), F.lit(""))).isin(arg)
+        return strip(F.replace(F.replace(strip(lower), F.lit("."), F.lit("")), F.lit("!"), F.lit(""))).isin(arg)
     verse = F.filter(_lines(text), lambda s: ~s.startswith("#"))
     if kind == "verse_shape":
         sizes = [F.size(F.filter(F.split(F.get(verse, F.lit(i)), r"\s+"), lambda w: w != "")) for i in range(len(arg))]
@@ -226,7 +228,7 @@ def _test(text: Column, lower: Column, spec: tuple) -> Column:
         "times": lambda: (F.length(text) - F.length(F.replace(text, F.lit(arg), F.lit("")))) / len(arg),
         "chars": lambda: F.length(text),
         "lines": lambda: F.size(_lines(text)),
-        "sentences": lambda: F.size(F.filter(F.split(text, "[.!?]"), lambda s: F.length(F.trim(s)) > 10)),
+        "sentences": lambda: F.size(F.filter(F.split(text, "[.!?]"), lambda s: F.length(strip(s)) > 10)),
         "numbered": lambda: F.size(numbered),
         "long_numbered": lambda: F.size(F.filter(numbered, lambda s: F.length(s) > 30)),
         "verse_lines": lambda: F.size(verse),
@@ -250,7 +252,7 @@ def _sql_test(text: str, spec: tuple) -> str:
     kind, arg = spec[0], spec[1]
     lower = f"lower({text})"
     any_of = lambda where, phrases: "(" + " OR ".join(f"contains({where}, {_sql_text(p)})" for p in phrases) + ")"
-    lines = f"list_filter(list_transform(string_split({text}, chr(10)), lambda s: trim(s)), lambda s: s <> '')"
+    lines = f"list_filter(list_transform(string_split({text}, chr(10)), lambda s: trim(s, {SQL_WHITE_SPACE})), lambda s: s <> '')"
     verse = f"list_filter({lines}, lambda s: NOT starts_with(s, '#'))"
     numbered = f"list_filter({lines}, lambda s: regexp_matches(s, '^[0-9]'))"
     if kind == "has":
@@ -260,7 +262,7 @@ def _sql_test(text: str, spec: tuple) -> str:
     if kind == "each":
         return "(" + " AND ".join(f"contains({text}, {_sql_text(p)})" for p in arg) + ")"
     if kind == "equals":
-        return f"trim(replace(replace(trim({lower}), '.', ''), '!', '')) IN ({', '.join(map(_sql_text, arg))})"
+        return f"trim(replace(replace(trim({lower}, {SQL_WHITE_SPACE}), '.', ''), '!', ''), {SQL_WHITE_SPACE}) IN ({', '.join(map(_sql_text, arg))})"
     if kind == "verse_shape":
         sizes = [f"len(list_filter(regexp_split_to_array(({verse})[{i + 1}], '\\s+'), lambda w: w <> ''))" for i in range(len(arg))]
         parts = [f"{n} BETWEEN {lo} AND {hi}" for n, (lo, hi) in zip(sizes, arg)]
@@ -270,7 +272,7 @@ def _sql_test(text: str, spec: tuple) -> str:
         "times": lambda: f"(length({text}) - length(replace({text}, {_sql_text(arg)}, ''))) / {len(arg)}",
         "chars": lambda: f"length({text})",
         "lines": lambda: f"len({lines})",
-        "sentences": lambda: f"len(list_filter(regexp_split_to_array({text}, '[.!?]'), lambda s: length(trim(s)) > 10))",
+        "sentences": lambda: f"len(list_filter(regexp_split_to_array({text}, '[.!?]'), lambda s: length(trim(s, {SQL_WHITE_SPACE})) > 10))",
         "numbered": lambda: f"len({numbered})",
         "long_numbered": lambda: f"len(list_filter({numbered}, lambda s: length(s) > 30))",
         "verse_lines": lambda: f"len({verse})",

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The characters that count as white space at the ends of a text.
+WHITE_SPACE = "".join(chr(c) for c in range(0x10000) if chr(c).isspace())
+SQL_WHITE_SPACE = f"'{WHITE_SPACE}'"
+
 # Phrases that end a conversation.
 TERMINATION_PHRASES = ("terminate", "task completed", "conversation complete", "no further action needed")
 
@@ -19,6 +23,11 @@ SENSITIVE_PATTERNS = {
 }
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind (also tabs, line ends, no-break and other Unicode blanks) at either end."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
+
+
 def words(text: Column) -> Column:
     """Words separated by whitespace, blanks left out."""
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
@@ -38,8 +47,8 @@ def token_estimate(text: Column, method: str = "chars") -> Column:
 
 def strip_tags(markdown: Column, html: Column) -> Column:
     """Markup tags replaced by blanks, from the first input that is not blank."""
-    first = F.coalesce(F.nullif(F.trim(markdown), F.lit("")), html)
-    return F.trim(F.regexp_replace(F.regexp_replace(first, r"<[^>]+>", " "), r"\s+", " "))
+    first = F.coalesce(F.when(strip(markdown) != "", markdown), html)
+    return strip(F.regexp_replace(F.regexp_replace(first, r"<[^>]+>", " "), r"\s+", " "))
 
 
 def json_span(text: Column) -> Column:
@@ -55,7 +64,7 @@ def fenced_block(text: Column) -> Column:
 
 def clean_path(path: Column) -> Column:
     """Trimmed, forward slashes, no leading ``./`` and no single trailing slash."""
-    p = F.replace(F.trim(path), F.lit("\\"), F.lit("/"))
+    p = F.replace(strip(path), F.lit("\\"), F.lit("/"))
     return F.regexp_replace(F.regexp_replace(p, r"^\./", ""), r"/$", "")
 
 

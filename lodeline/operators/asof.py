@@ -86,7 +86,8 @@ def _one_parent(df, parent, delays, aggs, length, sliding_limit) -> DataFrame:
                 for a in aggs
             }
         )
-    return _bucketed(df, parent, delays, aggs, length, longest["n"], max(1, longest["span"]))
+    means = df.groupBy(parent).agg(*[F.avg(F.col(c).cast("double")).alias(f"_mean_{c}") for c in delays])
+    return _bucketed(df, parent, delays, aggs, length, longest["n"], max(1, longest["span"]), means)
 
 
 def _bucket_width(length: int, delays: Sequence[int], rows: int, span: int) -> int:
@@ -100,12 +101,13 @@ def _bucket_width(length: int, delays: Sequence[int], rows: int, span: int) -> i
 
 
 def _pieces(c: str, value: Column, over=None) -> dict[str, Column]:
-    x = value.cast("double")
+    # Of the distance from the parent's mean: its squares keep their digits however large the values are.
+    x = value.cast("double") - F.col(f"_mean_{c}")
     made = {"n": F.count(x), "s": F.sum(x), "q": F.sum(x * x), "lo": F.min(value), "hi": F.max(value)}
     return {k: (v.over(over) if over is not None else v) for k, v in made.items()}
 
 
-def _bucketed(df, parent, delays, aggs, length, rows, span) -> DataFrame:
+def _bucketed(df, parent, delays, aggs, length, rows, span, means) -> DataFrame:
     """The same frames cut into a bucket tail, whole buckets and a bucket head.
 
     With the window and the delay whole numbers of buckets, the tail for a row at ``t``
@@ -114,6 +116,9 @@ def _bucketed(df, parent, delays, aggs, length, rows, span) -> DataFrame:
     running aggregates inside small (parent, bucket) groups. Whole buckets come from a
     table with one row per bucket. No group depends on how many rows a parent has.
     """
+    columns = df.columns
+    means = means.withColumnRenamed(parent, "_pm")
+    df = df.join(means, df[parent].eqNullSafe(means["_pm"])).drop("_pm")
     width = _bucket_width(length, list(delays.values()), rows, span)
     delay_steps = {c: (d // width if d > 1 else 0) for c, d in delays.items()}
     shifts = sorted({s for s in delay_steps.values() if s})
@@ -155,7 +160,7 @@ def _bucketed(df, parent, delays, aggs, length, rows, span) -> DataFrame:
     mid = table.withColumns(mids).select(F.col(parent).alias("_mp"), F.col("_bucket").alias("_mb"), *mids)
     joined = own.join(mid, own[parent].eqNullSafe(mid["_mp"]) & (own["_bucket"] == mid["_mb"]), "left")
 
-    out = [F.col(c) for c in df.columns]
+    out = [F.col(c) for c in columns]
     for c in delays:
         part = {
             k: [F.col(f"_{p}_{k}_{c}") for p in ("h", "m", "e")]
@@ -166,8 +171,8 @@ def _bucketed(df, parent, delays, aggs, length, rows, span) -> DataFrame:
         nn = F.nullif(n, F.lit(0))
         ready = {
             "count": n.cast("long"),
-            "sum": F.when(n > 0, s),
-            "mean": s / nn,
+            "sum": F.when(n > 0, s + n * F.col(f"_mean_{c}")),
+            "mean": s / nn + F.col(f"_mean_{c}"),
             "max": F.greatest(*part["hi"]),
             "min": F.least(*part["lo"]),
             "std": F.when(n > 1, F.sqrt(F.greatest((q - s * s / nn) / (n - 1), F.lit(0.0)))),

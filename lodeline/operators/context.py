@@ -32,7 +32,6 @@ ROLE_KEYWORDS = {
 }
 STAGE_TYPES = {"plan": ["decision", "plan"], "execute": ["tool_trace", "fact"], "review": ["decision", "entity", "fact"]}
 DECAY_PER_HOUR = 0.1
-EXACT_LIMIT = 30
 CONFIDENCE_BAND = 0.1
 LOSER_CAP = 0.5
 
@@ -87,24 +86,22 @@ def importance(
 
 
 def budget_select(
-    df: DataFrame, *, group: Sequence[str], score: str, id: str, tokens: str, budget: str, k_max: int = 50, exact: bool = False
+    df: DataFrame, *, group: Sequence[str], score: str, id: str, tokens: str, budget: str, k_max: int | None = None, exact: bool = False
 ) -> DataFrame:
     """Rows chosen per group within its token budget, with their ``rank``.
 
-    Items are walked from the highest score; one that no longer fits is skipped. Only the
-    ``k_max`` best are looked at, and Spark applies that limit before the shuffle. With
-    ``exact`` groups of at most 30 items are solved as a knapsack instead.
+    Items are walked from the highest score; one that no longer fits is skipped. ``k_max``
+    looks only at the best of each group, and Spark applies that limit before the shuffle;
+    without it a group is walked whole by one task. ``exact`` solves every group as a
+    knapsack instead, whatever its size (see ``exact_budget_select``).
     """
     if exact:
-        sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
-        joined = df.join(sizes, list(group))
-        small = joined.filter(F.col("_size") <= EXACT_LIMIT).drop("_size")
-        large = joined.filter(F.col("_size") > EXACT_LIMIT).drop("_size")
-        solved = exact_budget_select(small, group=group, score=score, id=id, tokens=tokens, budget=budget)
-        return solved.unionByName(
-            budget_select(large, group=group, score=score, id=id, tokens=tokens, budget=budget, k_max=k_max).select(solved.columns)
-        )
-    top = topk_per_group(df, group=group, order=[F.desc(score), F.asc(id)], k=k_max)
+        return exact_budget_select(df, group=group, score=score, id=id, tokens=tokens, budget=budget)
+    order = [F.desc(score), F.asc(id)]
+    if k_max is None:
+        top = df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    else:
+        top = topk_per_group(df, group=group, order=order, k=k_max)
     item = F.struct("rank", F.col(tokens).cast("long").alias("t"))
     listed = top.groupBy(*group).agg(F.array_sort(F.collect_list(item)).alias("_items"), F.first(budget).cast("long").alias("_b"))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("ranks"))
@@ -118,23 +115,34 @@ def budget_select(
     return top.join(chosen, [*group, "rank"])
 
 
-def exact_budget_select(df: DataFrame, *, group: Sequence[str], score: str, id: str, tokens: str, budget: str) -> DataFrame:
-    """Best total score within the budget, for groups of at most 30 items."""
+def exact_budget_select(
+    df: DataFrame, *, group: Sequence[str], score: str, id: str, tokens: str, budget: str, max_states: int = 50_000_000
+) -> DataFrame:
+    """Best total score within the budget, for every group; scores count to nine decimals.
+
+    Of equally good choices the one that takes the higher-ranked items wins. A group is solved
+    by one task with one state per reachable number of tokens; a group whose items times
+    budget exceed ``max_states`` fails the job, it is never solved by another rule. Items
+    without a positive score or with no tokens to spend are weighed like any other.
+    """
     schema = T.StructType([*df.schema.fields, T.StructField("rank", T.IntegerType())])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         items = pdf.sort_values([score, id], ascending=[False, True]).reset_index(drop=True)
         items["rank"] = (items.index + 1).astype("int32")
-        # Reachable totals only: used tokens -> (value, chosen positions).
-        states: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
-        limit = int(items[budget].iloc[0])
+        n, limit = len(items), int(items[budget].iloc[0])
+        if n * max(1, min(limit, int(items[tokens].sum()))) > max_states:
+            raise ValueError(f"a group of {n} items with a budget of {limit} has more than {max_states} states")
+        # Used tokens -> (value, chosen items as bits, the first item highest): ties keep higher ranks.
+        states: dict[int, tuple[int, int]] = {0: (0, 0)}
         for i, (value, need) in enumerate(zip(items[score], items[tokens])):
+            worth, bit = round(float(value) * 1e9), 1 << (n - 1 - i)
             for used, (total, picks) in sorted(states.items(), reverse=True):
-                after = used + int(need)
-                if after <= limit and (after not in states or total + value > states[after][0]):
-                    states[after] = (total + value, (*picks, i))
-        best = max(states.values(), key=lambda s: s[0])
-        return items.iloc[list(best[1])]
+                after, new = used + int(need), (total + worth, picks | bit)
+                if after <= limit and new > states.get(after, (new[0] - 1, 0)):
+                    states[after] = new
+        picks = max(states.values())[1]
+        return items[[bool(picks >> (n - 1 - i) & 1) for i in range(n)]]
 
     return df.groupBy(*group).applyInPandas(solve, schema)
 
@@ -145,12 +153,14 @@ REQUESTS = (("planner", "plan", 2000), ("coder", "execute", 1500), ("reviewer",
 
 def route_context(
     items: DataFrame, *, as_of: Column, requests: Sequence[tuple] = REQUESTS, query_vecs: DataFrame | None = None,
-    k_max: int = 50, exact: bool = False,
+    k_max: int | None = None, exact: bool = False,
 ) -> DataFrame:
     """Items chosen for every (role, stage, budget) request in one pass over the items.
 
-    The request list is given by the caller and short. ``query_vecs`` (role, query_vec) adds
-    similarity to a query per role.
+    The request list is given by the caller and short. ``query_vecs`` (role, query_vec, and
+    stage where a role has a query per stage) adds similarity to the request's own query; a
+    row without a stage serves all stages of its role that have none of their own. Two
+    queries of one request fail the job.
     """
     asked = F.array(
         *[F.struct(F.lit(r).alias("role"), F.lit(s).alias("stage"), F.lit(b).cast("long").alias("budget")) for r, s, b in requests]
@@ -158,16 +168,31 @@ def route_context(
     spread = items.withColumn("_a", F.explode(asked)).select("*", "_a.*").drop("_a")
     vec = None
     if query_vecs is not None:
-        vectors = {r["role"]: r["query_vec"] for r in query_vecs.limit(len(requests)).collect()}
         vec = F.lit(None).cast("array<double>")
-        for role, v in vectors.items():
-            vec = F.when(F.col("role") == role, F.array(*[F.lit(float(x)) for x in v])).otherwise(vec)
+        for (role, stage), v in _request_vectors(query_vecs, requests).items():
+            mine = (F.col("role") == role) & (F.col("stage") == stage)
+            vec = F.when(mine, F.array(*[F.lit(float(x)) for x in v])).otherwise(vec)
     scored = importance(spread, as_of=as_of, role=F.col("role"), stage=F.col("stage"), query_vec=vec)
     return budget_select(
         scored, group=["role", "stage"], score="importance", id="id", tokens="tokens", budget="budget", k_max=k_max, exact=exact
     )
 
 
+def _request_vectors(query_vecs: DataFrame, requests: Sequence[tuple]) -> dict[tuple[str, str], list[float]]:
+    """The query vector of each request that has one; only rows of requested roles and stages are read."""
+    if "stage" not in query_vecs.columns:
+        query_vecs = query_vecs.withColumn("stage", F.lit(None).cast("string"))
+    wanted = F.lit(False)
+    for role, stage, _ in requests:
+        wanted = wanted | ((F.col("role") == role) & (F.col("stage").isNull() | (F.col("stage") == stage)))
+    rows = query_vecs.filter(wanted).select("role", "stage", "query_vec").limit(2 * len(requests) + 1).collect()
+    found = {(r["role"], r["stage"]): r["query_vec"] for r in rows}
+    if len(found) < len(rows):
+        raise ValueError("more than one query vector for one role and stage")
+    picked = {(r, s): found.get((r, s), found.get((r, None))) for r, s, _ in requests}
+    return {k: v for k, v in picked.items() if v is not None}
+
+
 def pack_context(routed: DataFrame, *, group: Sequence[str], include_metadata: bool = True) -> DataFrame:
     """The chosen rows of each group as one text: a header and a line per item in rank order."""
     if include_metadata:
@@ -214,12 +239,20 @@ def memory_upsert(
     Adds ``state`` (current: the winner now; replaced: a former winner; kept: a loser, whose
     confidence is capped) and ``version`` (1 plus the wins before it; losers have 1).
 
+    Items with a NULL in the key conflict with nothing: each is current, version 1, and its
+    confidence is its own. They take no part in the fold.
+
     The rule is not transitive, so items are folded in arrival order. Keys with more than
     ``limit`` items are folded block by block in parallel: every block starts from a guess
     of its incoming winner (none at first), and blocks whose guess was wrong are folded
     again with the winner their predecessor reported, until nothing changes.
     """
     order, id = list(order), list(order)[-1]
+    keyless = F.lit(False)
+    for k in key:
+        keyless = keyless | F.col(k).isNull()
+    alone = df.filter(keyless).withColumns({"state": F.lit("current"), "version": F.lit(1).cast("long")})
+    df = df.filter(~keyless)
     slim = df.select(*key, *order, "confidence", F.unix_micros(F.col(order[0]).cast("timestamp")).alias("_at"))
     s = split_groups(slim, list(key), order, limit)
     keys, by = s.keys, s.ord
@@ -239,13 +272,14 @@ def memory_upsert(
     last = flat.filter("_won").groupBy(*key).agg(F.max_by(id, F.struct(*order)).alias(id)).withColumn("_last", F.lit(True))
     marks = counted.select(id, "_won", "_wins").join(last.select(id, "_last"), id, "left")
     state = F.when(~F.col("_won"), "kept").when(F.col("_last"), "current").otherwise("replaced")
-    return df.join(marks, id).withColumns(
+    folded = df.join(marks, id).withColumns(
         {
             "state": state,
             "version": F.when(F.col("_won"), F.col("_wins")).otherwise(1).cast("long"),
             "confidence": F.when(F.col("_won"), F.col("confidence")).otherwise(F.least(F.col("confidence"), F.lit(loser_cap))),
         }
     ).drop("_won", "_wins", "_last")
+    return folded.unionByName(alone.withColumn("confidence", F.col("confidence").cast(folded.schema["confidence"].dataType)))
 
 
 def _fold_hot(s, keys: list[str], band: float, extra: list) -> DataFrame:

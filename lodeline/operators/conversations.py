@@ -21,17 +21,18 @@ def conversation_assemble(messages: DataFrame, *, conv: str = "conv_id", order:
 
 
 def render_chat_template(
-    messages: DataFrame, *, conv: str = "conv_id", order: str = "turn", style: str = "named", part_messages: int = 1000
+    messages: DataFrame, *, conv: str = "conv_id", order: str = "turn", style: str = "named", part_messages: int | None = None
 ) -> DataFrame:
-    """One prompt text per conversation.
+    """One prompt text per conversation (``part`` 0).
 
-    A conversation longer than ``part_messages`` is written as consecutive parts, so no
-    task ever holds more than that many messages; the parts in order are the whole text.
+    With ``part_messages`` every conversation is written as consecutive parts of so many
+    messages, so no task holds more; the parts in order are the whole text.
     """
     placed = row_positions(messages, [conv], [order], name="_pos", total="_size")
     prefix = role_prefix(F.col("role"), style)
     line = F.when(prefix.isNull(), F.lit("")).otherwise(F.concat(prefix, F.lit(": "), F.col("text"), F.lit("\n")))
-    placed = placed.withColumn("part", F.floor((F.col("_pos") - 1) / part_messages)).withColumn("_line", line)
+    part = F.floor((F.col("_pos") - 1) / part_messages) if part_messages else F.lit(0).cast("long")
+    placed = placed.withColumn("part", part).withColumn("_line", line)
     listed = F.array_sort(F.collect_list(F.struct("_pos", "_line")))
     text = F.array_join(F.transform(listed, lambda x: x["_line"]), "")
     made = placed.groupBy(conv, "part").agg(text.alias("prompt"), F.max("_pos").alias("_last"), F.max("_size").alias("_size"))

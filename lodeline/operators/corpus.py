@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeline.functions.text import SENSITIVE_PATTERNS, count_matches, words
@@ -117,12 +117,12 @@ def corpus_grep(
     query: str,
     regex: bool = False,
     case_insensitive: bool = True,
-    max_matches: int | None = 200,
-    max_chars: int = 1_000_000,
+    max_matches: int | None = None,
+    max_chars: int | None = None,
     include: Column | None = None,
 ) -> DataFrame:
-    """Lines that match, in document and line order; larger documents are skipped by definition."""
-    df = docs.filter(F.length("text") <= max_chars)
+    """All lines that match. ``max_matches`` takes the first in document and line order, ``max_chars`` skips longer texts."""
+    df = docs if max_chars is None else docs.filter(F.length("text") <= max_chars)
     if include is not None:
         df = df.filter(include)
     found = lines(df.select("doc_id", "text"))
@@ -134,9 +134,9 @@ def corpus_grep(
     return found.orderBy("doc_id", "line_number").limit(max_matches) if max_matches else found
 
 
-def line_range(docs: DataFrame, *, start: int, end: int, max_lines: int = 2000) -> DataFrame:
-    """Lines start..end of each text (at most ``max_lines``) with the number of all lines."""
-    end = min(end, start + max_lines - 1)
+def line_range(docs: DataFrame, *, start: int, end: int, max_lines: int | None = None) -> DataFrame:
+    """Lines start..end of each text (with ``max_lines`` at most so many) with the number of all lines."""
+    end = end if max_lines is None else min(end, start + max_lines - 1)
     cut = docs.withColumn("_all", F.split("text", "\n"))
     part = F.slice("_all", start, end - start + 1)
     rows = cut.select("doc_id", F.size("_all").alias("total_lines"), F.posexplode(part).alias("_i", "line"))
@@ -149,11 +149,14 @@ def keyword_distribution(df: DataFrame, keywords: Sequence[str], *, text: str =
     The keyword list is given by the caller, and words are counted before they are shuffled.
     """
     wanted = list(dict.fromkeys(keywords))
-    found = df.select(F.explode(words(F.col(text))).alias("keyword")).filter(F.col("keyword").isin(wanted))
+    listed = F.array(*[F.lit(w) for w in wanted]).cast("array<string>")
+    mine = F.filter(words(F.col(text)), lambda w: F.array_contains(listed, w))
+    found = df.select(F.explode(mine).alias("keyword"))
     counts = found.groupBy("keyword").agg(F.count(F.lit(1)).alias("n"))
     listed = df.sparkSession.createDataFrame([(w,) for w in wanted], "keyword string")
     filled = listed.join(counts, "keyword", "left").select("keyword", F.coalesce("n", F.lit(0)).alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
+    # A row per keyword of the list: its total needs no second pass over the texts.
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
     return filled.withColumn("pct", F.coalesce(F.try_divide(F.col("n"), total) * 100, F.lit(0.0)))
 
 

@@ -78,22 +78,32 @@ def bfs(
     return visited
 
 
-def link_graph(pages: DataFrame) -> DataFrame:
+def link_graph(pages: DataFrame, *, same_host: bool = False) -> DataFrame:
     """Pages and their relative links as a two-sided graph: page -> link -> page.
 
-    Two pages with a common link are two steps apart; pairs of pages are never written.
+    Two pages with a common link are two steps apart; pairs of pages are never written. With
+    ``same_host`` a link belongs to the host of its page, so no walk leaves a host.
     """
     href = F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))))
-    link = pages.select(F.concat(F.lit("p:"), F.col("page_id").cast("string")).alias("page"), href.alias("href"))
-    link = link.withColumn("href", F.concat(F.lit("h:"), "href"))
+    host = F.coalesce(F.parse_url("url", F.lit("HOST")), F.lit("")) if same_host else F.lit("")
+    link = pages.select(F.concat(F.lit("p:"), F.col("page_id").cast("string")).alias("page"), host.alias("host"), href.alias("href"))
+    link = link.withColumn("href", F.concat(F.lit("h:"), "host", "href"))
     there = link.select(F.col("page").alias("src"), F.col("href").alias("dst"))
     return there.unionByName(link.select(F.col("href").alias("src"), F.col("page").alias("dst")))
 
 
-def bounded_crawl(pages: DataFrame, *, seed: int = 0, max_depth: int = 2, max_pages: int = 50) -> DataFrame:
-    """The first ``max_pages`` pages in breadth-first order; within a level by URL, then id."""
-    found = bfs(link_graph(pages), pages.sparkSession.createDataFrame([(f"p:{seed}",)], "node string"), max_depth=2 * max_depth)
+def bounded_crawl(
+    pages: DataFrame, *, seed: int = 0, max_depth: int = 2, max_pages: int | None = None, same_host: bool = True
+) -> DataFrame:
+    """Pages in breadth-first order from a seed; within a level by URL, then id.
+
+    ``same_host`` stays on the seed's host; ``max_pages`` takes the first so many. The links are
+    read from the pages once.
+    """
+    edges = stored(link_graph(pages, same_host=same_host), "links")
+    found = bfs(edges, pages.sparkSession.createDataFrame([(f"p:{seed}",)], "node string"), max_depth=2 * max_depth)
     on_page = found.filter(F.col("node").startswith("p:")).select(
         F.substring_index("node", ":", -1).cast("long").alias("page_id"), (F.col("depth") / 2).cast("int").alias("depth")
     )
-    return on_page.join(pages.select("page_id", "url"), "page_id").orderBy("depth", "url", "page_id").limit(max_pages)
+    listed = on_page.join(pages.select("page_id", "url"), "page_id").orderBy("depth", "url", "page_id")
+    return listed if max_pages is None else listed.limit(max_pages)

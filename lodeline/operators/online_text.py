@@ -96,29 +96,37 @@ def prequential_nb(df: DataFrame, *, order: str, text: str, label: str, smoothin
     )
 
 
-def fit_batch_nb(train: DataFrame, *, text: str, label: str, vocabulary: int = 1 << 18):
-    """Word counts and multinomial naive Bayes with smoothing 1."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import NaiveBayes
-    from pyspark.ml.feature import CountVectorizer, RegexTokenizer
-
-    stages = [
-        RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"\s+"),
-        CountVectorizer(inputCol="_words", outputCol="_counts", vocabSize=vocabulary),
-        NaiveBayes(featuresCol="_counts", labelCol=label, modelType="multinomial", smoothing=1.0),
+def fit_batch_nb(train: DataFrame, *, text: str, label: str) -> tuple[DataFrame, dict[str, int]]:
+    """Word counts per class as a table of all words (w, n0, n1), and the totals: words, vocabulary and messages."""
+    of = lambda c, x: F.coalesce(F.sum(F.when(F.col(label) == c, x).otherwise(0)), F.lit(0)).cast("long")
+    tokens = train.select(label, F.explode(words(F.lower(text))).alias("w"))
+    counts = stored(tokens.groupBy("w").agg(*[of(c, F.lit(1)).alias(f"n{c}") for c in (0, 1)]), "word-counts")
+    sums = counts.agg(F.count("w").alias("v"), *[F.coalesce(F.sum(f"n{c}"), F.lit(0)).alias(f"t{c}") for c in (0, 1)]).first()
+    seen = train.agg(*[of(c, F.lit(1)).alias(f"d{c}") for c in (0, 1)]).first()
+    return counts, {**sums.asDict(), **seen.asDict()}
+
+
+def batch_naive_bayes(
+    train: DataFrame, stream: DataFrame, *, order: str, text: str, label: str, keep: list[str], smoothing: float = 1.0
+) -> DataFrame:
+    """The stream scored by a model fixed on the training part: prediction and confidence.
+
+    Multinomial naive Bayes with all training words; words that training never saw are left
+    out. ``order`` is the unique id of a message. A class without training messages is never
+    predicted.
+    """
+    counts, t = fit_batch_nb(train, text=text, label=label)
+    tokens = token_counts(stream, order=order, text=text, label=label).join(counts, "w")
+    parts = [
+        F.sum(F.col("tf") * log_score(F.col(f"n{c}"), F.lit(t[f"t{c}"]), F.lit(t["v"]), smoothing)).alias(f"_s{c}") for c in (0, 1)
     ]
-    return Pipeline(stages=stages).fit(train)
-
-
-def batch_naive_bayes(train: DataFrame, stream: DataFrame, *, text: str, label: str, keep: list[str]) -> DataFrame:
-    """The stream scored by a model fixed on the training part: prediction and confidence."""
-    from pyspark.ml.functions import vector_to_array
-
-    p = vector_to_array("probability")
-    scored = fit_batch_nb(train, text=text, label=label).transform(stream)
-    return scored.select(
-        *keep, F.when(p[1] > 0.5, 1).otherwise(0).alias("batch_pred"), F.greatest(p[0], p[1]).alias("batch_confidence")
-    )
+    sums = tokens.groupBy(order).agg(*parts)
+    seen = t["d0"] + t["d1"]
+    prior = [F.log(F.lit(t[f"d{c}"] / seen)) if t[f"d{c}"] else F.lit(None).cast("double") for c in (0, 1)]
+    rows = stream.select(*dict.fromkeys([order, *keep])).join(sums, order, "left").fillna(0.0, ["_s0", "_s1"])
+    s0, s1 = F.col("_s0") + prior[0], F.col("_s1") + prior[1]
+    sure = 1 / (1 + F.exp(-F.abs(s1 - s0)))
+    return rows.select(*keep, decide(s0, s1).alias("batch_pred"), F.coalesce(sure, F.lit(1.0)).alias("batch_confidence"))
 
 
 def drift_scoreboard(online: DataFrame, batch: DataFrame, *, order: str, label: str, phase: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.functions.text import clean_path_list, json_span
+from lodeline.functions.text import clean_path_list, json_span, strip
 
 # The arrays of a structured reply and the item type of each.
 ITEM_ARRAYS = {"decisions": "decision", "entities": "entity", "facts": "fact", "plans": "plan", "tool_traces": "tool_trace"}
@@ -50,7 +50,7 @@ def extract_items(df: DataFrame, *, text: str, roles: Sequence[str] = (), stages
     fallback = F.array(
         F.struct(
             F.lit("fact").alias("type"),
-            F.trim(F.col(text)).alias("text"),
+            strip(F.col(text)).alias("text"),
             F.lit(FALLBACK_CONFIDENCE).alias("confidence"),
             tag(roles).alias("roles"),
             tag(stages).alias("stages"),
@@ -92,16 +92,16 @@ def validate_plans(df: DataFrame, record: str) -> DataFrame:
     p = p.withColumn("tasks", F.when(F.size("tasks") == 0, F.col("files")).otherwise(F.col("tasks")))
     described = F.forall(
         "files",
-        lambda f: F.trim(F.coalesce(F.try_element_at(F.col("_p.`Data structures and interfaces`"), f), F.lit(""))) != "",
+        lambda f: strip(F.coalesce(F.try_element_at(F.col("_p.`Data structures and interfaces`"), f), F.lit(""))) != "",
     )
     flow = F.col("_p.`Program call flow`")
-    flow_ok = flow.isNotNull() & F.coalesce(F.forall(flow, lambda s: s.isNotNull() & (F.trim(s) != "")), F.lit(False))
+    flow_ok = flow.isNotNull() & F.coalesce(F.forall(flow, lambda s: s.isNotNull() & (strip(s) != "")), F.lit(False))
     reason = (
         F.when(F.col("_keys").isNull(), F.lit("not a JSON object"))
         .when(F.size(absent) > 0, F.concat(F.lit("missing keys: "), F.array_join(absent, ", ")))
         .when(F.size("files") == 0, F.lit("File list must contain at least one filename"))
         .when(
-            F.length(F.trim(F.coalesce(F.col("_p.`Implementation approach`"), F.lit("")))) < 20,
+            F.length(strip(F.coalesce(F.col("_p.`Implementation approach`"), F.lit("")))) < 20,
             F.lit("Implementation approach must be descriptive"),
         )
         .when(~described, F.lit("Data structures and interfaces must describe every file"))

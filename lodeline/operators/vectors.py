@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeline.functions.text import strip
 from lodeline.operators.aggregates import topk_per_group
 
 SIM_DIGITS = 9
@@ -229,7 +230,7 @@ def zero_shot_multilabel(
     Scores are cosines against one prototype vector per label, or come from ``score_fn``
     (text batches in, array of (label, score) out). Blank texts are skipped.
     """
-    df = pages.filter(F.trim(text) != "")
+    df = pages.filter(strip(F.col(text) if isinstance(text, str) else text) != "")
     kind = "array<struct<label:string,score:double>>"
     if score_fn is not None:
         scored = df.withColumn("labels", F.pandas_udf(score_fn, kind)(F.col(text)))

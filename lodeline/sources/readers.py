@@ -139,7 +139,7 @@ def scan_documents_dir(spark: SparkSession, path: str, names: DataFrame | None =
     return joined.withColumn("original", F.coalesce("_o", "file")).drop("_o")
 
 
-def list_files(spark: SparkSession, path: str, *, glob: str = "*", max_items: int | None = 200) -> DataFrame:
+def list_files(spark: SparkSession, path: str, *, glob: str = "*", max_items: int | None = None) -> DataFrame:
     """Name, type and size of the files that match; contents are not read."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,19 +38,36 @@ def incremental_append_to_path(
 ) -> None:
     """Append the new rows to a stored table; the first load takes everything."""
     spark = batch.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    fresh = batch
-    if exists:
-        stored = spark.read.parquet(path).select(partition_col, offset_col)
-        fresh = new_rows(stored, batch, partition_col=partition_col, offset_col=offset_col)
+    try:
+        known = spark.read.parquet(path).select(partition_col, offset_col)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        known = None
+    fresh = batch if known is None else new_rows(known, batch, partition_col=partition_col, offset_col=offset_col)
     fresh.write.mode("append").parquet(path)
 
 
-def incremental_upsert(target: DataFrame, batch: DataFrame, *, keys: Sequence[str]) -> DataFrame:
-    """Batch rows replace target rows with the same key; others stay."""
+def incremental_upsert(
+    target: DataFrame, batch: DataFrame, *, keys: Sequence[str], order: Sequence[str] | None = None, above: Column | None = None
+) -> DataFrame:
+    """Batch rows replace target rows with the same key; others stay. A key is unique in the result.
+
+    ``order`` names the columns by which the newest of several batch rows of a key is taken;
+    without it such a batch fails the job. ``above`` is a predicate on the batch, such as an
+    offset above the stored one: rows it does not admit are old and change nothing.
+    """
+    batch = batch if above is None else batch.where(above)
+    rest = [c for c in batch.columns if c not in keys]
+    row = F.struct(*rest) if rest else F.struct(F.lit(1).alias("_one"))
+    if order is not None:
+        best = F.max_by(row, F.struct(*[F.col(c) for c in order], F.xxhash64(*batch.columns)))
+    else:
+        clash = F.raise_error(F.lit("the batch holds a key more than once; name an order"))
+        best = F.when(F.count(F.lit(1)) > 1, clash).otherwise(F.any_value(row))
+    newest = batch.groupBy(*keys).agg(best.alias("_row")).select(*keys, *[F.col(f"_row.`{c}`").alias(c) for c in rest])
     kept = target.join(batch.select(*keys).distinct(), list(keys), "left_anti")
-    return kept.unionByName(batch, allowMissingColumns=True)
+    return kept.unionByName(newest.select(*batch.columns), allowMissingColumns=True)
 
 
 def materialize_layers(silver: DataFrame, gold: dict[str, DataFrame], path: str, *, prefix: str = "") -> None:

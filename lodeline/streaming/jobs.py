@@ -152,7 +152,8 @@ def memory_upserts(
 ) -> DataFrame:
     """Each arriving item with whether it won its key, its version and its kept confidence.
 
-    One state row per key: the winner's confidence and time, and the number of wins.
+    One state row per key: the winner's confidence and time, and the number of wins. Items with a
+    NULL in the key conflict with nothing: each wins with version 1 and leaves no state.
     """
     fields = {f.name: f for f in stream.schema.fields}
     id = order[-1]
@@ -178,7 +179,15 @@ def memory_upserts(
         yield pd.DataFrame(rows, columns=[f.name for f in out_schema.fields])
 
     slim = stream.select(*keys, *order, "confidence", F.unix_micros(order[0]).alias("_at"))
-    return slim.groupBy(*keys).applyInPandasWithState(step, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+    keyless = F.lit(False)
+    for k in keys:
+        keyless = keyless | F.col(k).isNull()
+    alone = slim.filter(keyless).select(
+        *keys, id, F.lit(True).alias("won"), F.lit(1).cast("long").alias("version"), F.col("confidence").cast("double")
+    )
+    folded = slim.filter(~keyless).groupBy(*keys)
+    folded = folded.applyInPandasWithState(step, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+    return folded.unionByName(alone)
 
 
 def prequential_nb(

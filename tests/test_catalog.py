@@ -14,6 +14,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
+    c.execute("SET max_temp_directory_size = '2GB'")
     for t in TABLES:
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return c
