@@ -10,26 +10,44 @@ open, the fullest closes.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.llm.common import map_arrow
+from lodeline.llm.common import byte_alphabet, map_arrow
 from lodeline.session import stored
 
 END_ID = 0
 GROUP_TOKENS = 1 << 25
 GROUP_PIECES = 500_000
 OPEN_BINS = 512
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 LONG_WORD = 64
 
 # Text may be cut at ASCII white space without changing its tokens: the tokenizer drops white
 # space, and neither its pattern nor its normal form joins what white space parts.
 _chunks = re.compile(r"[^ \t\n\r\f\v]+").findall
+
+# Texts of characters below U+0180 are their own normal form and fall into words by a fixed
+# pattern, so their lower-cased words can be looked up. Other texts, and those with a character
+# that lower-cases to two or with the mark of a special token, are given to the tokenizer.
+SIMPLE = 0x180
+_special = re.compile(f"[^\\x00-{chr(SIMPLE - 1)}]|\u0130|<\\|").search
+
+
+def _class(kind: str) -> str:
+    return "".join(re.escape(chr(i)) for i in range(SIMPLE) if unicodedata.category(chr(i))[0] == kind)
+
+
+# The tokenizer's own pattern of words.
+_words = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^ \t\n\r\f\v\x85\xa0{_class('L')}{_class('N')}]+"
+).findall
 _state: dict = {}
 
 
@@ -40,20 +58,32 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.merge = self.tokenizer.model.tokenize
+        self.stand_in = {ord(byte): char for char, byte in byte_alphabet().items()}
+
+    def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def _encode(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def _word_ids(self, word: str) -> bytes:
+        """A word that is in normal form, lower case and one match of the pattern needs the merges alone."""
+        return array("I", [t.id for t in self.merge(word.encode().decode("latin-1").translate(self.stand_in))]).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        chunks = [_chunks(t) if t else [] for t in texts]
-        cache = self.cache
+        cache, parts, chunks, words = self.cache, [], set(), set()
         if len(cache) > CACHE_WORDS:
             cache.clear()
-        new = list({w for ws in chunks for w in ws if w not in cache})
-        known = dict(zip(new, self._encode(new)))
-        out = [b"".join([cache[w] if w in cache else known[w] for w in ws]) for ws in chunks]
-        cache.update((w, ids) for w, ids in known.items() if len(w) <= LONG_WORD)
+        for t in texts:
+            odd = t and _special(t)
+            parts.append([] if not t else _chunks(t) if odd else _words(t.lower()))
+            (chunks if odd else words).update(parts[-1])
+        new = [*(w for w in words if w not in cache), *(w for w in chunks - words if w not in cache)]
+        cache.update((w, self._word_ids(w)) for w in words if w not in cache)
+        chunks = [w for w in chunks if w not in cache]
+        cache.update(zip(chunks, self._chunk_ids(chunks)))
+        out = [b"".join(map(cache.__getitem__, ws)) for ws in parts]
+        for w in new:
+            if len(w) > LONG_WORD:
+                del cache[w]
         return out
 
 
