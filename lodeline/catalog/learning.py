@@ -13,8 +13,7 @@ from lodeline.operators import asof, metrics, ml, online_text, series, windows
 from lodeline.operators.aggregates import exact_quantiles
 from lodeline.session import stored, work_dir
 
-# Spark trains quickly on few trees; the library default is the full forest.
-TREES = 20
+TREES = 100
 FEATURES = [f"{c}_{k}" for c in ROLL_COLS for k in ("std", "mean")] + ["texture_score", "gs_mean", "gs_spread"]
 
 
@@ -93,16 +92,17 @@ def _(spark, sf):
 @query("leakage_gap_report")
 def _(spark, sf):
     req = requests(spark, sf)
-    honest = asof.asof_aggregates(req, ts="created", parents=PARENTS, cols=["k"], aggs=("count", "mean"), label="label")
+    aggs = ("count", "mean", "max", "min", "std")
+    honest = asof.asof_aggregates(req, ts="created", parents=PARENTS, cols=["k"], aggs=aggs, label="label")
     shortcut = req
     for p in PARENTS:
-        shortcut = asof.feature_broadcast_back(shortcut, parent=p, cols=["label"], aggs=("count", "mean")).drop(f"{p}__ROWS")
+        shortcut = asof.feature_broadcast_back(shortcut, parent=p, cols=["k", "label"], aggs=aggs).drop(f"{p}__ROWS")
     return ml.leakage_gap_report(
         honest,
         shortcut,
-        honest_features=[asof.feature_name(p, "mean", c) for p in PARENTS for c in ("k", "label")],
-        shortcut_features=[asof.feature_name(p, a, "label") for p in PARENTS for a in ("count", "mean")],
-        key="unique_key", order=["created"], label="label", n_splits=3, repeats=2, trees=5,
+        honest_features=["k", *(asof.feature_name(p, a, c) for p in PARENTS for c in ("k", "label") for a in aggs)],
+        shortcut_features=["k", *(asof.feature_name(p, a, c) for p in PARENTS for c in ("k", "label") for a in aggs)],
+        key="unique_key", order=["created"], label="label",
     )
 
 

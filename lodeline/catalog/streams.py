@@ -1,4 +1,7 @@
-"""Streaming jobs driven over the driver tables; their results equal the batch forms."""
+"""Streaming jobs driven over the driver tables.
+
+Their results equal the batch forms, except that the online classifier learns per micro-batch.
+"""
 
 from __future__ import annotations
 
@@ -18,16 +21,30 @@ from lodeline.streaming import jobs
 PARTS = 4
 
 
-def _in_time_order(df, ts: str, path: str, parts: int = PARTS):
-    """Write the rows slice by slice in time order and stream them in that order."""
+def _in_time_order(df, ts: str, path: str, parts: int = PARTS, files: int = 1, closing=None):
+    """Write the rows slice by slice in time order, each in ``files`` files, and stream them.
+
+    With several files the rows of a slice arrive in any order. ``closing`` rows come last.
+    """
     at = F.col(ts).cast("double")
     low, high = df.agg(F.min(at), F.max(at)).first()
     part = F.least(F.floor((at - low) / max(high - low, 1e-9) * parts), F.lit(parts - 1))
     for i in range(parts):
-        df.filter(part == i).write.mode("append").parquet(path)
+        df.filter(part == i).repartition(files).write.mode("append").parquet(path)
+    if closing is not None:
+        closing.coalesce(1).write.mode("append").parquet(path)
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 8).parquet(path)
 
 
+def _unordered(df, ts: str, path: str, **closing):
+    """The rows in many small files, how late a row may be, and a last row far ahead that lets all others pass."""
+    low, high = df.agg(F.min(ts), F.max(ts)).first()
+    late = (high - low) / PARTS * 2
+    last = {**{c: None for c in df.columns}, ts: high + 2 * late, **closing}
+    row = df.sparkSession.createDataFrame([tuple(last[c] for c in df.columns)], df.schema)
+    return _in_time_order(df, ts, path, files=12, closing=row), f"{int(late.total_seconds()) + 1} seconds"
+
+
 def _run(stream_query):
     stream_query.awaitTermination()
 
@@ -108,9 +125,9 @@ def _(spark, sf):
 def _(spark, sf):
     src, out = work_dir(spark, "readings"), work_dir(spark, "rolling")
     t = telemetry(spark, sf).select("device_id", "session_id", "event_timestamp", "kafka_offset", *ROLL_COLS)
-    stream = _in_time_order(t, "event_timestamp", src)
+    stream, late = _unordered(t, "event_timestamp", src, device_id=-1, session_id="end", kafka_offset=-1)
     made = jobs.rolling_features(
-        stream, keys=["device_id", "session_id"], order=["event_timestamp", "kafka_offset"], cols=ROLL_COLS
+        stream, keys=["device_id", "session_id"], order=["event_timestamp", "kafka_offset"], cols=ROLL_COLS, late=late
     )
     _run(jobs.write_files(made, f"{out}/rows", f"{out}/checkpoint"))
     return _rolling_out(spark.read.schema(made.schema).parquet(f"{out}/rows"))
@@ -129,18 +146,23 @@ def _(spark, sf):
 def _(spark, sf):
     src, out = work_dir(spark, "stream-items"), work_dir(spark, "stream-upserts")
     m = memory(spark, sf).select("type", "key", "ts", "id", "confidence")
-    made = jobs.memory_upserts(_in_time_order(m, "ts", src))
+    stream, late = _unordered(m, "ts", src, id=-1, confidence=0.0)
+    made = jobs.memory_upserts(stream, late=late)
     _run(jobs.write_files(made, f"{out}/rows", f"{out}/checkpoint"))
-    return spark.read.schema(made.schema).parquet(f"{out}/rows").select("id", "won", "version", "confidence")
+    rows = spark.read.schema(made.schema).parquet(f"{out}/rows").filter(F.col("id") >= 0)
+    return rows.select("id", "won", "version", "confidence")
 
 
 @query(
     "stream_drift_monitor",
-    f"""WITH t AS (SELECT doc_id, quality = toxic AS ok, unnest(regexp_split_to_array(text, '\\s+')) AS keyword
-                   FROM documents JOIN labels USING (doc_id))
-        SELECT date_trunc('hour', TIMESTAMP '2024-01-01' + to_minutes(doc_id)) AS start, keyword, count(*) AS hits,
-               round(avg(CAST(ok AS DOUBLE)), 6) AS hit_accuracy FROM t
-        WHERE keyword IN ({', '.join(repr(k) for k in KEYWORDS)}) GROUP BY 1, 2""",
+    f"""WITH m AS (SELECT date_trunc('hour', TIMESTAMP '2024-01-01' + to_minutes(doc_id)) AS start, quality = toxic AS ok,
+             list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w IN ({', '.join(repr(k) for k in KEYWORDS)})) AS f
+             FROM documents JOIN labels USING (doc_id)),
+        k AS (SELECT unnest([{', '.join(repr(k) for k in KEYWORDS)}]) AS keyword),
+        x AS (SELECT start, keyword, ok, len(list_filter(f, lambda w: w = keyword)) AS n, len(f) AS a FROM m, k)
+        SELECT start, keyword, CAST(sum(n) AS BIGINT) AS hits,
+               round(CASE WHEN sum(a) > 0 THEN sum(n) * 100.0 / sum(a) ELSE 0.0 END, 6) AS pct, count(*) AS messages,
+               round(avg(CAST(ok AS DOUBLE)), 6) AS accuracy FROM x GROUP BY 1, 2""",
 )
 def _(spark, sf):
     src, out = work_dir(spark, "drift-messages"), work_dir(spark, "drift")
@@ -151,4 +173,6 @@ def _(spark, sf):
     made = jobs.drift_monitor(_in_time_order(lab, "ts", src), base, ts="ts", text="text", correct="ok")
     _run(jobs.write_updates(made, f"{out}/rows", f"{out}/checkpoint"))
     df = jobs.latest_updates(spark, f"{out}/rows", made.schema, ["start", "keyword"])
-    return df.select(ntz("start").alias("start"), "keyword", "hits", r6(F.col("hit_accuracy")).alias("hit_accuracy"))
+    return df.select(
+        ntz("start").alias("start"), "keyword", "hits", r6(F.col("pct")).alias("pct"), "messages", r6(F.col("accuracy")).alias("accuracy")
+    )

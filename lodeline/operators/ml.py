@@ -90,7 +90,7 @@ def leakage_gap_report(
 ) -> DataFrame:
     """Mean AUC of as-of features under walk-forward evaluation, against global features under shuffled splits.
 
-    One row per setting and fold, plus the two means and their gap.
+    One row per setting and fold, plus the two means and their gap (shortcut minus honest).
     """
     spark = honest.sparkSession
     cols = lambda df, fs: df.select(key, *order, label, *fs).fillna(0, list(fs))
@@ -107,8 +107,11 @@ def leakage_gap_report(
         train, test = split.filter(F.col("split") == "train"), split.filter(F.col("split") == "test")
         rows.append(("shortcut", i, _binary_auc(train, test, shortcut_features, label, trees, 42)))
     per = spark.createDataFrame([r for r in rows if r[2] is not None], "setting string, fold int, auc double")
-    means = per.groupBy("setting").agg(F.avg("auc").alias("auc")).select("setting", F.lit(None).cast("int").alias("fold"), "auc")
-    return per.unionByName(means)
+    fold = F.lit(None).cast("int").alias("fold")
+    means = per.groupBy("setting").agg(F.avg("auc").alias("auc")).select("setting", fold, "auc")
+    of = lambda name: F.avg(F.when(F.col("setting") == name, F.col("auc")))
+    gap = per.agg((of("shortcut") - of("honest")).alias("auc")).select(F.lit("gap").alias("setting"), fold, "auc")
+    return per.unionByName(means).unionByName(gap)
 
 
 # The inputs of the load forecast.

@@ -22,7 +22,7 @@ from lodeline.operators.online_text import decide, log_score, token_counts
 from lodeline.sources.readers import flatten_events
 
 
-MAX_KEYWORDS = 10_000
+MAX_KEYWORDS = 1_000
 
 
 def _start(writer, checkpoint: str, available_now: bool, every: str):
@@ -97,32 +97,44 @@ def latest_updates(spark, path: str, schema: T.StructType, keys: Sequence[str])
 
 def rolling_features(
     stream: DataFrame, *, keys: Sequence[str], order: Sequence[str], cols: Sequence[str], rows: int = 10,
-    idle: str | None = None,
+    idle: str | None = None, late: str | None = None,
 ) -> DataFrame:
     """Stddev and mean of the last ``rows`` readings of a session, from the ``rows``-th on.
 
     The state of a session is its last ``rows - 1`` readings with their times. With ``idle``
     a session starts anew after a pause of that length, and its state is removed once the
-    watermark has passed. A micro-batch must not hold readings older than those already
-    seen of the session.
+    watermark has passed. With ``late`` readings may arrive out of order by up to that much
+    event time, however files and micro-batches cut them: they wait in the state until the
+    watermark has passed them. Without it a micro-batch must not hold readings older than
+    those already seen of the session.
     """
     names = [f"{c}_{k}" for c in cols for k in ("std", "mean")]
     fields = {f.name: f for f in stream.schema.fields}
     out_schema = T.StructType(
         [fields[k] for k in keys] + [fields[order[-1]]] + [T.StructField(n, T.DoubleType()) for n in [*names, "texture_score"]]
     )
-    state_schema = T.StructType([T.StructField("buffer", T.ArrayType(T.ArrayType(T.DoubleType())))])
+    rows_type = T.ArrayType(T.ArrayType(T.DoubleType()))
+    state_schema = T.StructType(
+        [T.StructField("buffer", rows_type), T.StructField("held", rows_type), T.StructField("held_last", T.ArrayType(fields[order[-1]].dataType))]
+    )
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
     order, cols, last = list(order), list(cols), order[-1]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+        old, held, held_last = ([list(r) for r in state.get[0]], [list(r) for r in state.get[1]], list(state.get[2])) if state.exists else ([], [], [])
+        if not state.hasTimedOut:
+            pdf = pd.concat(list(batches)).sort_values(order)
+            times = pdf[order[0]].map(lambda t: t.timestamp() * 1000.0)
+            held += [[t, *v] for t, v in zip(times, pdf[cols].astype("float64").to_numpy().tolist())]
+            held_last += pdf[last].tolist()
+        passed = state.getCurrentWatermarkMs() if late else float("inf")
+        ready = sorted((r[0], o, i) for i, (r, o) in enumerate(zip(held, held_last)) if r[0] < passed)
+        new, new_last = [held[i] for _, _, i in ready], [o for _, o, _ in ready]
+        wait = sorted(set(range(len(held))) - {i for _, _, i in ready})
+        held, held_last = [held[i] for i in wait], [held_last[i] for i in wait]
+        if not new and not held:
+            state.remove()  # a pause has ended the session
             return
-        pdf = pd.concat(list(batches)).sort_values(order)
-        old = [list(r) for r in state.get[0]] if state.exists else []
-        times = pdf[order[0]].map(lambda t: t.timestamp() * 1000.0)
-        new = [[t, *v] for t, v in zip(times, pdf[cols].astype("float64").to_numpy().tolist())]
         values = pd.DataFrame(old + new, columns=["_ms", *cols])
         # A pause longer than ``idle`` starts the session anew; no frame may reach across it.
         part = (values["_ms"].diff() > idle_ms).cumsum() if idle_ms else pd.Series(0, index=values.index)
@@ -130,30 +142,38 @@ def rolling_features(
         rolled = values[cols].rolling(rows, min_periods=rows)
         std, mean = rolled.std(), rolled.mean()
         made = pd.DataFrame(dict(zip(keys, [[v] * len(new) for v in key])))
-        made[last] = pdf[last].to_numpy()
+        made[last] = new_last
         for c in cols:
             made[f"{c}_std"] = std[c].to_numpy()[len(old) :]
             made[f"{c}_mean"] = mean[c].to_numpy()[len(old) :]
         made["texture_score"] = made[[f"{c}_std" for c in cols]].mean(axis=1)
-        state.update(((old + new)[-(rows - 1) :],))
-        if idle_ms:
-            state.setTimeoutTimestamp(int(times.iloc[-1]) + idle_ms)
-        yield made[place.to_numpy()[len(old) :] >= rows - 1]
+        keep = (old + new)[-(rows - 1) :]
+        state.update((keep, held, held_last))
+        if held:
+            state.setTimeoutTimestamp(int(max(passed, min(r[0] for r in held))) + 1)
+        elif idle_ms and keep:
+            state.setTimeoutTimestamp(max(int(keep[-1][0]) + idle_ms, state.getCurrentWatermarkMs() + 1))
+        full = made[place.to_numpy()[len(old) :] >= rows - 1]
+        if len(full):
+            yield full
 
     slim = stream.select(*keys, *order, *cols)
-    slim = slim.withWatermark(order[0], idle) if idle else slim
-    forget = GroupStateTimeout.EventTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    slim = slim.withWatermark(order[0], late or idle) if late or idle else slim
+    forget = GroupStateTimeout.EventTimeTimeout if late or idle else GroupStateTimeout.NoTimeout
     return slim.groupBy(*keys).applyInPandasWithState(step, out_schema, state_schema, "append", forget)
 
 
 def memory_upserts(
     stream: DataFrame, *, keys: Sequence[str] = ("type", "key"), order: Sequence[str] = ("ts", "id"), band: float = CONFIDENCE_BAND,
-    loser_cap: float = LOSER_CAP,
+    loser_cap: float = LOSER_CAP, late: str | None = None,
 ) -> DataFrame:
     """Each arriving item with whether it won its key, its version and its kept confidence.
 
     One state row per key: the winner's confidence and time, and the number of wins. Items with a
-    NULL in the key conflict with nothing: each wins with version 1 and leaves no state.
+    NULL in the key conflict with nothing: each wins with version 1 and leaves no state. With
+    ``late`` items may arrive out of order by up to that much event time: they wait in the state
+    until the watermark has passed them. Without it a micro-batch must not hold items older
+    than those already seen of the key.
     """
     fields = {f.name: f for f in stream.schema.fields}
     id = order[-1]
@@ -162,22 +182,37 @@ def memory_upserts(
         + [fields[id], T.StructField("won", T.BooleanType()), T.StructField("version", T.LongType()), T.StructField("confidence", T.DoubleType())]
     )
     state_schema = T.StructType(
-        [T.StructField("conf", T.DoubleType()), T.StructField("at", T.LongType()), T.StructField("wins", T.LongType())]
-    )
+        [T.StructField("conf", T.DoubleType()), T.StructField("at", T.LongType()), T.StructField("wins", T.LongType()),
+         T.StructField("held_at", T.ArrayType(T.LongType())), T.StructField("held_id", T.ArrayType(fields[id].dataType)),
+         T.StructField("held_conf", T.ArrayType(T.DoubleType()))]
+    )
     order = list(order)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values(order)
-        conf, at, wins = state.get if state.exists else (None, None, 0)
+        conf, at, wins, *held = state.get if state.exists else (0.0, 0, 0, [], [], [])
+        items = list(zip(*held))
+        if not state.hasTimedOut:
+            pdf = pd.concat(list(batches))
+            items += [(int(t), i, float(c)) for t, i, c in zip(pdf["_at"], pdf[id], pdf["confidence"])]
+        passed = state.getCurrentWatermarkMs() * 1000 if late else float("inf")
+        items.sort(key=lambda x: x[:2])
+        ready = [x for x in items if x[0] < passed]
+        wait = items[len(ready) :]
         rows = []
-        for item, c, t in zip(pdf[id], pdf["confidence"], pdf["_at"]):
-            won = conf is None or beats(c, t, conf, at, band)
+        for t, item, c in ready:
+            won = not wins or beats(c, t, conf, at, band)
             if won:
-                conf, at, wins = float(c), int(t), wins + 1
-            rows.append((*key, item, won, wins if won else 1, float(c) if won else min(float(c), loser_cap)))
-        state.update((conf, at, wins))
-        yield pd.DataFrame(rows, columns=[f.name for f in out_schema.fields])
-
+                conf, at, wins = c, t, wins + 1
+            rows.append((*key, item, won, wins if won else 1, c if won else min(c, loser_cap)))
+        state.update((conf, at, wins, *([x[i] for x in wait] for i in range(3))))
+        if wait:
+            state.setTimeoutTimestamp(max(passed, wait[0][0]) // 1000 + 1)
+        if rows:
+            yield pd.DataFrame(rows, columns=[f.name for f in out_schema.fields])
+
+    if late:
+        stream = stream.withWatermark(order[0], late)
+    # The watermark column stays in the rows of the stateful step: its time-outs need it.
     slim = stream.select(*keys, *order, "confidence", F.unix_micros(order[0]).alias("_at"))
     keyless = F.lit(False)
     for k in keys:
@@ -186,7 +221,8 @@ def memory_upserts(
         *keys, id, F.lit(True).alias("won"), F.lit(1).cast("long").alias("version"), F.col("confidence").cast("double")
     )
     folded = slim.filter(~keyless).groupBy(*keys)
-    folded = folded.applyInPandasWithState(step, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+    forget = GroupStateTimeout.EventTimeTimeout if late else GroupStateTimeout.NoTimeout
+    folded = folded.applyInPandasWithState(step, out_schema, state_schema, "append", forget)
     return folded.unionByName(alone)
 
 
@@ -242,14 +278,28 @@ def prequential_nb(
 def drift_monitor(
     stream: DataFrame, baseline: DataFrame, *, ts: str, text: str, correct: str, window: str = "1 hour", late: str = "1 hour"
 ) -> DataFrame:
-    """Per window and keyword: hits now, the frozen baseline share, and the accuracy of the window's messages.
+    """Per window and keyword: hits, their share of all keyword hits now, the frozen share, messages and their accuracy.
 
-    ``baseline`` (keyword, base_pct) is a keyword list, sent to every task while it is short.
+    ``baseline`` (keyword, base_pct) is a short keyword list, read once when the stream starts.
+    Every window with messages has a row for every keyword, with zero hits too; the accuracy
+    counts each message of the window once.
     """
-    short = baseline.limit(MAX_KEYWORDS + 1).count() <= MAX_KEYWORDS
-    marked = stream.withWatermark(ts, late).select(ts, F.explode(words(F.col(text))).alias("keyword"), F.col(correct).alias("_ok"))
-    joined = marked.join(F.broadcast(baseline) if short else baseline, "keyword")
-    made = joined.groupBy(F.window(ts, window), "keyword", "base_pct").agg(
-        F.count(F.lit(1)).alias("hits"), F.avg(F.col("_ok").cast("double")).alias("hit_accuracy")
+    listed = baseline.select("keyword", F.col("base_pct").cast("double")).limit(MAX_KEYWORDS + 1).collect()
+    if len(listed) > MAX_KEYWORDS:
+        raise ValueError(f"the keyword list has more than {MAX_KEYWORDS} entries")
+    entry = lambda k, pct: F.struct(F.lit(k).alias("keyword"), F.lit(pct).cast("double").alias("base_pct"))
+    names = F.array(*[F.lit(r["keyword"]) for r in listed]).cast("array<string>")
+    mine = F.filter(words(F.col(text)), lambda w: F.array_contains(names, w))
+    found = stream.withWatermark(ts, late).select(ts, F.col(correct).cast("double").alias("_ok"), mine.alias("_found"))
+    each = found.select(ts, "_ok", "_found", F.inline(F.array(*[entry(r["keyword"], r["base_pct"]) for r in listed])))
+    own = F.size(F.filter("_found", lambda w: w == F.col("keyword")))
+    made = each.groupBy(F.window(ts, window), "keyword", "base_pct").agg(
+        F.sum(own).alias("hits"),
+        F.sum(F.size("_found")).alias("_all"),
+        F.count(F.lit(1)).alias("messages"),
+        F.avg("_ok").alias("accuracy"),
+    )
+    share = F.coalesce(F.try_divide(F.col("hits") * 100.0, F.col("_all")), F.lit(0.0))
+    return made.select(
+        F.col("window.start").alias("start"), "keyword", "base_pct", "hits", share.alias("pct"), "messages", "accuracy"
     )
-    return made.select(F.col("window.start").alias("start"), "keyword", "base_pct", "hits", "hit_accuracy")
