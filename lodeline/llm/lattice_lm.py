@@ -1,10 +1,12 @@
 """Subword lattice likelihood: the probability of a text over all its segmentations.
 
-The pieces of an existing subword vocabulary get unigram scores from the training documents. A
-word is any sequence of inner pieces and one final piece that spell it; a text is its words and
-one end. The marginal probability of a word sums over all segmentations by the forward recursion
-in log space. Probabilities of all symbols (inner pieces, final pieces, end) sum to one, so the
-model is a distribution over texts.
+The unigram vocabulary is the pieces of an existing subword vocabulary, inner and final ones, and
+the training words as pieces of their own. A text is its words and one end; a word is one word
+piece, or any sequence of inner pieces and a final piece that spell it. Its marginal probability
+sums over all segmentations, by the forward recursion in log space. Word pieces are scored by
+their counts less a discount; the discounted mass goes to spelled words, whose pieces are scored
+by the segmentations of the training words, each counted once, since new words resemble the
+list of words rather than running text. All probabilities sum to one over all texts.
 
 Work is done once per distinct word, not per token: words are counted with partial sums, each
 distinct word's lattice is summed once, and documents meet the word table. Frequent words (a
@@ -17,34 +19,26 @@ from __future__ import annotations
 import json
 import math
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.llm.common import bytes_words, crc_mod, map_arrow
+from lodeline.llm.common import byte_alphabet, bytes_words, crc_mod, map_arrow
 from lodeline.session import stored
 
 HEAD = 200_000
 HEAD_BYTES = 64
-FLUSH = 200_000
+FLUSH = 100_000
+DOCS_AT_ONCE = 500
 FINAL = "Ā"  # stands for the end of a word; the other characters of a lattice are bytes
 MARK = "</w>"
 
 _state: dict = {}
 
 
-def byte_alphabet() -> dict[str, str]:
-    """From the printable characters that stand for bytes in byte-level vocabularies to the bytes, as Latin-1.
-
-    Printable Latin-1 characters stand for themselves, the others follow from 256 on.
-    """
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in printable]
-    return {chr(b): chr(b) for b in printable} | {chr(256 + i): chr(b) for i, b in enumerate(rest)}
-
-
 class Pieces:
     """The pieces of a vocabulary file and the segmentation of whole words that its merges give."""
 
@@ -54,10 +48,10 @@ class Pieces:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = {t["id"] for t in spec["added_tokens"]}
-        spec |= {"normalizer": None, "added_tokens": [], "post_processor": None}
-        spec["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-        self.merges = Tokenizer.from_str(json.dumps(spec))
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
         back = byte_alphabet()
+        self.stand_in = {ord(byte): char for char, byte in back.items()}
         self.spelled: dict[int, str] = {}
         for piece, i in spec["model"]["vocab"].items():
             if i not in special:
@@ -65,15 +59,11 @@ class Pieces:
                 self.spelled[i] = "".join(back[c] for c in body) + (FINAL if piece != body else "")
         self.size = max(self.spelled) + 1
 
-    def counts(self, words: list[bytes], weights: np.ndarray) -> np.ndarray:
-        """How often each piece occurs in words that occur ``weights`` times."""
-        out = np.zeros(self.size, np.int64)
-        for lo in range(0, len(words), 20_000):
-            found = self.merges.encode_batch([w.decode("utf-8", "replace") for w in words[lo : lo + 20_000]], add_special_tokens=False)
-            ids = [e.ids for e in found]
-            w = np.repeat(weights[lo : lo + 20_000], [len(x) for x in ids])
-            np.add.at(out, np.fromiter((i for x in ids for i in x), np.int64), w)
-        return out
+    def count(self, words: Iterable[bytes], out: np.ndarray) -> None:
+        """Add how often each piece occurs in words, each taken once."""
+        for w in words:
+            for t in self.merge(w.decode("latin-1").translate(self.stand_in)):
+                out[t.id] += 1
 
 
 def pieces_of(path: str) -> Pieces:
@@ -144,29 +134,45 @@ def word_counts(docs: DataFrame, train: str = "train") -> DataFrame:
     return docs.select("text", train).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def piece_log_probs(words: DataFrame, ends: int, vocabulary: str, smooth: float = 0.5) -> np.ndarray:
-    """Natural log of each piece's share among the pieces of all counted words and ``ends`` text ends; the end's is last."""
+def piece_log_probs(words: DataFrame, vocabulary: str, smooth: float = 0.5) -> np.ndarray:
+    """Natural log of each piece's share among the pieces of all training words, each word taken once."""
 
     def run(parts):
-        pieces, total = pieces_of(vocabulary), 0
+        pieces = pieces_of(vocabulary)
+        total = np.zeros(pieces.size, np.int64)
         for part in parts:
-            c = part["c"].to_numpy()
-            held = [w for w, n in zip(part["word"].to_pylist(), c) if n]
-            total = total + pieces.counts(held, c[c > 0])
-        if isinstance(total, np.ndarray):
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["piece", "n"])
+            pieces.count((w for w, c in zip(part["word"].to_pylist(), part["c"].to_pylist()) if c), total)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["piece", "n"])
 
     counted = words.mapInArrow(run, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     pieces = pieces_of(vocabulary)
-    counts = np.zeros(pieces.size + 1)
+    counts = np.zeros(pieces.size)
     for r in counted.collect():  # a row for each piece of the vocabulary at most
         counts[r["piece"]] = r["n"]
-    counts[-1] = ends
     used = np.zeros(len(counts), bool)
-    used[[*pieces.spelled, -1]] = True
-    total = counts[used].sum() + smooth * used.sum()
-    return np.where(used, np.log((counts + smooth) / total), -np.inf)
+    used[[*pieces.spelled]] = True
+    return np.where(used, np.log((counts + smooth) / (counts[used].sum() + smooth * used.sum())), -np.inf)
+
+
+def word_model(n_words: int, n_types: int, once: int, twice: int, ends: int):
+    """(log probability of an end, function of a word's count and spelled log probability).
+
+    The discount is the usual estimate from the words seen once and twice.
+    """
+    end = (ends + 0.5) / (n_words + ends + 1)
+    discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
+    spelled_share = math.log(discount * n_types / n_words) if n_words else 0.0
+    go_on = math.log1p(-end)
+
+    def log_p(c: int, spelled: float) -> float:
+        low = spelled_share + spelled
+        if not c:
+            return go_on + low
+        high = math.log((c - discount) / n_words)
+        return go_on + max(low, high) + math.log1p(math.exp(-abs(high - low)))
+
+    return math.log(end), log_p
 
 
 def lattice_scores(docs: DataFrame, vocabulary: str, folds: int = 5, held: int = 1) -> DataFrame:
@@ -175,7 +181,7 @@ def lattice_scores(docs: DataFrame, vocabulary: str, folds: int = 5, held: int =
     Documents whose crc32(doc_id as text) modulo ``folds`` is ``held`` are held out; the others are
     learned from. A null doc_id is held out. A null or empty text is one end. ``base_score`` is the
     word unigram with add-a-half counts; ``score`` is the log10 marginal probability of the lattice.
-    Repeated rows are scored each. Without training rows only smoothing is left.
+    Repeated rows are scored each. Without training rows every word is spelled.
     """
     spark = docs.sparkSession
     keyed = docs.select(
@@ -186,15 +192,16 @@ def lattice_scores(docs: DataFrame, vocabulary: str, folds: int = 5, held: int =
     )
     words = stored(word_counts(keyed), "words")
     ends = keyed.where("train").count()
-    sums = words.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
-    n, v = (sums["n"] or 0) + ends, sums["v"] + (ends > 0)
-    log_p = piece_log_probs(words, ends, vocabulary)
-    sent_p = spark.sparkContext.broadcast(log_p[:-1].tobytes())
+    c = F.col("c")
+    sums = words.agg(F.sum(c).alias("n"), F.count_if(c > 0).alias("v"), F.count_if(c == 1).alias("n1"), F.count_if(c == 2).alias("n2")).first()
+    n_words = sums["n"] or 0
+    n, v = n_words + ends, sums["v"] + (ends > 0)
+    sent_p = spark.sparkContext.broadcast(piece_log_probs(words, vocabulary).tobytes())
+    counted = (n_words, sums["v"], sums["n1"], sums["n2"], ends)
 
     def sum_lattice(part: pa.RecordBatch):
-        lattice = _lattice(vocabulary, sent_p.value)
-        ten = math.log(10)
-        score = [lattice.log_prob(w) / ten for w in part["word"].to_pylist()]
+        lattice, (_, log_p), ten = _lattice(vocabulary, sent_p.value), word_model(*counted), math.log(10)
+        score = [log_p(c, lattice.log_prob(w)) / ten for w, c in zip(part["word"].to_pylist(), part["c"].to_pylist())]
         yield pa.RecordBatch.from_arrays([part["word"], part["c"], pa.array(score, pa.float64())], ["word", "c", "lp"])
 
     scored = stored(map_arrow(words, sum_lattice, "word binary, c long, lp double"), "scored-words")
@@ -203,30 +210,32 @@ def lattice_scores(docs: DataFrame, vocabulary: str, folds: int = 5, held: int =
     head = {bytes(r["word"]): (r["c"], r["lp"]) for r in scored.where(often).collect()}
     norm = n + 0.5 * (v + 1)
     base = lambda c: math.log10((c + 0.5) / norm)
-    end = (1 if ends else 0, base(ends), float(log_p[-1]) / math.log(10))
+    end = (1 if ends else 0, base(ends), word_model(*counted)[0] / math.log(10))
     sent = spark.sparkContext.broadcast({w: (base(c), lp) for w, (c, lp) in head.items()})
 
     def run(part: pa.RecordBatch):
         known = sent.value
-        cols: dict[str, list] = {c: [] for c in ("row", "word", "tf", "doc_id", "n_tokens", "n_known", "base", "score")}
-        add = [x.append for x in cols.values()]
-        for row, doc, text in zip(*(part[c].to_pylist() for c in ("row", "doc_id", "text"))):
-            words = bytes_words(text)
-            n_known, b, s = end
-            for w, tf in Counter(words).items():
-                at = known.get(w)
-                if at is None:
-                    for put, x in zip(add, (row, w, tf, None, None, None, None, None)):
-                        put(x)
-                else:
-                    n_known += tf
-                    b += tf * at[0]
-                    s += tf * at[1]
-            # What the sent words gave; this key is no word, as words hold no blanks, and no hot key.
-            for put, x in zip(add, (row, b" %d" % row, 0, doc, len(words) + 1, n_known, b, s)):
-                put(x)
         types = {"word": pa.binary(), "base": pa.float64(), "score": pa.float64()}
-        yield pa.RecordBatch.from_arrays([pa.array(x, types.get(c, pa.int64())) for c, x in cols.items()], list(cols))
+        for lo in range(0, part.num_rows, DOCS_AT_ONCE):
+            cols: dict[str, list] = {c: [] for c in ("row", "word", "tf", "doc_id", "n_tokens", "n_known", "base", "score")}
+            add = [x.append for x in cols.values()]
+            few = part.slice(lo, DOCS_AT_ONCE)
+            for row, doc, text in zip(*(few[c].to_pylist() for c in ("row", "doc_id", "text"))):
+                words = bytes_words(text)
+                n_known, b, s = end
+                for w, tf in Counter(words).items():
+                    at = known.get(w)
+                    if at is None:
+                        for put, x in zip(add, (row, w, tf, None, None, None, None, None)):
+                            put(x)
+                    else:
+                        n_known += tf
+                        b += tf * at[0]
+                        s += tf * at[1]
+                # What the sent words gave; this key is no word, as words hold no blanks, and no hot key.
+                for put, x in zip(add, (row, b" %d" % row, 0, doc, len(words) + 1, n_known, b, s)):
+                    put(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, types.get(c, pa.int64())) for c, x in cols.items()], list(cols))
 
     ddl = "row long, word binary, tf long, doc_id long, n_tokens long, n_known long, base double, score double"
     tokens = map_arrow(keyed.select("row", "doc_id", "text"), run, ddl)

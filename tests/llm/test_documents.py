@@ -218,6 +218,24 @@ def test_lattice_sums_all_segmentations():
         assert lattice.log_prob(word) == pytest.approx(math.log(total), rel=1e-9)
 
 
+def test_merges_are_the_tokenizers_own():
+    p = lattice_lm.pieces_of(vocabulary())
+    for word in ("the", "thereofing", "straße", "été", "zzxqj"):
+        own = p.tokenizer.encode(word, add_special_tokens=False).ids
+        assert [t.id for t in p.merge(word.encode().decode("latin-1").translate(p.stand_in))] == own
+
+
+def test_word_probabilities_sum_to_one():
+    counts = {"a": 5, "b": 1, "c": 1, "d": 2}
+    n1, n2 = 2, 1
+    end, log_p = lattice_lm.word_model(9, 4, n1, n2, 3)
+    spelled = {w: math.log(0.1) for w in "abcdefghij"}
+    total = math.exp(end) + sum(math.exp(log_p(counts.get(w, 0), s)) for w, s in spelled.items())
+    assert total == pytest.approx(1)
+    end, log_p = lattice_lm.word_model(0, 0, 0, 0, 0)
+    assert math.exp(end) + sum(math.exp(log_p(0, s)) for s in spelled.values()) == pytest.approx(1)
+
+
 def test_lattice_scores(spark, docs, monkeypatch):
     def run():
         return lattice_lm.lattice_scores(frame(spark, docs).withColumn("train", F.lit("x")), vocabulary()).collect()
@@ -231,23 +249,27 @@ def test_lattice_scores(spark, docs, monkeypatch):
     c = Counter(w for i, t, *_ in docs if not held(i) for w in words(t))
     n, v = sum(c.values()), len(c)
     p = lattice_lm.pieces_of(vocabulary())
-    counts = np.zeros(p.size + 1)
-    for w, k in c.items():
-        if w == "\0end":
-            counts[-1] = k
-        else:
-            for i in p.merges.encode(w, add_special_tokens=False).ids:
-                counts[i] += k
-    used = [*p.spelled, -1]
-    log_p = np.full(p.size + 1, -np.inf)
+    counts = np.zeros(p.size)
+    for w in c:
+        if w != "\0end":
+            for t in p.merge(w.encode().decode("latin-1").translate(p.stand_in)):
+                counts[t.id] += 1
+    used = [*p.spelled]
+    log_p = np.full(p.size, -np.inf)
     log_p[used] = np.log((counts[used] + 0.5) / (counts[used].sum() + 0.5 * len(used)))
     assert np.exp(log_p).sum() == pytest.approx(1)
-    lattice = lattice_lm.Lattice(p, log_p[:-1])
+    lattice = lattice_lm.Lattice(p, log_p)
+    ends = c["\0end"]
+    m, types = n - ends, v - 1
+    n1, n2 = (sum(k == x for w, k in c.items() if w != "\0end") for x in (1, 2))
+    d = min(0.95, max(0.1, n1 / (n1 + 2 * n2)))
+    p_end = (ends + 0.5) / (n + 1)
+    prob = lambda w: (1 - p_end) * (max(0, c[w] - d) / m + d * types / m * math.exp(lattice.log_prob(w.encode())))
     want = []
     for i, t, *_ in docs:
         ws = words(t)
         base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)
-        score = (sum(lattice.log_prob(w.encode()) for w in ws[:-1]) + log_p[-1]) / math.log(10)
+        score = sum(math.log10(prob(w)) for w in ws[:-1]) + math.log10(p_end)
         want.append((i, held(i), len(ws), sum(c[w] > 0 for w in ws), n, base, score))
     for g, w in zip(got, sorted(want), strict=True):
         assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], rel=1e-9)
