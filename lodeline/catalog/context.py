@@ -499,5 +499,27 @@ def _(spark, sf):
     nodes, edges = graph.build_graph_tables(graph.neighbor_triples(docs))
     b = table(spark, sf, "benchmark").withColumnRenamed("item_id", "query")
     hits = vec.retrieve_topk_sources(docs, b, k=2).select(F.col("id").alias("doc_id")).distinct()
-    named, kept = graph.query_subgraph(nodes, edges, docs.join(hits, "doc_id", "left_semi"))
+    _, kept = graph.query_subgraph(nodes, edges, docs.join(hits, "doc_id", "left_semi"))
     return kept
+
+
+@query(
+    "subgraph_of_source",
+    f"""WITH {TRIPLES}, seen AS (
+          SELECT DISTINCT id FROM (SELECT source AS id FROM tr UNION SELECT target FROM tr), documents d
+          WHERE d.source = 'src7' AND contains(d.text, id)),
+        kept AS (SELECT source, target, count(*) AS n FROM tr
+                 WHERE source IN (FROM seen) OR target IN (FROM seen) GROUP BY 1, 2),
+        ends AS (SELECT source AS id FROM kept UNION SELECT target FROM kept)
+        SELECT 'edge' AS kind, source AS a, target AS b, n FROM kept
+        UNION ALL SELECT 'node', id, NULL, count(*) FROM (SELECT source AS id FROM tr UNION ALL SELECT target FROM tr)
+                  WHERE id IN (FROM ends) GROUP BY 2""",
+)
+def _(spark, sf):
+    """Nodes and edges around the terms of one source's documents."""
+    docs = table(spark, sf, "documents")
+    nodes, edges = graph.build_graph_tables(graph.neighbor_triples(docs))
+    named, kept = graph.query_subgraph(nodes, edges, docs.filter(F.col("source") == "src7"))
+    e = kept.select(F.lit("edge").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), F.col("weight").alias("n"))
+    v = named.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.lit(None).cast("string").alias("b"), F.col("mentions").alias("n"))
+    return e.unionByName(v)

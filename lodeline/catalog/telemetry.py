@@ -122,11 +122,29 @@ def _(spark, sf):
     return files.select("file", "original", F.length("text").alias("chars"))
 
 
+def _text_files(spark, sf, name: str) -> str:
+    """The documents as text files of at most 64 texts, a line end after each."""
+    path = work_dir(spark, name)
+    table(spark, sf, "documents").select("source", "text").write.option("maxRecordsPerFile", 64).partitionBy("source").text(path)
+    return path
+
+
 @query("list_files")
 def _(spark, sf):
-    path = work_dir(spark, "listed-files")
-    table(spark, sf, "documents").select("source", "text").write.option("maxRecordsPerFile", 64).partitionBy("source").text(path)
-    return readers.list_files(spark, path, glob="*.txt")
+    return readers.list_files(spark, _text_files(spark, sf, "listed-files"), glob="*.txt")
+
+
+@query(
+    "document_files_totals",
+    """SELECT CAST(sum(length(text) + 1) AS BIGINT) AS chars, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes
+       FROM documents""",
+)
+def _(spark, sf):
+    """What the written files hold, read back and listed: all characters and all bytes."""
+    path = _text_files(spark, sf, "counted-files")
+    read = readers.scan_documents_dir(spark, f"{path}/*").agg(F.sum(F.length("text")).alias("chars"))
+    sizes = readers.list_files(spark, path, glob="*.txt").agg(F.sum("size").alias("bytes"))
+    return read.select("chars", sizes.select("bytes").scalar().alias("bytes"))
 
 
 @query(
