@@ -23,9 +23,9 @@ from lodeline.llm.common import byte_alphabet, map_arrow
 from lodeline.session import stored
 
 END_ID = 0
-GROUP_TOKENS = 1 << 25
+GROUP_TOKENS = 1 << 23
 GROUP_PIECES = 500_000
-OPEN_BINS = 512
+OPEN_BINS = 4096
 CACHE_WORDS = 800_000
 LONG_WORD = 64
 
@@ -166,16 +166,18 @@ def pack(pieces: DataFrame, size: int = 2048, open_bins: int = OPEN_BINS, group_
     """Stored ``pieces`` with their ``sequence_id`` and ``offset``.
 
     The pieces are dealt by hash into groups of about ``group_tokens`` tokens and at most about
-    ``GROUP_PIECES`` pieces. At the end of a group at most ``open_bins`` sequences are left part
-    empty. Within a group pieces arrive in hash order, so a task that runs again packs alike.
+    ``GROUP_PIECES`` pieces, so one task never holds more. Within a group the longest pieces
+    arrive first, and the short ones at the end fill what is open: while a group's long pieces
+    fit the open bins, little more than its last sequence is left part empty. The order is
+    fixed by the pieces, so a task that runs again packs alike.
     """
     tokens, n = pieces.agg(F.sum("length"), F.count("*")).first()
     groups = max(1, -(-(tokens or 0) // group_tokens), -(-n // GROUP_PIECES))
     order = F.xxhash64("row", "piece", "length")
-    slim = pieces.select("row", "piece", "length", order.alias("o"), F.pmod(order, F.lit(groups)).alias("g"))
+    slim = pieces.select("row", "piece", "length", F.pmod(order, F.lit(groups)).alias("g"))
 
     def run(key, rows):
-        rows = rows.sort_values(["o", "row", "piece"], kind="stable")
+        rows = rows.sort_values(["length", "row", "piece"], ascending=[False, True, True], kind="stable")
         bins, offsets = best_fit(rows["length"].tolist(), size, open_bins)
         rows["sequence_id"] = np.array(bins, np.int64) * groups + int(key[0])
         rows["offset"] = np.array(offsets, np.int64)
