@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodeline.operators.aggregates import topk_per_group
 from lodeline.operators.windows import last_n_holdout
+from lodeline.session import stored
 
 # An item with more raters than this would make too many user pairs in the item join.
 HEAVY_ITEM = 2_000
@@ -16,6 +17,7 @@ HEAVY_ITEM = 2_000
 BLOCK_ROWS = 100_000
 BLOCK_USERS = 2_000
 ITEM_SLICE = 4_096
+LONG_BLOCKS = 4
 SIM_DIGITS = 9
 PAIR_SCHEMA = "user long, neighbor long, sim double"
 
@@ -40,12 +42,12 @@ def user_neighbors(
     raters. Then blocks of users are multiplied with each other as matrices, and each
     product writes only the ``k`` best per user. Both ways are exact.
     """
-    weights = _normalized(ratings)
-    most = ratings.groupBy("item").count().agg(F.max("count")).first()[0] or 0
+    weights = stored(_normalized(ratings), "weights")  # every branch below reads it
+    most = weights.groupBy("item").count().agg(F.max("count")).first()[0] or 0
     if most <= heavy_item:
         pairs = _pairs_by_item(weights)
     else:
-        pairs = _pairs_by_block(ratings, weights, k, block_rows)
+        pairs = _pairs_by_block(weights, k, block_rows)
     ranked = pairs.withColumn("sim", F.round("sim", SIM_DIGITS)).filter(F.col("sim") > 0)
     return topk_per_group(ranked, group=["user"], order=[F.desc("sim"), F.asc("neighbor")], k=k)
 
@@ -59,13 +61,12 @@ def _pairs_by_item(weights: DataFrame) -> DataFrame:
     return half.select(both.alias("p"), "sim").select(F.col("p.a").alias("user"), F.col("p.b").alias("neighbor"), "sim")
 
 
-def _pairs_by_block(ratings: DataFrame, weights: DataFrame, k: int, block_rows: int) -> DataFrame:
-    sizes = ratings.groupBy("user").agg(F.count(F.lit(1)).alias("n"))
+def _pairs_by_block(weights: DataFrame, k: int, block_rows: int) -> DataFrame:
+    sizes = weights.groupBy("user").agg(F.count(F.lit(1)).alias("n"))
     users, total = sizes.agg(F.count("n"), F.sum("n")).first()
     blocks = max(1, -(-total // block_rows), -(-users // BLOCK_USERS))
-    # Users that would fill a block alone: at most total/long_user of them.
-    long_user = max(block_rows, total // 200)
-    long_ids = sizes.filter(F.col("n") > long_user).select("user")
+    # Users that would fill a block many times over, however large the table is.
+    long_ids = sizes.filter(F.col("n") > LONG_BLOCKS * block_rows).select("user")
     ordinary = weights.join(long_ids, "user", "left_anti")
     long_rows = weights.join(long_ids, "user", "left_semi")
 
@@ -141,7 +142,8 @@ def recommend(
 
     ``ratings`` has one row per user and item (see ``user_item``).
     """
-    neighbors = user_neighbors(ratings, k=k_neighbors, heavy_item=heavy_item)
+    ratings = stored(ratings, "ratings")
+    neighbors = stored(user_neighbors(ratings, k=k_neighbors, heavy_item=heavy_item), "neighbors")
     if users is not None:
         neighbors = neighbors.join(users.select("user"), "user", "left_semi")
     open_items = unseen_items(candidate_items(neighbors, ratings, min_rating=min_neighbor_rating), ratings)
@@ -177,10 +179,10 @@ def precision_at_k(
     The last ``holdout`` ratings of each user are held out and the neighbors are found
     from the others.
     """
-    marked = last_n_holdout(ratings, user="user", order=order, n=holdout)
+    marked = stored(last_n_holdout(ratings, user="user", order=order, n=holdout).select("user", "item", "rating", "held"), "marked")
     train = user_item(marked.filter(~F.col("held")))
     held = marked.filter("held").groupBy("user", "item").agg(F.max("rating").alias("rating"))
-    recs = recommend(train, k_neighbors=k_neighbors, topn=topn)
+    recs = stored(recommend(train, k_neighbors=k_neighbors, topn=topn), "recommended")
     hits = relevant_hits(recs, held, min_relevant=min_relevant).groupBy("user").agg(F.count(F.lit(1)).alias("h"))
     evaluated = recs.groupBy("user").agg(F.count(F.lit(1)).alias("recs"))
     evaluated = evaluated.join(held.select("user").distinct(), "user", "left_semi").join(hits, "user", "left")
