@@ -13,6 +13,8 @@ a brute-force version.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ from lodeline.llm.decontaminate import remove_documents
 from lodeline.llm.line_dedup import dedup_lines
 from lodeline.llm.packing import pack_documents
 from lodeline.llm.simhash import keep_one
-from lodeline.session import stored
+from lodeline.session import ship, stored
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,12 +53,22 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return pack_documents(docs, vocabulary())
 
 
+def _shipped(stage):
+    """The stage, run after the package was sent to the workers, so that it can be called alone."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(ship(spark), docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("language_id", keep_known_languages),
-    ("line_dedup", drop_repeated_lines),
-    ("near_dedup", drop_near_copies),
-    ("decontaminate", drop_benchmark),
-    ("packing", pack_sequences),
+    ("language_id", _shipped(keep_known_languages)),
+    ("line_dedup", _shipped(drop_repeated_lines)),
+    ("near_dedup", _shipped(drop_near_copies)),
+    ("decontaminate", _shipped(drop_benchmark)),
+    ("packing", _shipped(pack_sequences)),
 ]
 
 ORACLE_SQL = None

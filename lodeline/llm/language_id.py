@@ -30,6 +30,7 @@ ROUNDS = 12
 SLACK = 0.5
 """A text is rejected below this share of the lowest cosine seen among a centroid's own texts."""
 MAX_MODEL_BYTES = 256 << 20
+MAX_LANGUAGES = 10_000
 BLOCK = 1 << 18
 UNKNOWN = "und"
 
@@ -89,8 +90,16 @@ def sample(docs: DataFrame, rows: int = SAMPLE, train: Column | None = None) ->
     label = docs.where("lang is not null and doc_id is not null")
     if train is not None:
         label = label.where(train)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = label.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows)
+    # A share of the hash range that holds twice as many as wanted comes first, so that no task
+    # gathers candidates from all over the table; their smallest hashes are the sample.
+    counts = stored(label.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_n")), "languages")
+    if counts.count() > MAX_LANGUAGES:
+        raise ValueError(f"the labels have more than {MAX_LANGUAGES} languages")
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
+    few = label.select("doc_id", "lang").join(F.broadcast(counts), F.col("lang") == F.col("_lang"))
+    few = few.where(place * F.col("_n") <= 2.0 * rows).select("doc_id", "lang").distinct()
+    order = Window.partitionBy("lang").orderBy(F.shiftrightunsigned(F.xxhash64("doc_id"), 11), "doc_id")
+    ids = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows)
     ids = stored(ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")), "sample-ids")
     keys = (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))
     few = label.select("doc_id", "lang", "text").join(ids, keys, "left_semi")
