@@ -79,6 +79,10 @@ def test_main_text():
         "loose text more",
         "Another one, here, with text that goes on and on for quite some time.",
     ]
+    titled = '<main><h1>Title</h1><article><p>One, two.</p></article><article class="comment"><p>I say, no.</p></article></main>'
+    assert main_text(titled) == "Title\nOne, two."
+    framed = '<div class="content has-comments no-sidebar"><p>Text, here.</p><div class="comments-area"><p>Well, no.</p></div></div>'
+    assert main_text(framed) == "Text, here."
     assert main_text(None) == main_text("") == main_text("<p></p>") == main_text("<script>x</script>") == ""
     assert main_text("plain &lt;text&gt;, a < b") == "plain <text>, a < b"
     long = "<article>" + "<p>" + "word, " * 200_000 + "</p><p>last</p></article>"
