@@ -5,13 +5,14 @@ from __future__ import annotations
 import hashlib
 import io
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodeline.llm import pivot_index, url_filter, warc
-from lodeline.llm.html_text import extract_text, main_text
+from lodeline.llm.html_text import extract_text, main_text, parse
 from lodeline.session import work_dir
 
 PAGES = "page_id long, url string, html string"
@@ -90,6 +91,25 @@ def test_main_text():
     assert main_text("<article>" + "<div>" * 3000 + "<p>deep" + "</div>" * 3000 + "</article>") == "deep"
 
 
+def test_values_of_any_length_and_raw_elements():
+    for n in (60_000, 70_000, 1_000_000):
+        assert main_text(f'<p>One, <img src="data:{"A" * n}"> two.</p>') == "One, two."
+        gone = f"<div data-state='{'>' * n}' class=\"comments\"><p>Well, no.</p></div>"
+        assert main_text(f"<div><p>One.</p>{gone}<p>Two.</p></div>") == "One.\nTwo."
+    # What begins inside a raw element does not reach out of it.
+    assert main_text('<script>var s="<!--";</script><p>One</p><p>Two</p>') == "One\nTwo"
+    assert main_text("<style>a<b c='</style><p>One</p><p title='x'>Two</p>") == "One\nTwo"
+    # A stray quote opens no value; one that is never shut leaves the text in place.
+    assert main_text('<p><b a="x"">One</b> <img alt="5" wide" src="y">two</p><p c="d">Three</p>') == "One two\nThree"
+    assert main_text('<p>One</p><p>a <b c="two</b></p><p>Three</p>').endswith("\nThree")
+    # Open ends cost no more than their length.
+    began = time.perf_counter()
+    for piece in ("<a ", "<a", '<a b="', "<a b='\" c=\"'", "<!", '<a b=" c="', "<a =", "<!-"):
+        for tail in ("", '"', ' ">', " x='", "<p>y</p>"):
+            parse(piece * 100_000 + tail)
+    assert time.perf_counter() - began < 120
+
+
 def brute_article(page):
     """For pages of the given tables: what stands in the article, by its blocks."""
     import html
