@@ -53,6 +53,27 @@ def test_exact_is_best_and_falls_back_when_large(spark):
     assert {r["g"]: r["s"] for r in exact}["big"] == 39 + 38 + 37 + 36 + 35
 
 
+def test_exact_in_large_groups(spark):
+    rnd = random.Random(5)
+    for case in range(400):
+        n, top = rnd.randint(1, 14), rnd.choice((2, 9, 60))
+        worth = sorted((rnd.choice((rnd.randint(-3, 9), rnd.randint(0, 10**9))) for _ in range(n)), reverse=True)
+        need = [rnd.randint(0, top) for _ in range(n)] if case % 3 else [max(0, w % 50) for w in worth]
+        limit = rnd.randint(-1, sum(need) + 2)
+        assert ctx.best_by_bounds(worth, need, limit) == ctx.best_by_states(worth, need, limit), (worth, need, limit)
+    # Groups above max_states, with and without items that a bound can settle, are solved whole and bind.
+    data = [("mixed", i, round(rnd.random(), 3), rnd.randint(1, 400), 40_000) for i in range(2_000)]
+    data += [("alike", i, 1.0, 7, 30_000) for i in range(6_000)]
+    kw = dict(group=["g"], score="s", id="id", tokens="t", budget="b")
+    got = ctx.budget_select(items(spark, data), exact=True, **kw)
+    sums = {r["g"]: r for r in got.groupBy("g").agg(F.sum("s").alias("s"), F.sum("t").alias("t"), F.max("id").alias("top")).collect()}
+    assert (sums["alike"]["s"], sums["alike"]["t"], sums["alike"]["top"]) == (4285.0, 29_995, 4284)
+    worth, need = [round(d[2] * 1e9) for d in data[:300]], [d[3] for d in data[:300]]
+    assert ctx.best_by_bounds(worth, need, 3_000) == ctx.best_by_states(worth, need, 3_000)
+    greedy = ctx.budget_select(items(spark, data), **kw).where("g = 'mixed'").agg(F.sum("s")).first()[0]
+    assert sums["mixed"]["t"] <= 40_000 and sums["mixed"]["s"] >= greedy
+
+
 def fold(data):
     """The rule, item by item."""
     winner, out, last = {}, {}, {}
