@@ -32,8 +32,6 @@ FILE_BYTES = 256 << 20
 SPLIT_BYTES = 16 << 20
 READ = 1 << 20
 STEP = 1 << 14
-HEAD = 1 << 16
-"""A WARC header must end within so many bytes; an accepted member whose header is longer is an error."""
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:x-page:"
 
@@ -149,9 +147,18 @@ def _unpack(window: _Window, at: int, enough) -> tuple[bytes, int] | None:
 def _record_at(window: _Window, at: int) -> Record | None:
     """The whole record that starts at ``at``; None if no WARC header can be decoded there."""
     other = lambda out: not b"WARC/1.".startswith(out[:7])
-    head = _unpack(window, at, lambda out: other(out) or b"\r\n\r\n" in out or len(out) >= HEAD)
+    seen = 0
+
+    def enough(out: bytearray) -> bool:
+        nonlocal seen
+        since, seen = max(0, seen - 3), len(out)  # the end of the header may cross two pieces
+        return other(out) or out.find(b"\r\n\r\n", since) >= 0
+
+    head = _unpack(window, at, enough)
     fields = head and _headers(head[0])
     if not fields:
+        if head and head[1] < 0 and head[0].startswith(b"WARC/1.") and b"\r\n\r\n" not in head[0]:
+            raise EOFError(f"the header of the record at byte {at} has no end")
         return None
     raw, end = _unpack(window, at, lambda out: False) or (b"", -1)
     if end < 0:
@@ -172,7 +179,7 @@ def records_in(file, start: int, end: int):
 
 
 def write_archives(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z", file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Archives of ``pages`` (page_id, url, html) under ``folder``; the stored list (path, bytes, records).
+    """Archives of ``pages`` (page_id, url, html) under ``folder``; the stored list (path, bytes, records, starts).
 
     Of pages with equal payloads of at least ``MIN_REVISIT`` bytes, those with the smallest page_id
     are responses and the others revisits of it; a null html is an empty payload. Rows without a
@@ -194,7 +201,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:
     def run(parts):
         task = TaskContext.get()
         name = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}"
-        out, path, size, n, k, done = None, "", 0, 0, 0, []
+        out, path, size, at_byte, k, done = None, "", 0, [], 0, []
         try:
             for part in parts:
                 for page, url, text, ref in zip(*(part[c].to_pylist() for c in ("page_id", "url", "html", "refers_to"))):
@@ -202,36 +209,47 @@ def write_archives(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:
                         path = f"{name}-{k}.warc.gz"
                         files, at = _open(path)
                         files.create_dir(at.rpartition("/")[0], recursive=True)
-                        out, size, n, k = files.open_output_stream(at, compression=None), 0, 0, k + 1
+                        out, size, at_byte, k = files.open_output_stream(at, compression=None), 0, [], k + 1
                     data = record(page, url, text.encode("utf-8", "surrogatepass"), ref, date)
                     out.write(data)
-                    size, n = size + len(data), n + 1
+                    at_byte.append(size)
+                    size += len(data)
                     if size >= file_bytes:
                         out.close()
                         out = None
-                        done.append((path, size, n))
+                        done.append((path, size, len(at_byte), at_byte))
         finally:
             if out is not None:
                 out.close()
         if out is not None:
-            done.append((path, size, n))
-        cols = [list(c) for c in zip(*done)] or [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64()))], ["path", "bytes", "records"])
+            done.append((path, size, len(at_byte), at_byte))
+        cols = [list(c) for c in zip(*done)] or [[], [], [], []]
+        types = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["path", "bytes", "records", "starts"])
 
-    return stored(rows.mapInArrow(run, "path string, bytes long, records long"), "archives")
+    return stored(rows.mapInArrow(run, "path string, bytes long, records long, starts array<long>"), "archives")
 
 
 def read_archives(spark: SparkSession, archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """One row per record of ``archives`` (path, bytes), read by byte ranges.
+    """One row per record of ``archives`` (path, bytes; starts if known), read by byte ranges.
+
+    With ``starts``, the bytes at which records start, a range that holds more or fewer records
+    than start in it fails the job.
 
     (page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload). The digest of a
     response is computed from the payload read and must equal its header's; of a revisit, which has
     no payload (null), length and digest are those its headers give. Other record types are passed over.
     """
     total = archives.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 0
-    starts = F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))
-    ranges = archives.where("bytes > 0").select("path", F.explode(starts).alias("start"), "bytes")
-    ranges = ranges.select("path", "start", F.least(F.col("start") + split_bytes, "bytes").alias("end"))
+    begins = F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))
+    known = F.col("starts") if "starts" in archives.columns else F.lit(None).cast("array<long>")
+
+    def one(begin):
+        end = F.least(begin + split_bytes, F.col("bytes"))
+        held = F.size(F.filter(known, lambda x: (x >= begin) & (x < end)))
+        return F.struct(begin.alias("start"), end.alias("end"), F.when(known.isNotNull(), held).alias("records"))
+
+    ranges = archives.where("bytes > 0").select("path", F.explode(F.transform(begins, one)).alias("r")).select("path", "r.*")
     names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 
@@ -240,12 +258,12 @@ def read_archives(spark: SparkSession, archives: DataFrame, split_bytes: int = S
         return int(found) if found else None
 
     def run(part: pa.RecordBatch):
-        for path, start, end in zip(*(part[c].to_pylist() for c in ("path", "start", "end"))):
+        for path, start, end, records in zip(*(part[c].to_pylist() for c in ("path", "start", "end", "records"))):
             files, at = _open(path)
-            rows, held = [], 0
+            rows, held, n = [], 0, 0
             with files.open_input_file(at) as file:
                 for r in records_in(file, start, end):
-                    h = r.headers
+                    h, n = r.headers, n + 1
                     kind, said = h["warc-type"], h.get("warc-payload-digest", "").removeprefix("sha256:")
                     if kind == "response":
                         payload = r.payload
@@ -261,6 +279,8 @@ def read_archives(spark: SparkSession, archives: DataFrame, split_bytes: int = S
                     if held > 16 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
                         rows, held = [], 0
+            if records is not None and n != records:
+                raise ValueError(f"{path}: {n} records start in bytes {start} to {end}, {records} were written there")
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import io
+import random
 import re
+import string
 import time
 
 import numpy as np
@@ -177,6 +179,28 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.where("false")).count() == 0
 
 
+def test_long_headers_and_lost_records(spark):
+    url = "http://x/" + "".join(random.Random(1).choices(string.ascii_letters + string.digits, k=300_000))
+    data = b"".join(warc.record(i, url if i % 2 else "short", b"abc" * i, None, "d") for i in range(6))
+    for step in (1 << 30, 50_000):
+        got = [r for s in range(0, len(data), step) for r in warc.records_in(io.BytesIO(data), s, min(len(data), s + step))]
+        assert [r.headers["warc-target-uri"] for r in got] == ["short", url] * 3
+    with pytest.raises(EOFError):
+        list(warc.records_in(io.BytesIO(data[:-100_000]), 0, len(data)))
+    df = spark.createDataFrame([(1, url, "x" * 100), (2, "b", "x" * 100), (3, None, "y")], PAGES)
+    files = warc.write_archives(df.coalesce(1), work_dir(spark, "warc-long"))
+    got = {r["page_id"]: (r["url"], r["record_type"]) for r in warc.read_archives(spark, files, 100_000).collect()}
+    assert got == {1: (url, "response"), 2: ("b", "revisit"), 3: (None, "response")}
+    # A record that cannot be read is an error, not a missing row.
+    path, starts = files.select("path", "starts").first()
+    path = path.removeprefix("file:")
+    with open(path, "r+b") as file:
+        file.seek(starts[1])
+        file.write(b"\0")
+    with pytest.raises(Exception, match="were written there"):
+        warc.read_archives(spark, files).collect()
+
+
 # Vectors.
 def brute_vectors(rows, t=0.95):
     def ok(v):
