@@ -112,6 +112,29 @@ def test_values_of_any_length_and_raw_elements():
     assert time.perf_counter() - began < 120
 
 
+def test_cuts_leave_the_body_of_a_page():
+    body = "<p>Some text, with commas, and so on.</p><p>More of it, as long as that.</p>"
+    want = "Some text, with commas, and so on.\nMore of it, as long as that."
+    menu = '<div class="menu"><a href="/">Home</a></div>'
+    talk = '<div class="comments"><p>Well, no, and no again, for a long while, longer than the text itself, and longer, and longer.</p></div>'
+    form = f'<body><form id="form1" action="x"><input name="v">{menu}<div class="content">{body}</div>{talk}</form></body>'
+    assert main_text(form) == want
+    assert main_text(f'<body><form class="main-form" role="form"><div>{body}</div></form><p>Bye.</p></body>') == want
+    for names in ("review-body", "post feedback"):
+        assert main_text(f'<body>{menu}<div class="{names}">{body}</div>{talk}</body>') == want
+    # Nothing else is left.
+    for names in ("discussion", "comments", "sidebar"):
+        assert main_text(f'<body>{menu}<div class="{names}">{body}</div></body>') == want
+    # What is no article stays cut.
+    form = '<form><label>Mail</label>Your mail, please</form>'
+    assert main_text(f"<body><div>{body}</div>{form}{talk}</body>") == want
+    links = "".join(f'<p><a href="/{i}">Text {i}</a></p>' for i in range(9))
+    assert main_text(f"<body>{links}{form}</body>").startswith("Text 0\nText 1")
+    assert main_text('<div class="menu"><a href="/">Home</a></div>') == main_text("<nav>Home</nav>") == ""
+    deep = "<form>" * 3000 + "<p>deep" + "</form>" * 3000
+    assert main_text(deep) == "deep"
+
+
 def brute_article(page):
     """For pages of the given tables: what stands in the article, by its blocks."""
     import html
