@@ -14,6 +14,7 @@ from lodeline.llm.lattice_lm import lattice_scores
 from lodeline.llm.line_dedup import dedup_lines
 from lodeline.llm.packing import pack_documents
 from lodeline.llm.pivot_index import near_vectors
+from lodeline.llm.prefix_trie import rebuilt_trie
 from lodeline.llm.simhash import near_duplicates
 from lodeline.llm.warc import round_trip
 
@@ -165,3 +166,39 @@ def op7_warc(spark, sf_dir):
 )
 def op9_pivot_index(spark, sf_dir):
     return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+_SQL_CRC = """xor(list_reduce([4294967295] || flatten(list_transform(string_split(CAST({} AS VARCHAR), ''),
+      lambda s: [CAST(ord(s) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+      lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295)"""
+
+
+@query(
+    "op11_prefix_trie",
+    f"""WITH t AS (
+      SELECT conv_id, turn, coalesce(text, '') AS text,
+             sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+      FROM conversations WHERE conv_id IS NOT NULL),
+    o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS pos FROM t),
+    c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base, {_SQL_CRC.format("conv_id")} % 6 AS h FROM t),
+    r AS (SELECT c.conv_id, o.pos, o.digest, length(o.text) AS chars FROM c JOIN o ON o.conv_id = c.base AND o.pos <= c.h
+          UNION ALL SELECT c.conv_id, o.pos, o.digest, length(o.text) FROM c JOIN o USING (conv_id) WHERE o.pos > c.h),
+    a AS (SELECT c.conv_id, list(r.digest ORDER BY r.pos) FILTER (r.pos IS NOT NULL) AS ds,
+                 list(r.chars ORDER BY r.pos) FILTER (r.pos IS NOT NULL) AS cs
+          FROM c LEFT JOIN r USING (conv_id) GROUP BY 1),
+    p AS (SELECT conv_id, coalesce(len(ds), 0) AS n, unnest(range(0, coalesce(len(ds), 0) + 1)) AS depth, ds, cs FROM a),
+    k AS (SELECT conv_id, depth, n = depth AS ends, sha256(coalesce(array_to_string(ds[1:depth], ','), '')) AS key,
+                 sha256(coalesce(array_to_string(ds[1:depth - 1], ','), '')) AS up,
+                 CASE WHEN depth > 0 THEN cs[depth] ELSE 0 END AS chars FROM p),
+    v AS (SELECT depth, key, min(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(chars) AS saved,
+                 sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+          FROM k GROUP BY depth, key),
+    ch AS (SELECT depth - 1 AS depth, up AS key, count(*) AS n FROM v WHERE depth > 0 GROUP BY 1, 2),
+    w AS (SELECT v.*, coalesce(ch.n, 0) AS n_children FROM v LEFT JOIN ch ON ch.depth = v.depth AND ch.key = v.key),
+    s AS (SELECT k.depth, k.key, CAST(sum(w.saved) AS BIGINT) AS saved_tokens, count(*) FILTER (w.n_children = 0) AS n_leaves
+          FROM w JOIN k ON k.conv_id = w.conv_id AND k.depth <= w.depth GROUP BY k.depth, k.key)
+    SELECT w.conv_id, w.depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_children, s.n_leaves, s.saved_tokens, w.ends_sha256
+    FROM w JOIN s ON s.depth = w.depth AND s.key = w.key LEFT JOIN v u ON u.depth = w.depth - 1 AND u.key = w.up""",
+)
+def op11_prefix_trie(spark, sf_dir):
+    return rebuilt_trie(table(spark, sf_dir, "conversations"))
