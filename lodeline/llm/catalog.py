@@ -15,7 +15,9 @@ from lodeline.llm.line_dedup import dedup_lines
 from lodeline.llm.packing import pack_documents
 from lodeline.llm.pivot_index import near_vectors
 from lodeline.llm.prefix_trie import rebuilt_trie
+from lodeline.llm.secret_scan import BASE_KINDS, KINDS, find_secrets, written
 from lodeline.llm.simhash import near_duplicates
+from lodeline.llm.token_alignment import align_documents
 from lodeline.llm.warc import round_trip
 
 SQL_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -44,11 +46,11 @@ def op1_line_dedup(spark, sf_dir):
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-def vocabulary() -> str:
-    """The public vocabulary file of the contracts; every machine has the package."""
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """A public vocabulary file of the contracts; every machine has the package."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 @query("op2_simhash")
@@ -202,3 +204,25 @@ _SQL_CRC = """xor(list_reduce([4294967295] || flatten(list_transform(string_spli
 )
 def op11_prefix_trie(spark, sf_dir):
     return rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_secret_scan")
+def op12_secret_scan(spark, sf_dir):
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_secrets(docs, vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    of = lambda kind: F.filter("secrets", lambda s: s["kind"] == kind)
+    base = F.filter("secrets", lambda s: s["kind"].isin(*BASE_KINDS))
+    return found.select(
+        "doc_id",
+        *[F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in KINDS],
+        F.sha2(written(base), 256).alias("base_sha256"),
+        written(F.col("secrets")).alias("spans"),
+    )
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align_documents(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
