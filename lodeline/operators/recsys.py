@@ -3,23 +3,26 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeline.operators.aggregates import topk_per_group
 from lodeline.operators.windows import last_n_holdout
+from lodeline.plans.hot_groups import row_positions
 from lodeline.session import stored
 
-# An item with more raters than this would make too many user pairs in the item join.
-HEAVY_ITEM = 2_000
-# Rows a block of users brings to one block product.
-BLOCK_ROWS = 100_000
-BLOCK_USERS = 2_000
-ITEM_SLICE = 4_096
-LONG_BLOCKS = 4
+# Raters per list of the index. An item with more has further lists, by falling weight.
+LIST_ROWS = 2_000
+# Products that one task of the search adds up, on average.
+TASK_PAIRS = 2_000_000
+# A user with more items is searched by joins.
+LONG_USER = 5_000
+CHUNK_PAIRS = 4_000_000
 SIM_DIGITS = 9
-PAIR_SCHEMA = "user long, neighbor long, sim double"
+# Rounding and the order of sums stay within this; bounds are compared with it in hand.
+SLACK = 1e-8
+EXACT, PARTIAL, OPEN = 0, 1, 2
 
 
 def user_item(ratings: DataFrame) -> DataFrame:
@@ -33,89 +36,154 @@ def _normalized(ratings: DataFrame) -> DataFrame:
 
 
 def user_neighbors(
-    ratings: DataFrame, *, k: int = 20, heavy_item: int = HEAVY_ITEM, block_rows: int = BLOCK_ROWS
+    ratings: DataFrame,
+    *,
+    k: int = 20,
+    list_rows: int = LIST_ROWS,
+    task_pairs: int = TASK_PAIRS,
+    long_user: int = LONG_USER,
 ) -> DataFrame:
     """The ``k`` most similar other users of each user by cosine; ties go to the smaller id.
 
-    While no item is rated by very many users, similarities come from joining the ratings
-    to themselves on the item. If some item is, that join would write out all pairs of its
-    raters. Then blocks of users are multiplied with each other as matrices, and each
-    product writes only the ``k`` best per user. Both ways are exact.
+    An inverted index holds each item's raters in lists of ``list_rows`` by falling weight. Every
+    user is searched in the first list of each of its items, a block of users per task, which writes
+    only what can be among the best. What further lists of popular items could add is bounded by the
+    user's weight times the largest weight left. While that is below the user's k-th similarity so
+    far, nobody new can come in, and only the pairs near the limit get their missing products. Other
+    users are searched in all lists. The result is exact.
     """
-    weights = stored(_normalized(ratings), "weights")  # every branch below reads it
-    most = weights.groupBy("item").count().agg(F.max("count")).first()[0] or 0
-    if most <= heavy_item:
-        pairs = _pairs_by_item(weights)
-    else:
-        pairs = _pairs_by_block(weights, k, block_rows)
-    ranked = pairs.withColumn("sim", F.round("sim", SIM_DIGITS)).filter(F.col("sim") > 0)
+    weights = stored(_normalized(ratings), "weights")
+    placed = row_positions(weights, ["item"], [-F.col("w"), "user"], "pos", "n")
+    placed = stored(placed.withColumn("slice", F.floor((F.col("pos") - 1) / list_rows)), "placed")
+    popular = (placed.agg(F.max("n")).first()[0] or 0) > list_rows
+    entries = placed.groupBy("item", "slice").agg(F.collect_list(F.struct("user", "w")).alias("e"), F.max("w").alias("top"))
+    lists = stored(entries.select("item", "slice", "top", F.col("e.user").alias("users"), F.col("e.w").alias("ws")), "lists")
+    first = lists.where("slice = 0").drop("slice", "top")
+    left = lists.where("slice = 1").select("item", F.col("top").alias("rest"))
+    long_ids = weights.groupBy("user").agg(F.count("*").alias("n")).where(F.col("n") > long_user).select("user")
+    usual = weights.join(long_ids, "user", "left_anti")
+
+    found = stored(_search(usual, first.join(left, "item", "left"), k, task_pairs), "found")
+    pairs = [found.where(F.col("state") == EXACT).drop("state")]
+    if popular:
+        pairs.append(_completed(found.where(F.col("state") == PARTIAL).drop("state"), placed, list_rows))
+        unsure = found.where(F.col("state") == OPEN).select("user")
+        again = weights.join(unsure, "user", "left_semi")
+        every = lists.select("item", "users", "ws", F.lit(None).cast("double").alias("rest"))
+        pairs.append(_search(again, every, k, task_pairs).drop("state"))
+    pairs.append(_by_joins(weights.join(long_ids, "user", "left_semi"), weights))
+    both = pairs[0]
+    for more in pairs[1:]:
+        both = both.unionByName(more)
+    ranked = both.withColumn("sim", F.round("sim", SIM_DIGITS)).filter(F.col("sim") > 0)
     return topk_per_group(ranked, group=["user"], order=[F.desc("sim"), F.asc("neighbor")], k=k)
 
 
-def _pairs_by_item(weights: DataFrame) -> DataFrame:
-    left = weights.select("item", F.col("user").alias("u"), F.col("w").alias("wu"))
-    right = weights.select("item", F.col("user").alias("v"), F.col("w").alias("wv"))
-    half = left.join(right, "item").filter(F.col("u") < F.col("v"))
-    half = half.groupBy("u", "v").agg(F.sum(F.col("wu") * F.col("wv")).alias("sim"))
-    both = F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b"))))
-    return half.select(both.alias("p"), "sim").select(F.col("p.a").alias("user"), F.col("p.b").alias("neighbor"), "sim")
-
-
-def _pairs_by_block(weights: DataFrame, k: int, block_rows: int) -> DataFrame:
-    sizes = weights.groupBy("user").agg(F.count(F.lit(1)).alias("n"))
-    users, total = sizes.agg(F.count("n"), F.sum("n")).first()
-    blocks = max(1, -(-total // block_rows), -(-users // BLOCK_USERS))
-    # Users that would fill a block many times over, however large the table is.
-    long_ids = sizes.filter(F.col("n") > LONG_BLOCKS * block_rows).select("user")
-    ordinary = weights.join(long_ids, "user", "left_anti")
-    long_rows = weights.join(long_ids, "user", "left_semi")
-
-    placed = ordinary.withColumn("blk", F.pmod(F.xxhash64("user"), F.lit(blocks)).cast("int"))
-    where = placed.groupBy("item").agg(F.collect_set("blk").alias("others"))
-    spread = placed.join(where, "item").select("blk", F.explode("others").alias("other"), "user", "item", "w")
-    mine = spread.groupBy("blk", "other")
-    swapped = {"other": "blk", "blk": "other", "user": "user", "item": "item", "w": "w"}
-    theirs = spread.select(*[F.col(c).alias(name) for c, name in swapped.items()]).groupBy("blk", "other")
-
-    def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"user": [], "neighbor": [], "sim": []}).astype({"user": "int64", "neighbor": "int64"})
-        ua, ia = np.unique(a["user"], return_inverse=True)
-        ub, ib = np.unique(b["user"], return_inverse=True)
-        items = np.intersect1d(a["item"], b["item"])
-        ca, cb = np.searchsorted(items, a["item"]), np.searchsorted(items, b["item"])
-        oka = (ca < len(items)) & (items[np.minimum(ca, len(items) - 1)] == a["item"].to_numpy())
-        okb = (cb < len(items)) & (items[np.minimum(cb, len(items) - 1)] == b["item"].to_numpy())
-        wa, wb = a["w"].to_numpy(), b["w"].to_numpy()
-        sims = np.zeros((len(ua), len(ub)))
-        for lo in range(0, len(items), ITEM_SLICE):
-            width = min(ITEM_SLICE, len(items) - lo)
-            ma, mb = np.zeros((len(ua), width)), np.zeros((len(ub), width))
-            sa = oka & (ca >= lo) & (ca < lo + width)
-            sb = okb & (cb >= lo) & (cb < lo + width)
-            ma[ia[sa], ca[sa] - lo] = wa[sa]
-            mb[ib[sb], cb[sb] - lo] = wb[sb]
-            sims += ma @ mb.T
-        sims = np.round(sims, SIM_DIGITS)
-        sims[ua[:, None] == ub[None, :]] = 0.0
-        # Columns are in id order, so a stable sort breaks ties by the smaller id.
-        best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(ua)), best.shape[1])
-        cols = best.ravel()
-        out = pd.DataFrame({"user": ua[rows], "neighbor": ub[cols], "sim": sims[rows, cols]})
-        return out[out["sim"] > 0]
-
-    regular = mine.cogroup(theirs).applyInPandas(product, PAIR_SCHEMA)
-
-    # Long users against everyone: few of them, so their item join stays small.
-    a = long_rows.select("item", F.col("user").alias("u"), F.col("w").alias("wu"))
-    b = weights.select("item", F.col("user").alias("v"), F.col("w").alias("wv"))
-    crossed = a.join(b, "item").filter(F.col("u") != F.col("v"))
-    crossed = crossed.groupBy("u", "v").agg(F.sum(F.col("wu") * F.col("wv")).alias("sim"))
-    from_long = crossed.select(F.col("u").alias("user"), F.col("v").alias("neighbor"), "sim")
-    to_long = crossed.join(long_ids.withColumnRenamed("user", "v"), "v", "left_anti")
-    to_long = to_long.select(F.col("v").alias("user"), F.col("u").alias("neighbor"), "sim")
-    return regular.unionByName(from_long).unionByName(to_long)
+def _search(queries: DataFrame, lists: DataFrame, k: int, task_pairs: int) -> DataFrame:
+    """(user, neighbor, sim, state) of ``queries`` (user, item, w) in ``lists`` (item, users, ws, rest).
+
+    ``rest`` is the largest weight of the item that is in no list. EXACT: the ``k`` best of a user without
+    such items. PARTIAL: sums that may still be among the best when what is missing is added. OPEN: one row
+    for a user who may have others.
+    """
+    asked = queries.groupBy("item").agg(F.count("*").alias("n"))
+    sizes = lists.groupBy("item").agg(F.sum(F.size("users")).alias("m"))
+    total = asked.join(sizes, "item").agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+    blocks = max(1, -(-total // task_pairs))
+    block = F.pmod(F.xxhash64("user"), F.lit(blocks)).cast("int")
+    grouped = queries.groupBy("item", block.alias("block")).agg(F.collect_list(F.struct("user", "w")).alias("q"))
+    grouped = grouped.select("item", "block", F.col("q.user").alias("q_users"), F.col("q.w").alias("q_ws"))
+    met = grouped.join(lists, "item").select("block", "q_users", "q_ws", "users", "ws", "rest")
+
+    def run(table: pa.Table) -> pa.Table:
+        return _block_best(table, k)
+
+    return met.groupBy("block").applyInArrow(run, "user long, neighbor long, sim double, state int")
+
+
+def _ragged(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, values) of a list column."""
+    flat = column.combine_chunks()
+    return np.diff(flat.offsets.to_numpy()), flat.flatten().to_numpy(zero_copy_only=False)
+
+
+def _block_best(table: pa.Table, k: int) -> pa.Table:
+    n_q, q_user = _ragged(table["q_users"])
+    _, q_w = _ragged(table["q_ws"])
+    n_e, e_user = _ragged(table["users"])
+    _, e_w = _ragged(table["ws"])
+    rest = np.nan_to_num(table["rest"].to_numpy())
+    row = np.repeat(np.arange(len(n_q)), n_q)
+    first = np.concatenate([[0], np.cumsum(n_e)[:-1]])
+    by_user = np.argsort(q_user, kind="stable")
+    row, q_user, q_w = row[by_user], q_user[by_user], q_w[by_user]
+    width = n_e[row]
+    # Stretches of whole users with about as many products as fit.
+    starts = np.flatnonzero(np.concatenate([[True], q_user[1:] != q_user[:-1]]))
+    done = np.concatenate([[0], np.cumsum(width)])
+    out, lo = [], 0
+    while lo < len(starts):
+        hi = lo + max(1, int(np.searchsorted(done[starts[lo:]], done[starts[lo]] + CHUNK_PAIRS, "right")) - 1)
+        a, b = starts[lo], starts[hi] if hi < len(starts) else len(q_user)
+        w, r = width[a:b], row[a:b]
+        of = np.repeat(np.arange(a, b), w)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(w) - w, w) + np.repeat(first[r], w)
+        users, left = np.unique(q_user[a:b], return_inverse=True)
+        missing = np.bincount(left, q_w[a:b] * rest[r])
+        out.append(_best(users, left[of - a], e_user[at], q_w[of] * e_w[at], missing, k))
+        lo = hi
+    parts = [np.concatenate(c) for c in zip(*out)] if out else [np.array([])] * 4
+    types = {"user": pa.int64(), "neighbor": pa.int64(), "sim": pa.float64(), "state": pa.int32()}
+    return pa.table({n: pa.array(p.astype(t.to_pandas_dtype())) for p, (n, t) in zip(parts, types.items())})
+
+
+def _best(users, u, other, product, missing, k):
+    """Sums of ``product`` per user (index ``u``) and other user, and what of them has to be kept."""
+    names, v = np.unique(other, return_inverse=True)
+    key = u * len(names) + v
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.array([], int)
+    sim = np.add.reduceat(product[order], new) if len(key) else product
+    u, v = np.divmod(key[new], max(1, len(names)))
+    other = names[v]
+    real = (users[u] != other) & (sim > 0)
+    u, other, sim = u[real], other[real], sim[real]
+    order = np.lexsort((other, -np.round(sim, SIM_DIGITS), u))
+    u, other, sim = u[order], other[order], sim[order]
+    begin = np.searchsorted(u, np.arange(len(users)))
+    rank = np.arange(len(u)) - begin[u]
+    limit = np.zeros(len(users))
+    kth = rank == k - 1
+    limit[u[kth]] = sim[kth] - SLACK
+    settled = missing == 0
+    closed = missing < limit
+    state = np.where(settled, EXACT, np.where(closed, PARTIAL, OPEN))[u]
+    keep = np.where(state == EXACT, rank < k, (state == PARTIAL) & (sim + missing[u] >= limit[u]))
+    unsure = users[~settled & ~closed]
+    return (
+        np.concatenate([users[u[keep]], unsure]),
+        np.concatenate([other[keep], unsure]),
+        np.concatenate([sim[keep], np.zeros(len(unsure))]),
+        np.concatenate([state[keep], np.full(len(unsure), OPEN)]),
+    )
+
+
+def _completed(partial: DataFrame, placed: DataFrame, list_rows: int) -> DataFrame:
+    """``partial`` sums with the products of popular items where the neighbor is in no first list."""
+    mine = placed.where(F.col("n") > list_rows).select("user", "item", F.col("w").alias("wu"))
+    theirs = placed.where("slice > 0").select(F.col("user").alias("neighbor"), "item", F.col("w").alias("wv"))
+    added = partial.select("user", "neighbor").join(mine, "user").join(theirs, ["neighbor", "item"])
+    added = added.select("user", "neighbor", (F.col("wu") * F.col("wv")).alias("sim"))
+    return partial.unionByName(added).groupBy("user", "neighbor").agg(F.sum("sim").alias("sim"))
+
+
+def _by_joins(queries: DataFrame, weights: DataFrame) -> DataFrame:
+    """All similarities of a few users with very many items, summed over tasks."""
+    mine = queries.select("item", "user", F.col("w").alias("wu"))
+    theirs = weights.select("item", F.col("user").alias("neighbor"), F.col("w").alias("wv"))
+    crossed = mine.join(theirs, "item").filter(F.col("user") != F.col("neighbor"))
+    return crossed.groupBy("user", "neighbor").agg(F.sum(F.col("wu") * F.col("wv")).alias("sim"))
 
 
 def candidate_items(neighbors: DataFrame, ratings: DataFrame, *, min_rating: float = 4.0) -> DataFrame:
@@ -136,14 +204,13 @@ def recommend(
     topn: int = 10,
     min_neighbor_rating: float = 4.0,
     users: DataFrame | None = None,
-    heavy_item: int = HEAVY_ITEM,
 ) -> DataFrame:
     """The ``topn`` best unseen items per user; ties go to the smaller item id.
 
     ``ratings`` has one row per user and item (see ``user_item``).
     """
     ratings = stored(ratings, "ratings")
-    neighbors = stored(user_neighbors(ratings, k=k_neighbors, heavy_item=heavy_item), "neighbors")
+    neighbors = stored(user_neighbors(ratings, k=k_neighbors), "neighbors")
     if users is not None:
         neighbors = neighbors.join(users.select("user"), "user", "left_semi")
     open_items = unseen_items(candidate_items(neighbors, ratings, min_rating=min_neighbor_rating), ratings)

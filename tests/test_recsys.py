@@ -35,10 +35,41 @@ def brute_neighbors(data, k):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("heavy,block_rows", [(10**6, 10**6), (3, 100), (3, 40), (3, 10**6)])
-def test_neighbors_by_join_and_by_blocks(ratings, heavy, block_rows):
-    got = recsys.user_neighbors(ratings, k=5, heavy_item=heavy, block_rows=block_rows)
-    assert rows(got, "user", "neighbor", "sim") == brute_neighbors(ratings.collect(), 5)
+@pytest.mark.parametrize(
+    "list_rows,task_pairs,long_user", [(10**6, 10**6, 10**6), (3, 10**6, 10**6), (3, 50, 10**6), (20, 200, 10), (20, 10**6, 10**6), (45, 500, 10**6)]
+)
+@pytest.mark.parametrize("k", [1, 5, 70])
+def test_neighbors_with_lists_of_any_length(ratings, k, list_rows, task_pairs, long_user):
+    got = recsys.user_neighbors(ratings, k=k, list_rows=list_rows, task_pairs=task_pairs, long_user=long_user)
+    assert rows(got, "user", "neighbor", "sim") == brute_neighbors(ratings.collect(), k)
+
+
+def test_bounds_spare_the_further_lists(spark):
+    """Groups of users alike apart from an item of everybody: none of them is searched again."""
+    data = [(u, 0, 1) for u in range(200)] + [(u, 1 + u // 10 * 3 + i, 5) for u in range(200) for i in range(3)]
+    df = spark.createDataFrame(data, "user long, item long, rating long")
+    states = []
+    search = recsys._search
+
+    def spy(queries, *args):
+        out = search(queries, *args)
+        states.append((queries.count(), {r["state"] for r in out.select("state").distinct().collect()}))
+        return out
+
+    recsys._search = spy
+    try:
+        got = recsys.user_neighbors(df, k=9, list_rows=20)
+        assert rows(got, "user", "neighbor", "sim") == brute_neighbors(df.collect(), 9)
+    finally:
+        recsys._search = search
+    assert [s[1] for s in states] == [{recsys.PARTIAL}, set()] and states[1][0] == 0
+
+
+def test_equal_users(spark):
+    df = spark.createDataFrame([(u, 0, 3) for u in range(30)] + [(30, 1, 2)], "user long, item long, rating long")
+    got = recsys.user_neighbors(df, k=4, list_rows=8)
+    assert rows(got, "user", "neighbor", "sim") == brute_neighbors(df.collect(), 4)
+    assert recsys.user_neighbors(df.limit(0), k=4).count() == 0
 
 
 def test_worked_example(spark):
