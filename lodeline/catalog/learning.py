@@ -120,14 +120,20 @@ def forecast_rows(spark, sf):
     )
 
 
+def forecast(spark, sf):
+    """The scored test slice and the model, trained as the operator does by default."""
+    rows = forecast_rows(spark, sf)
+    model = ml.gbt_forecast(rows, target="mw")
+    return model.transform(rows.filter(F.col("split") == "test")), model, rows
+
+
 @query("gbt_forecast")
 def _(spark, sf):
-    rows = forecast_rows(spark, sf)
-    model = ml.gbt_forecast(rows, target="mw", rounds=15, rate=0.1)
-    scored = model.transform(rows.filter(F.col("split") == "test"))
+    scored, model, _ = forecast(spark, sf)
     spikes = series.spike_detect(scored.withColumnRenamed("prediction", "yhat"), keys=["event_type"])
     return spikes.select(
-        "event_type", ntz("ts").alias("ts"), F.round("mw", 4).alias("mw"), F.round("yhat", 4).alias("yhat"), "is_spike"
+        "event_type", ntz("ts").alias("ts"), F.round("mw", 4).alias("mw"), F.round("yhat", 4).alias("yhat"), "is_spike",
+        F.lit(model.n_rounds).alias("n_rounds"), F.lit(len(model.losses)).alias("n_tried"),
     )
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeline.operators import boosting
 from lodeline.operators.metrics import roc_auc
 from lodeline.operators.windows import stratified_split, walk_forward
 from lodeline.session import stored
@@ -122,22 +123,16 @@ FORECAST_FEATURES = (
 
 def gbt_forecast(
     df: DataFrame, *, target: str, split: str = "split", features: Sequence[str] = FORECAST_FEATURES,
-    rounds: int = 1000, rate: float = 0.01, depth: int = 3,
-):
-    """Boosted trees that stop early on a validation slice; the test slice is not looked at.
+    rounds: int = 1000, rate: float = 0.01, depth: int = 3, patience: int = 50,
+) -> boosting.BoostedTrees:
+    """Boosted trees that stop ``patience`` rounds after their best on a validation slice and are cut there.
 
-    ``split`` holds train, validation or test.
+    The test slice is not looked at. ``split`` holds train, validation or test.
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
     used = df.filter(F.col(split) != "test").withColumn("_valid", F.col(split) == "validation")
-    model = GBTRegressor(
-        featuresCol="_features", labelCol=target, maxIter=rounds, stepSize=rate, maxDepth=depth,
-        validationIndicatorCol="_valid", seed=42,
-    )
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_features"), model]).fit(used)
+    return boosting.fit(
+        used, target=target, features=features, valid="_valid", rounds=rounds, rate=rate, depth=depth, patience=patience
+    )
 
 
 def linear_regression(df: DataFrame, *, features: Sequence[str], target: str):
