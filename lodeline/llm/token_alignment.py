@@ -12,8 +12,10 @@ in many texts are few and sent to the tasks, the others are joined.
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import re
-from operator import or_
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,10 @@ LONG_UNIT = 64
 # Pairs that are sent to the tasks hold at least this share of all pairs, so they are at most as many.
 HEAD = 200_000
 BATCH = 256
+CACHE_GROUPS = 500_000
+FIRST_STEP = 2
+# Fixed value: the pattern of words of byte-level vocabularies.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _cuts = re.compile(r"(?<! )(?= \S)").split
 _odd = re.compile(r"(?:^| )(?:\s|\Z)").search
 _byte_piece = re.compile(r"<0x([0-9A-Fa-f]{2})>").fullmatch
@@ -43,20 +49,10 @@ class _Encoders:
     """
 
     def __init__(self, a: str, b: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a)
-        self.a.encode_special_tokens = True
+        self.a, self.bytes_a = _byte_level(a)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b)
-        alphabet = byte_alphabet()
-        vocab = self.a.get_vocab(with_added_tokens=False)
-        self.bytes_a = [b""] * (max(vocab.values()) + 1)
-        for token, i in vocab.items():
-            self.bytes_a[i] = "".join(map(alphabet.__getitem__, token)).encode("latin-1")
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(m[1], 16)]) if (m := _byte_piece(p)) else p.replace("▁", " ").encode() for p in pieces]
         self.size_a = np.array([len(x) for x in self.bytes_a], np.int64)
@@ -69,38 +65,65 @@ class _Encoders:
             return [" " + text]
         if _odd(text):
             return [u for u in _cuts(" " + text) if u]
-        return [" " + w for w in text.split(" ")]
+        return (" " + text.replace(" ", "\0 ")).split("\0") if "\0" not in text else [" " + w for w in text.split(" ")]
 
     def _encode(self, units: list[str]) -> None:
-        ids_a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
-        ids_b = self.b.encode([u[1:] for u in units], num_threads=1)
-        for unit, x, y in zip(units, ids_a, ids_b):
-            raw = unit.encode()
-            same = b"".join([self.bytes_a[i] for i in x]) == raw == b"".join([self.bytes_b[i] for i in y])
-            self.cache[unit] = (np.array(x, "<i4").tobytes(), np.array(y, "<i4").tobytes()) if same else None
+        of_b = self.bytes_b.__getitem__
+        for unit, y in zip(units, self.b.encode([u[1:] for u in units], num_threads=1)):
+            same = b"".join(map(of_b, y)) == unit.encode()
+            self.cache[unit] = (array("i", self.a(unit)).tobytes(), array("i", y).tobytes()) if same else None
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """Ids of both vocabularies, or None where a text is empty or its bytes are not kept."""
-        if len(self.cache) > CACHE_UNITS:
-            self.cache.clear()
+        cache = self.cache
+        if len(cache) > CACHE_UNITS:
+            cache.clear()
         split = [self.units(t) if t else [] for t in texts]
-        new = [u for u in set().union(*split) if u not in self.cache]
+        new = [u for u in set().union(*split) if u not in cache]
         for lo in range(0, len(new), 4096):
             self._encode(new[lo : lo + 4096])
         out = []
         for units in split:
-            found = [self.cache[u] for u in units]
+            found = list(map(cache.__getitem__, units))
             if not found or None in found:
                 out.append(None)
             else:
-                x, y = (np.frombuffer(b"".join(part), "<i4") for part in zip(*found))
+                x, y = (np.frombuffer(b"".join(part), np.int32) for part in zip(*found))
                 out.append((x, y))
         for u in new:
             if len(u) > LONG_UNIT:
-                del self.cache[u]
+                del cache[u]
         return out
 
 
+def _byte_level(path: str):
+    """(function from a text to ids, bytes of each id) of a byte-level vocabulary file.
+
+    Where every merge makes the next id, as usual, ids are ranks and the quicker encoder gives the same.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    alphabet, vocab, merges = byte_alphabet(), spec["model"]["vocab"], spec["model"]["merges"]
+    of = [b""] * (max(vocab.values()) + 1)
+    for token, i in vocab.items():
+        if all(c in alphabet for c in token):  # a special token need not be
+            of[i] = "".join(map(alphabet.__getitem__, token)).encode("latin-1")
+    made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in merges]
+    plain = spec.get("normalizer") is None and spec["pre_tokenizer"].get("type") == "ByteLevel"
+    plain = plain and spec["pre_tokenizer"].get("use_regex") and not spec["pre_tokenizer"].get("add_prefix_space")
+    if plain and made == list(range(256, 256 + len(made))):
+        import tiktoken
+
+        ranks = {of[i]: i for i in [*made, *(i for i in vocab.values() if len(of[i]) == 1)]}
+        return tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, of
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return (lambda text: tokenizer.encode(text, add_special_tokens=False).ids), of
+
+
 def _encoders(a: str, b: str) -> _Encoders:
     if (a, b) not in _state:
         _state[a, b] = _Encoders(a, b)
@@ -117,56 +140,86 @@ def align(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[list[tuple[int, int,
     n, m, i, j = len(list_a), len(list_b), 0, 0
     stretches, groups = [], []
     while i < n:
-        room, k, step, grows = min(n - i, m - j), 0, 1, True
-        while k < room and step:
-            t = min(step, room - k)
-            if raw_a[8 * (i + k) : 8 * (i + k + t)] == raw_b[8 * (j + k) : 8 * (j + k + t)]:
-                k += t
-                step = 2 * step if grows else step // 2
-            else:
-                grows, step = False, t // 2
-        if k:
+        if list_a[i] == list_b[j]:
+            # Double while the slices at this shift are equal, then halve to the first difference.
+            k, step, room, grows = 1, FIRST_STEP, min(n - i, m - j), True
+            while k < room and step:
+                t = min(step, room - k)
+                at, to = 8 * (i + k), 8 * (j + k)
+                if raw_a[at : at + 8 * t] == raw_b[to : to + 8 * t]:
+                    k += t
+                    step = 2 * step if grows else step // 2
+                else:
+                    grows, step = False, t // 2
             stretches.append((i, j, k))
             i, j = i + k, j + k
-        if i < n:
-            p, q = i, j
-            while (x := list_a[p]) != (y := list_b[q]):
-                if x < y:
-                    p += 1
-                else:
-                    q += 1
-            groups.append((i, p + 1, j, q + 1))
-            i, j = p + 1, q + 1
+            if i >= n:
+                break
+        p, q = i, j
+        x, y = list_a[p], list_b[q]
+        while x != y:
+            if x < y:
+                p += 1
+                x = list_a[p]
+            else:
+                q += 1
+                y = list_b[q]
+        groups.append((i, p + 1, j, q + 1))
+        i, j = p + 1, q + 1
     return stretches, groups
 
 
-def linked(ids_a: np.ndarray, ids_b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[str, int, list[int]]:
+class _Written(dict):
+    """One-to-one groups as text, by key; emptied when it holds too many."""
+
+    def __missing__(self, key: int) -> str:
+        if len(self) > CACHE_GROUPS:
+            self.clear()
+        self[key] = text = f"{key >> 32}|{key & 0xFFFFFFFF}"
+        return text
+
+
+_written = _Written()
+
+
+def linked(ids_a: np.ndarray, ids_b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[str, int, np.ndarray]:
     """(groups as text, number of groups, key of each link: id of A above 32 bits, id of B below)."""
     stretches, groups = align(ends_a, ends_b)
+    high = ids_a.astype(np.int64) << 32
+    keys = np.zeros(0, np.int64)
+    if stretches:
+        first_a, first_b, long = np.array(stretches).T
+        inside = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
+        keys = high[np.repeat(first_a, long) + inside] | ids_b[np.repeat(first_b, long) + inside]
+    single = list(map(_written.__getitem__, keys.tolist()))
+    if not groups:
+        return ";".join(single), len(single), keys
     list_a, list_b = ids_a.tolist(), ids_b.tolist()
-    high = (ids_a.astype(np.int64) << 32).tolist()
     stop_a, stop_b = ends_a.tolist(), ends_b.tolist()
-    text: list[tuple[int, str]] = []
-    keys: list[int] = []
-    n = len(groups)
-    for i, j, k in stretches:
-        n += k
-        keys += map(or_, high[i : i + k], list_b[j : j + k])
-        text.append((i, ";".join([f"{x}|{y}" for x, y in zip(list_a[i : i + k], list_b[j : j + k])])))
+    text: list[str] = []
+    left: list[int] = []
+    right: list[int] = []
+    done, at = 0, iter(stretches)
+    stretch = next(at, None)
     for i, i_end, j, j_end in groups:
-        text.append((i, f"{','.join(map(str, list_a[i:i_end]))}|{','.join(map(str, list_b[j:j_end]))}"))
+        if stretch and stretch[0] < i:
+            text += single[done : done + stretch[2]]
+            done += stretch[2]
+            stretch = next(at, None)
+        text.append(",".join(map(str, list_a[i:i_end])) + "|" + ",".join(map(str, list_b[j:j_end])))
         p, q = i, j
         while True:
-            keys.append(high[p] | list_b[q])
+            left.append(p)
+            right.append(q)
             x, y = stop_a[p], stop_b[q]
-            if x == y:
-                break
             if x < y:
                 p += 1
-            else:
+            elif x > y:
                 q += 1
-    text.sort()
-    return ";".join([t for _, t in text]), n, keys
+            else:
+                break
+    text += single[done:]
+    return ";".join(text), len(text), np.concatenate([keys, high[left] | ids_b[right]])
 
 
 def aligned(docs: DataFrame, a: str, b: str, keep_groups: bool = False) -> DataFrame:
@@ -184,12 +237,12 @@ def aligned(docs: DataFrame, a: str, b: str, keep_groups: bool = False) -> DataF
             cols: dict[str, list] = {c: [] for c in (*counts, "groups_sha256", "groups")}
             pairs, times = [], []
             for row, doc, both in zip(rows[lo:], ids[lo:], enc.encode(texts[lo : lo + BATCH])):
-                groups, n, keys = "", 0, []
+                groups, n, keys = "", 0, np.zeros(0, np.int64)
                 n_a = n_b = 0
                 if both:
                     n_a, n_b = len(both[0]), len(both[1])
                     groups, n, keys = linked(*both, enc.size_a[both[0]].cumsum(), enc.size_b[both[1]].cumsum())
-                key, time = np.unique(np.array(keys, np.int64), return_counts=True)
+                key, time = np.unique(keys, return_counts=True)
                 pairs.append(key)
                 times.append(time)
                 digest = hashlib.sha256(groups.encode()).hexdigest() if groups else ""
