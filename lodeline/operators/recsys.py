@@ -82,8 +82,8 @@ def user_neighbors(
 def _search(queries: DataFrame, lists: DataFrame, k: int, task_pairs: int) -> DataFrame:
     """(user, neighbor, sim, state) of ``queries`` (user, item, w) in ``lists`` (item, users, ws, rest).
 
-    ``rest`` is the largest weight of the item that is in no list. EXACT: the ``k`` best of a user without
-    such items. PARTIAL: sums that may still be among the best when what is missing is added. OPEN: one row
+    ``rest`` is the largest weight of the item that is in no list. EXACT: the ``k`` best, and ties, of a user
+    without such items. PARTIAL: sums that may still be among the best when what is missing is added. OPEN: one row
     for a user who may have others.
     """
     asked = queries.groupBy("item").agg(F.count("*").alias("n"))
@@ -149,23 +149,22 @@ def _best(users, u, other, product, missing, k):
     other = names[v]
     real = (users[u] != other) & (sim > 0)
     u, other, sim = u[real], other[real], sim[real]
-    order = np.lexsort((other, -np.round(sim, SIM_DIGITS), u))
-    u, other, sim = u[order], other[order], sim[order]
-    begin = np.searchsorted(u, np.arange(len(users)))
-    rank = np.arange(len(u)) - begin[u]
+    bounds = np.searchsorted(u, np.arange(len(users) + 1))
+    # The k-th best of each user; below it, less what may be missing, nothing has to be kept.
     limit = np.zeros(len(users))
-    kth = rank == k - 1
-    limit[u[kth]] = sim[kth] - SLACK
+    for i in np.flatnonzero(np.diff(bounds) >= k):
+        mine = sim[bounds[i] : bounds[i + 1]]
+        limit[i] = np.partition(mine, len(mine) - k)[len(mine) - k] - SLACK
     settled = missing == 0
     closed = missing < limit
-    state = np.where(settled, EXACT, np.where(closed, PARTIAL, OPEN))[u]
-    keep = np.where(state == EXACT, rank < k, (state == PARTIAL) & (sim + missing[u] >= limit[u]))
+    keep = (settled | closed)[u] & (sim + missing[u] >= limit[u])
+    u, other, sim = u[keep], other[keep], sim[keep]
     unsure = users[~settled & ~closed]
     return (
-        np.concatenate([users[u[keep]], unsure]),
-        np.concatenate([other[keep], unsure]),
-        np.concatenate([sim[keep], np.zeros(len(unsure))]),
-        np.concatenate([state[keep], np.full(len(unsure), OPEN)]),
+        np.concatenate([users[u], unsure]),
+        np.concatenate([other, unsure]),
+        np.concatenate([sim, np.zeros(len(unsure))]),
+        np.concatenate([np.where(settled, EXACT, PARTIAL)[u], np.full(len(unsure), OPEN)]),
     )
 
 
