@@ -187,7 +187,7 @@ EXACT = f"""WITH RECURSIVE {MEM}, b AS (SELECT key, floor(sum(tokens) / 12) AS b
     WHERE ((best.bits >> CAST(r.n - r.rank AS INTEGER)) & 1) = 1"""
 
 
-@query("exact_budget_select", EXACT)
+@query("exact_budget_select_parts", EXACT)
 def _(spark, sf):
     made = ctx.exact_budget_select(
         _exact_groups(spark, sf), group=["key", "part"], score="confidence", id="id", tokens="tokens", budget="budget"
@@ -195,6 +195,31 @@ def _(spark, sf):
     return made.select("key", "part", "id", "tokens", "rank")
 
 
+# Whole sources: the best total per tokens used, item by item.
+BEST_TOTAL = f"""WITH RECURSIVE {MEM}, b AS (SELECT key, floor(sum(tokens) / 12) AS budget FROM mem GROUP BY 1),
+    r AS (SELECT m.key, m.tokens, b.budget, CAST(round(confidence * 1e9) AS BIGINT) AS worth,
+            row_number() OVER (PARTITION BY m.key ORDER BY confidence DESC, id) AS rank FROM mem m JOIN b USING (key)),
+    dp AS (
+      SELECT key, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS total FROM b
+      UNION ALL
+      SELECT s.key, s.i + 1, s.used + t.take * r.tokens, max(s.total + t.take * r.worth)
+      FROM dp s JOIN r ON r.key = s.key AND r.rank = s.i + 1, (VALUES (0), (1)) t(take)
+      WHERE s.used + t.take * r.tokens <= r.budget GROUP BY 1, 2, 3)
+    SELECT key, CAST(budget AS BIGINT) AS budget, max(total) AS total, TRUE AS within
+    FROM dp JOIN b USING (key) GROUP BY key, budget"""
+
+
+@query("exact_budget_select", BEST_TOTAL)
+def _(spark, sf):
+    made = ctx.budget_select(
+        _greedy_groups(spark, sf), group=["key"], score="confidence", id="id", tokens="tokens", budget="budget", exact=True
+    )
+    best = made.groupBy("key", F.col("budget").cast("long").alias("budget")).agg(
+        F.sum(F.round(F.col("confidence") * 1e9).cast("long")).alias("total"), F.sum("tokens").alias("used")
+    )
+    return best.select("key", "budget", "total", (F.col("used") <= F.col("budget")).alias("within"))
+
+
 @query("exact_budget_select_by_type")
 def _(spark, sf):
     made = ctx.budget_select(

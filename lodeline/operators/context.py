@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from lodeline.functions.vectors import cosine
 from lodeline.operators.aggregates import topk_per_group
+from lodeline.operators.knapsack import exact_budget_select
 from lodeline.plans.hot_groups import MAX_BLOCKS, running, split_groups
 from lodeline.session import stored
 
@@ -36,8 +37,6 @@ STAGE_TYPES = {"plan": ["decision", "plan"], "execute": ["tool_trace", "fact"],
 DECAY_PER_HOUR = 0.1
 CONFIDENCE_BAND = 0.1
 LOSER_CAP = 0.5
-# Items times budget of a group above which a knapsack is solved by bounds and halves; both ways give the same choice.
-STATES = 5_000_000
 
 
 def recency_decay(ts: Column, as_of: Column) -> Column:
@@ -119,101 +118,6 @@ def budget_select(
     return top.join(chosen, [*group, "rank"])
 
 
-def exact_budget_select(
-    df: DataFrame, *, group: Sequence[str], score: str, id: str, tokens: str, budget: str, max_states: int | None = None
-) -> DataFrame:
-    """Best total score within the budget, for every group; scores count to nine decimals.
-
-    Of equally good choices the one that takes the higher-ranked items wins. A group is solved
-    by one task, with one state per reachable number of tokens. Where items times budget exceed
-    ``STATES``, a bound first settles the items that every best choice takes or leaves, and the
-    others are solved in memory of a few times the budget: the same choice, for groups of any size.
-    Items without a positive score or with no tokens to spend are weighed like any other. A caller
-    who would rather fail than wait gives ``max_states``, the most items times budget of a group.
-    """
-    schema = T.StructType([*df.schema.fields, T.StructField("rank", T.IntegerType())])
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        items = pdf.sort_values([score, id], ascending=[False, True]).reset_index(drop=True)
-        items["rank"] = (items.index + 1).astype("int32")
-        n, limit = len(items), int(items[budget].iloc[0])
-        worth, need = [round(float(v) * 1e9) for v in items[score]], [int(t) for t in items[tokens]]
-        size = n * max(1, min(limit, sum(need)))
-        if max_states is not None and size > max_states:
-            raise ValueError(f"a group of {n} items with a budget of {limit} has more than {max_states} states")
-        solved = best_by_bounds if size > STATES and min(need) >= 0 else best_by_states
-        return items[solved(worth, need, limit)]
-
-    return df.groupBy(*group).applyInPandas(solve, schema)
-
-
-def best_by_states(worth: Sequence[int], need: Sequence[int], limit: int) -> list[bool]:
-    """Which items are taken: a knapsack with one state per reachable number of tokens."""
-    # Used tokens -> (value, chosen items as bits, the first item highest): ties keep higher ranks.
-    n, states = len(worth), {0: (0, 0)}
-    for i, (value, tokens) in enumerate(zip(worth, need)):
-        bit = 1 << (n - 1 - i)
-        for used, (total, picks) in sorted(states.items(), reverse=True):
-            after, new = used + tokens, (total + value, picks | bit)
-            if after <= limit and new > states.get(after, (new[0] - 1, 0)):
-                states[after] = new
-    picks = max(states.values())[1]
-    return [bool(picks >> (n - 1 - i) & 1) for i in range(n)]
-
-
-def best_by_bounds(worth: Sequence[int], need: Sequence[int], limit: int) -> list[bool]:
-    """The choice of ``best_by_states`` for tokens of zero or more, in memory of the items and a few times the budget.
-
-    With a price per token, no choice is worth more than the budget's price plus all that items are
-    worth above theirs; a choice that goes against one item's own price loses the difference. Where
-    that falls below a greedy choice, the item is settled. The rest is solved by halves.
-    """
-    v, t = np.array(worth, np.int64), np.array(need, np.int64)
-    taken = np.zeros(len(v), bool)
-    open_ = np.flatnonzero((v >= 0) & (t <= limit))
-    if len(open_) and int(t[open_].sum()) > limit:
-        dense = open_[np.argsort(-(v[open_] / np.maximum(t[open_], 1e-9)), kind="stable")]
-        k = dense[np.searchsorted(np.cumsum(t[dense]), limit, "right")]  # the first that no longer fits
-        left, greedy = limit, 0
-        for i in dense.tolist():
-            if need[i] <= left:
-                left, greedy = left - need[i], greedy + worth[i]
-        price = worth[k] / need[k]
-        over = v[open_] - price * t[open_]
-        most = price * limit + math.fsum(over[over > 0])
-        settled = most - np.abs(over) < greedy - 1 - 1e-11 * most  # less what floats may round
-        taken[open_[settled & (over > 0)]] = True
-        limit -= int(t[taken].sum())
-        open_ = open_[~settled]
-    limit = max(0, min(limit, int(t[open_].sum())))
-
-    def best(lo: int, hi: int, after: np.ndarray) -> np.ndarray:
-        """The best worth of items ``lo`` to ``hi`` and those behind, by the tokens left."""
-        for i in open_[lo:hi][::-1]:
-            w, x = int(t[i]), after.copy()
-            if w < len(x):
-                np.maximum(x[w:], after[: len(x) - w] + v[i], out=x[w:])
-            after = x
-        return after
-
-    def walk(lo: int, hi: int, after: np.ndarray, left: int) -> int:
-        """Take or leave items ``lo`` to ``hi`` with ``left`` tokens; the tokens left then."""
-        if hi - lo > 1:
-            mid = (lo + hi) // 2
-            left = walk(lo, mid, best(mid, hi, after[: left + 1]), left)
-            return walk(mid, hi, after[: left + 1], left)
-        i = open_[lo]
-        w = int(t[i])
-        if w <= left and after[left - w] + v[i] >= after[left]:
-            taken[i] = True
-            left -= w
-        return left
-
-    if len(open_):
-        walk(0, len(open_), np.zeros(limit + 1, np.int64), limit)
-    return taken.tolist()
-
-
 # Token budgets of the routed requests.
 REQUESTS = (("planner", "plan", 2000), ("coder", "execute", 1500), ("reviewer", "review", 1200))
 

@@ -3,12 +3,14 @@ from __future__ import annotations
 import itertools
 import random
 
+import numpy as np
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from lodeline.functions.scalar import classify_threshold, flag_threshold
 from lodeline.operators import context as ctx
+from lodeline.operators import knapsack
 from lodeline.operators import vectors as vec
 from lodeline.operators.checks import expect
 from lodeline.operators.reports import position_accuracy
@@ -53,25 +55,51 @@ def test_exact_is_best_and_falls_back_when_large(spark):
     assert {r["g"]: r["s"] for r in exact}["big"] == 39 + 38 + 37 + 36 + 35
 
 
-def test_exact_in_large_groups(spark):
+def best_by_states(worth, need, limit):
+    """Places of the best choice: one state per reachable number of tokens, ties keep the earlier items."""
+    n, states = len(worth), {0: (0, 0)}
+    for i, (value, tokens) in enumerate(zip(worth, need)):
+        for used, (total, picks) in sorted(states.items(), reverse=True):
+            after, new = used + tokens, (total + value, picks | 1 << (n - 1 - i))
+            if after <= limit and new > states.get(after, (new[0] - 1, 0)):
+                states[after] = new
+    picks = max(states.values())[1]
+    return [i for i in range(n) if picks >> (n - 1 - i) & 1]
+
+
+@pytest.mark.parametrize("block_items,span", [(256, 8192), (3, 4), (2, 8192), (1, 5)])
+def test_exact_by_blocks(spark, monkeypatch, block_items, span):
+    monkeypatch.setattr(knapsack, "RANGE", span)
+    rnd = random.Random(5)
+    data, want = [], []
+    for case in range(60):
+        n, top = rnd.randint(1, 14), rnd.choice((2, 9, 30))
+        scores = sorted((rnd.choice((rnd.randint(-3, 9) / 8, rnd.random())) for _ in range(n)), reverse=True)
+        need = [rnd.randint(0, top) for _ in range(n)]
+        limit = rnd.choice((None, 0, rnd.randint(1, sum(need) + 2)))
+        data += [(f"g{case}" if case else None, i, s, t, limit) for i, (s, t) in enumerate(zip(scores, need))]
+        worth = [round(s * 1e9) for s in scores]
+        want += [(f"g{case}" if case else None, i, i + 1) for i in best_by_states(worth, need, limit or 0)]
+    data += [("none", 1, None, 1, 5), ("none", 2, 1.0, None, 5), ("only null", 1, None, 1, 5)]
+    want += [("none", 2, 1)]
+    df = items(spark, data).withColumns({c: F.lit("c") for c in ("node", "need", "worth", "a.b")})
+    got = knapsack.exact_budget_select(df, group=["g"], score="s", id="id", tokens="t", budget="b", block_items=block_items)
+    assert rows(got, "g", "id", "rank") == sorted(want, key=repr)
+    assert got.columns == [*df.columns, "rank"]
+
+
+def test_exact_in_a_long_group(spark):
     rnd = random.Random(5)
-    for case in range(400):
-        n, top = rnd.randint(1, 14), rnd.choice((2, 9, 60))
-        worth = sorted((rnd.choice((rnd.randint(-3, 9), rnd.randint(0, 10**9))) for _ in range(n)), reverse=True)
-        need = [rnd.randint(0, top) for _ in range(n)] if case % 3 else [max(0, w % 50) for w in worth]
-        limit = rnd.randint(-1, sum(need) + 2)
-        assert ctx.best_by_bounds(worth, need, limit) == ctx.best_by_states(worth, need, limit), (worth, need, limit)
-    # Groups above max_states, with and without items that a bound can settle, are solved whole and bind.
-    data = [("mixed", i, round(rnd.random(), 3), rnd.randint(1, 400), 40_000) for i in range(2_000)]
-    data += [("alike", i, 1.0, 7, 30_000) for i in range(6_000)]
+    data = [("mixed", i, round(rnd.random(), 3), rnd.randint(1, 400), 4_000) for i in range(2_000)]
+    data += [("alike", i, 1.0, 7, 3_000) for i in range(6_000)]
     kw = dict(group=["g"], score="s", id="id", tokens="t", budget="b")
     got = ctx.budget_select(items(spark, data), exact=True, **kw)
     sums = {r["g"]: r for r in got.groupBy("g").agg(F.sum("s").alias("s"), F.sum("t").alias("t"), F.max("id").alias("top")).collect()}
-    assert (sums["alike"]["s"], sums["alike"]["t"], sums["alike"]["top"]) == (4285.0, 29_995, 4284)
-    worth, need = [round(d[2] * 1e9) for d in data[:300]], [d[3] for d in data[:300]]
-    assert ctx.best_by_bounds(worth, need, 3_000) == ctx.best_by_states(worth, need, 3_000)
-    greedy = ctx.budget_select(items(spark, data), **kw).where("g = 'mixed'").agg(F.sum("s")).first()[0]
-    assert sums["mixed"]["t"] <= 40_000 and sums["mixed"]["s"] >= greedy
+    assert (sums["alike"]["s"], sums["alike"]["t"], sums["alike"]["top"]) == (428.0, 2_996, 427)
+    table = np.zeros(4_001, np.int64)
+    for _, _, s, t, _ in data[:2_000]:
+        table[t:] = np.maximum(table[t:], table[: len(table) - t] + round(s * 1e9))
+    assert round(sums["mixed"]["s"] * 1e9) == table[-1] and sums["mixed"]["t"] <= 4_000
 
 
 def fold(data):
