@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from lodeline.llm.common import byte_alphabet, map_arrow
 from lodeline.session import stored
 
-CACHE_UNITS = 300_000
+CACHE_UNITS = 400_000
+SHORT_UNIT = 8
 LONG_UNIT = 64
 # Pairs that are sent to the tasks hold at least this share of all pairs, so they are at most as many.
 HEAD = 200_000
@@ -77,7 +78,11 @@ class _Encoders:
         """Ids of both vocabularies, or None where a text is empty or its bytes are not kept."""
         cache = self.cache
         if len(cache) > CACHE_UNITS:
+            # Short units come back most often.
+            kept = {u: v for u, v in cache.items() if len(u) <= SHORT_UNIT}
             cache.clear()
+            if len(kept) < CACHE_UNITS // 2:
+                cache.update(kept)
         split = [self.units(t) if t else [] for t in texts]
         new = [u for u in set().union(*split) if u not in cache]
         for lo in range(0, len(new), 4096):
@@ -180,25 +185,44 @@ class _Written(dict):
 
 
 _written = _Written()
-
-
-def linked(ids_a: np.ndarray, ids_b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[str, int, np.ndarray]:
-    """(groups as text, number of groups, key of each link: id of A above 32 bits, id of B below)."""
-    stretches, groups = align(ends_a, ends_b)
-    high = ids_a.astype(np.int64) << 32
+_irregular: dict[tuple[bytes, bytes], tuple[str, list[int]]] = {}
+
+
+def _group(a: bytes, b: bytes, size_a: np.ndarray, size_b: np.ndarray) -> tuple[str, list[int]]:
+    """(text, link keys) of a group by the ids of its tokens, which tell where they end."""
+    ids_a, ids_b = np.frombuffer(a, np.int32).tolist(), np.frombuffer(b, np.int32).tolist()
+    p = q = 0
+    x, y = size_a[ids_a[0]], size_b[ids_b[0]]
+    keys = [ids_a[0] << 32 | ids_b[0]]
+    while x != y:
+        if x < y:
+            p += 1
+            x += size_a[ids_a[p]]
+        else:
+            q += 1
+            y += size_b[ids_b[q]]
+        keys.append(ids_a[p] << 32 | ids_b[q])
+    return ",".join(map(str, ids_a)) + "|" + ",".join(map(str, ids_b)), keys
+
+
+def linked(ids_a: np.ndarray, ids_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> tuple[str, int, np.ndarray]:
+    """(groups as text, number of groups, key of each link: id of A above 32 bits, id of B below).
+
+    ``size_a`` and ``size_b`` are the bytes of every id of a vocabulary. Irregular groups come back, so
+    what they look like is kept for some of them.
+    """
+    stretches, groups = align(size_a[ids_a].cumsum(), size_b[ids_b].cumsum())
     keys = np.zeros(0, np.int64)
     if stretches:
         first_a, first_b, long = np.array(stretches).T
         inside = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
-        keys = high[np.repeat(first_a, long) + inside] | ids_b[np.repeat(first_b, long) + inside]
+        keys = (ids_a[np.repeat(first_a, long) + inside].astype(np.int64) << 32) | ids_b[np.repeat(first_b, long) + inside]
     single = list(map(_written.__getitem__, keys.tolist()))
     if not groups:
         return ";".join(single), len(single), keys
-    list_a, list_b = ids_a.tolist(), ids_b.tolist()
-    stop_a, stop_b = ends_a.tolist(), ends_b.tolist()
+    raw_a, raw_b = ids_a.tobytes(), ids_b.tobytes()
     text: list[str] = []
-    left: list[int] = []
-    right: list[int] = []
+    more: list[int] = []
     done, at = 0, iter(stretches)
     stretch = next(at, None)
     for i, i_end, j, j_end in groups:
@@ -206,20 +230,18 @@ def linked(ids_a: np.ndarray, ids_b: np.ndarray, ends_a: np.ndarray, ends_b: np.
             text += single[done : done + stretch[2]]
             done += stretch[2]
             stretch = next(at, None)
-        text.append(",".join(map(str, list_a[i:i_end])) + "|" + ",".join(map(str, list_b[j:j_end])))
-        p, q = i, j
-        while True:
-            left.append(p)
-            right.append(q)
-            x, y = stop_a[p], stop_b[q]
-            if x < y:
-                p += 1
-            elif x > y:
-                q += 1
-            else:
-                break
+        key = (raw_a[4 * i : 4 * i_end], raw_b[4 * j : 4 * j_end])
+        known = _irregular.get(key)
+        if known is None:
+            known = _group(*key, size_a, size_b)
+            if len(_irregular) > CACHE_GROUPS // 2:
+                _irregular.clear()
+            if i_end - i + j_end - j <= SHORT_UNIT:
+                _irregular[key] = known
+        text.append(known[0])
+        more += known[1]
     text += single[done:]
-    return ";".join(text), len(text), np.concatenate([keys, high[left] | ids_b[right]])
+    return ";".join(text), len(text), np.concatenate([keys, np.array(more, np.int64)])
 
 
 def aligned(docs: DataFrame, a: str, b: str, keep_groups: bool = False) -> DataFrame:
@@ -241,7 +263,7 @@ def aligned(docs: DataFrame, a: str, b: str, keep_groups: bool = False) -> DataF
                 n_a = n_b = 0
                 if both:
                     n_a, n_b = len(both[0]), len(both[1])
-                    groups, n, keys = linked(*both, enc.size_a[both[0]].cumsum(), enc.size_b[both[1]].cumsum())
+                    groups, n, keys = linked(*both, enc.size_a, enc.size_b)
                 key, time = np.unique(keys, return_counts=True)
                 pairs.append(key)
                 times.append(time)
