@@ -293,3 +293,37 @@ def test_near_vectors_recall_and_edges(spark):
     assert list(map(tuple, pivot_index.near_vectors(one).collect())) == [(5, 0, 5, True)]
     bad = spark.createDataFrame([(5, None)], "vec_id long, embedding array<float>")
     assert list(map(tuple, pivot_index.near_vectors(bad).collect())) == [(5, 0, 5, True)]
+
+
+PARAGRAPH = "<p>A sentence, with commas, and enough words to count as a paragraph of text.</p>"
+KEPT = [
+    '<h2 id="discussion">Discussion</h2>', '<h2 id="related-work">Related work</h2>', '<h3 id="search-algorithms">Search</h3>',
+    '<h2 id="navigation">Navigation</h2>', f'<section id="legal-history"><h2>Legal history</h2>{PARAGRAPH}</section>',
+    '<p class="follow-up">A follow up, of text.</p>', '<p id="notice">Notice this.</p>', '<ul><li id="menu-costs">Menu costs</li></ul>',
+    '<div class="header"><h2>Head of a part</h2></div>',
+]
+GONE = [
+    '<section id="comments"><p>First, nice, very nice, thanks, a lot.</p></section>', '<div class="comment-list"><p>reader</p></div>',
+    '<div class="related-posts"><ul><li><a href=x>Other</a></li></ul></div>', '<div class="share-buttons"><a href=x>Share</a></div>',
+    '<div class="ad-slot">Buy now</div>', '<p class="advert">Buy</p>', '<div id="cookie-notice">Cookies, cookies.</div>',
+]
+
+
+@pytest.mark.parametrize("part", KEPT + GONE)
+def test_names_of_parts(part):
+    page = f"<body><article><h1>T</h1>{PARAGRAPH * 2}{part}{PARAGRAPH}</article></body>"
+    words = re.sub("<[^>]*>", "\n", part).split("\n")
+    inside = [w for w in words if w]
+    got = main_text(page).split("\n")
+    plain = re.sub("<[^>]*>", "", PARAGRAPH)
+    assert got == ["T", plain, plain, *(inside if part in KEPT else []), plain]
+
+
+def test_frames_and_siblings():
+    plain = re.sub("<[^>]*>", "", PARAGRAPH)
+    assert main_text(f'<body><div class="widget-list">{PARAGRAPH * 9}</div><div><p>tiny, bit.</p></div></body>').split("\n")[:9] == [plain] * 9
+    short = f"<p>{'word, ' * 11}</p>"
+    assert main_text(f"<body><div>{short * 3}</div><div>{short * 2}</div><div>{short}</div></body>").count("\n") == 5
+    teaser = f'<article class="teaser"><h2>other</h2>{PARAGRAPH}</article>'
+    assert main_text(f"<body><article><h1>x</h1>{PARAGRAPH * 2}</article>{teaser}</body>") == f"x\n{plain}\n{plain}"
+    assert "other" in main_text(f"<body>{teaser}</body>")
