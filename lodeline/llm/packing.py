@@ -1,8 +1,8 @@
 """Best-fit packing of token sequences: bounded-space online best fit.
 
 Documents are tokenised where they are read. Only the lengths of their pieces are shuffled, into
-groups of bounded size; each group is packed in one task with a fixed number of open bins. The
-open bins stand in lists by their free space, and the bits of one integer tell which lists are not
+groups of bounded size; each group is packed in one task, in the order of the input, with a fixed
+small number of open bins. The open bins stand in lists by their free space, and the bits of one integer tell which lists are not
 empty: the lowest set bit from a piece's length on is the best fit. When one bin too many is
 open, the fullest closes.
 """
@@ -25,7 +25,7 @@ from lodeline.session import stored
 END_ID = 0
 GROUP_TOKENS = 1 << 23
 GROUP_PIECES = 500_000
-OPEN_BINS = 4096
+OPEN_BINS = 256
 CACHE_WORDS = 800_000
 LONG_WORD = 64
 
@@ -166,10 +166,9 @@ def pack(pieces: DataFrame, size: int = 2048, open_bins: int = OPEN_BINS, group_
     """Stored ``pieces`` with their ``sequence_id`` and ``offset``.
 
     The pieces are dealt by hash into groups of about ``group_tokens`` tokens and at most about
-    ``GROUP_PIECES`` pieces, so one task never holds more. Within a group the longest pieces
-    arrive first, and the short ones at the end fill what is open: while a group's long pieces
-    fit the open bins, little more than its last sequence is left part empty. The order is
-    fixed by the pieces, so a task that runs again packs alike.
+    ``GROUP_PIECES`` pieces, so one task never holds more. Within a group they arrive in the order of
+    the input, and at most ``open_bins`` sequences are open. Groups only serve to pack in parallel. The
+    order is fixed by the pieces, so a task that runs again packs alike.
     """
     tokens, n = pieces.agg(F.sum("length"), F.count("*")).first()
     groups = max(1, -(-(tokens or 0) // group_tokens), -(-n // GROUP_PIECES))
@@ -177,7 +176,7 @@ def pack(pieces: DataFrame, size: int = 2048, open_bins: int = OPEN_BINS, group_
     slim = pieces.select("row", "piece", "length", F.pmod(order, F.lit(groups)).alias("g"))
 
     def run(key, rows):
-        rows = rows.sort_values(["length", "row", "piece"], ascending=[False, True, True], kind="stable")
+        rows = rows.sort_values(["row", "piece"])
         bins, offsets = best_fit(rows["length"].tolist(), size, open_bins)
         rows["sequence_id"] = np.array(bins, np.int64) * groups + int(key[0])
         rows["offset"] = np.array(offsets, np.int64)

@@ -24,7 +24,7 @@ from lodeline.llm.catalog import vocabulary
 from lodeline.llm.common import UPPER
 from lodeline.llm.components import components
 from lodeline.llm.cuckoo import CuckooFilter
-from lodeline.llm.packing import best_fit, pack_documents, sequences
+from lodeline.llm.packing import OPEN_BINS, best_fit, pack_documents, sequences
 from lodeline.llm.simhash import keep_one, near_duplicates, near_links, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -380,6 +380,16 @@ def test_best_fit(lengths, open_bins):
     assert sorted(free) == list(range(len(free)))
 
 
+def test_open_bins_are_few_and_close(docs):
+    """Pieces in input order: few open bins give another packing than no bound, at about the same number of sequences."""
+    rng = random.Random(2)
+    lengths = [2048 if rng.random() < 0.2 else rng.randint(20, 1400) for _ in range(20_000)]
+    some, all_open = best_fit(lengths, 2048, OPEN_BINS)[0], best_fit(lengths, 2048, 10**9)[0]
+    least = sum(lengths) / 2048
+    assert OPEN_BINS <= 512 and some != all_open
+    assert max(some) + 1 <= 1.02 * least and max(all_open) + 1 <= max(some) + 1
+
+
 def test_best_fit_closes_the_fullest_first():
     assert best_fit([30, 20, 10, 9], 40, 1)[0] == [0, 1, 1, 1]
     assert best_fit([30, 20, 10, 9], 40, 2)[0] == [0, 1, 0, 1]
