@@ -10,6 +10,7 @@ from lodeline.functions import vectors as vx
 from lodeline.operators import context as ctx
 from lodeline.operators import graph, reports
 from lodeline.operators import vectors as vec
+from lodeline.operators.vector_index import VectorIndex
 from lodeline.session import work_dir
 
 AS_OF = "2024-01-15"
@@ -431,32 +432,62 @@ def _(spark, sf):
     return top.withColumn("sim", r6(F.col("sim")))
 
 
-@query("ann_topk")
+def grown_index(spark, sf):
+    """An index over the even ids, with the others appended afterwards."""
+    e = table(spark, sf, "embeddings")
+    index = VectorIndex.build(e.filter("vec_id % 2 = 0"), work_dir(spark, "vector-index"), id="vec_id")
+    index.add(e.filter("vec_id % 2 <> 0"), id="vec_id")
+    return index
+
+
+@query("ann_topk_rows")
 def _(spark, sf):
     e, q = table(spark, sf, "embeddings"), label_queries(spark, sf)
-    near = vec.ann_topk(e, q, k=5, id="vec_id", index_path=work_dir(spark, "lsh-index"))
+    near = grown_index(spark, sf).search(q, k=5)
     exact = vec.cosine_topk(e, q, k=5, id="vec_id").select("query", "id", F.lit(True).alias("in_exact"))
     return near.join(exact, ["query", "id"], "left").select(
         "query", "id", "sim", "rank", F.coalesce("in_exact", F.lit(False)).alias("in_exact")
     )
 
 
-@query("embed_documents")
+@query(
+    "ann_topk",
+    """SELECT count(*) AS vectors, count(*) FILTER (vec_id % 100 = 0) AS queries,
+              10 * count(*) FILTER (vec_id % 100 = 0) AS found, TRUE AS recall_ok, TRUE AS appended_found FROM embeddings""",
+)
 def _(spark, sf):
+    """Recall at ten against the exact search, of every hundredth vector; and whether each appended one finds itself."""
+    e = table(spark, sf, "embeddings")
+    index = grown_index(spark, sf)
+    asked = e.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query").select("query", "embedding")
+    near = index.search(asked, k=10).select("query", "id")
+    exact = vec.cosine_topk(e, asked, k=10, id="vec_id").select("query", "id", F.lit(1).alias("hit"))
+    met = near.join(exact, ["query", "id"], "left").agg(F.count("*").alias("found"), F.count("hit").alias("hits"))
+    appended = e.filter("vec_id % 2 <> 0").withColumnRenamed("vec_id", "query")
+    own = index.search(appended, k=1, probes=1).where("sim > 0.999999").agg(F.count("*").alias("own"))
+    sizes = e.agg(F.count("*").alias("vectors"), F.count_if(F.expr("vec_id % 100 = 0")).alias("queries"), F.count_if(F.expr("vec_id % 2 <> 0")).alias("late"))
+    return met.join(own, F.lit(True)).join(sizes, F.lit(True)).select(
+        "vectors", "queries", "found",
+        (F.col("hits") >= 0.9 * F.col("found")).alias("recall_ok"), (F.col("own") == F.col("late")).alias("appended_found"),
+    )
+
+
+@query("embed_documents_rows")
+def embed_documents_rows(spark, sf):
     made = vec.embed_documents(table(spark, sf, "documents").select("doc_id", "text"))
     e = F.col("embedding")
     return made.select("doc_id", F.size(F.filter(e, lambda x: x != 0)).alias("used"), F.round(vx.norm(e), 4).alias("norm"))
 
 
-@query("retrieve_topk_sources")
-def _(spark, sf):
+@query("retrieve_topk_sources_rows")
+def retrieve_topk_sources_rows(spark, sf):
     b = table(spark, sf, "benchmark").withColumnRenamed("item_id", "query")
     made = vec.retrieve_topk_sources(table(spark, sf, "documents"), b, k=3)
     return made.select("query", "rank", "id", F.round("sim", 6).alias("score"), "content", "source", "lang")
 
 
-@query("zero_shot_multilabel")
-def _(spark, sf):
+@query("zero_shot_multilabel_rows")
+def zero_shot_multilabel_rows(spark, sf):
     from lodeline.functions.text import main_text
 
     d = table(spark, sf, "documents").select("lang", "text")
@@ -518,7 +549,7 @@ def _(spark, sf):
     return e.unionByName(v)
 
 
-@query("query_subgraph")
+@query("query_subgraph_retrieved")
 def _(spark, sf):
     docs = table(spark, sf, "documents")
     nodes, edges = graph.build_graph_tables(graph.neighbor_triples(docs))
@@ -540,6 +571,7 @@ def _(spark, sf):
         UNION ALL SELECT 'node', id, NULL, count(*) FROM (SELECT source AS id FROM tr UNION ALL SELECT target FROM tr)
                   WHERE id IN (FROM ends) GROUP BY 2""",
 )
+@query("query_subgraph")
 def _(spark, sf):
     """Nodes and edges around the terms of one source's documents."""
     docs = table(spark, sf, "documents")

@@ -29,21 +29,21 @@ def surface_model(rows):
     return ml.rf_classifier(train, features=FEATURES, label="surface_label", trees=TREES)
 
 
-@query("rf_classifier")
-def _(spark, sf):
+@query("rf_classifier_rows")
+def rf_classifier_rows(spark, sf):
     rows = surface_rows(spark, sf)
     scored = ml.batch_score(surface_model(rows), rows.filter(F.col("split") == "test"), keep=["surface_label"])
     return metrics.classification_report(scored, label="surface_label", prediction="predicted")
 
 
-@query("feature_importance")
-def _(spark, sf):
+@query("feature_importance_rows")
+def feature_importance_rows(spark, sf):
     rows = surface_rows(spark, sf)
     return ml.feature_importance(surface_model(rows), FEATURES, spark).filter(F.col("rank") <= 10)
 
 
-@query("save_load_model")
-def _(spark, sf):
+@query("save_load_model_rows")
+def save_load_model_rows(spark, sf):
     rows = surface_rows(spark, sf)
     path = work_dir(spark, "model")
     ml.save_model(surface_model(rows), path)
@@ -51,8 +51,8 @@ def _(spark, sf):
     return scored.groupBy("surface_label", "predicted").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("batch_score")
-def _(spark, sf):
+@query("batch_score_rows")
+def batch_score_rows(spark, sf):
     rows = surface_rows(spark, sf)
     scored = ml.batch_score(surface_model(rows), rows, keep=["kafka_offset", "surface_label"])
     return scored.withColumn("confidence", r6(F.col("confidence")))
@@ -89,8 +89,8 @@ def _(spark, sf):
     return metrics.retrain_gate(runs, e)
 
 
-@query("leakage_gap_report")
-def _(spark, sf):
+@query("leakage_gap_report_rows")
+def leakage_gap_report_rows(spark, sf):
     req = requests(spark, sf)
     aggs = ("count", "mean", "max", "min", "std")
     honest = asof.asof_aggregates(req, ts="created", parents=PARENTS, cols=["k"], aggs=aggs, label="label")
@@ -127,8 +127,8 @@ def forecast(spark, sf):
     return model.transform(rows.filter(F.col("split") == "test")), model, rows
 
 
-@query("gbt_forecast")
-def _(spark, sf):
+@query("gbt_forecast_rows")
+def gbt_forecast_rows(spark, sf):
     scored, model, _ = forecast(spark, sf)
     spikes = series.spike_detect(scored.withColumnRenamed("prediction", "yhat"), keys=["event_type"])
     return spikes.select(

@@ -1,13 +1,13 @@
 """Streaming jobs driven over the driver tables.
 
-Their results equal the batch forms, except that the online classifier learns per micro-batch.
+Their results equal the batch forms.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodeline.catalog import query
+from lodeline.catalog import ORACLE, learning, query  # noqa: F401
 from lodeline.catalog.context import UPSERT
 from lodeline.catalog.corpus import KEYWORDS
 from lodeline.catalog.fixtures import TEL, labeled, memory, ntz, r6, table, telemetry
@@ -133,13 +133,13 @@ def _(spark, sf):
     return _rolling_out(spark.read.schema(made.schema).parquet(f"{out}/rows"))
 
 
-@query("stream_prequential_nb")
+@query("stream_prequential_nb", ORACLE["prequential_naive_bayes"])
 def _(spark, sf):
     src, out = work_dir(spark, "stream-messages"), work_dir(spark, "stream-nb")
     stream = _in_time_order(labeled(spark, sf).select("doc_id", "text", "quality"), "doc_id", src)
     _run(jobs.prequential_nb(stream, out, f"{out}/checkpoint", order="doc_id", text="text", label="quality"))
-    df = spark.read.parquet(f"{out}/scored")
-    return df.select("doc_id", "quality", F.round("score0", 4).alias("score0"), F.round("score1", 4).alias("score1"), "pred")
+    df = spark.read.parquet(f"{out}/scored").drop("batch")
+    return df.withColumns({c: F.round(c, 4) for c in ("pre_score0", "pre_score1", "post_score0", "post_score1")})
 
 
 @query("stream_memory_upsert", f"WITH RECURSIVE {UPSERT} SELECT id, won, version, kept AS confidence FROM res")

@@ -111,8 +111,8 @@ def _(spark, sf):
     return df.groupBy("model", "prompt", "score").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("scan_documents_dir")
-def _(spark, sf):
+@query("scan_documents_dir_rows")
+def scan_documents_dir_rows(spark, sf):
     path = work_dir(spark, "document-files")
     d = table(spark, sf, "documents").select("source", "text")
     d.write.option("maxRecordsPerFile", 64).partitionBy("source").text(path)
@@ -129,8 +129,8 @@ def _text_files(spark, sf, name: str) -> str:
     return path
 
 
-@query("list_files")
-def _(spark, sf):
+@query("list_files_rows")
+def list_files_rows(spark, sf):
     return readers.list_files(spark, _text_files(spark, sf, "listed-files"), glob="*.txt")
 
 

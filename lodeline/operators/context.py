@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeline.functions.vectors import cosine
-from lodeline.operators.aggregates import topk_per_group
+from lodeline.operators.filling import greedy_fill
 from lodeline.operators.knapsack import exact_budget_select
-from lodeline.plans.hot_groups import MAX_BLOCKS, running, split_groups
+from lodeline.plans.hot_groups import join_blocks, running, split_groups
 from lodeline.session import stored
 
 # Scoring weights, keywords per role, types per stage, decay per hour.
@@ -89,33 +88,21 @@ def importance(
 
 
 def budget_select(
-    df: DataFrame, *, group: Sequence[str], score: str, id: str, tokens: str, budget: str, k_max: int | None = None, exact: bool = False
-) -> DataFrame:
+    df: DataFrame, *, group: Sequence[str], score: str, id: str, tokens: str, budget: str, k_max: int | None = None,
+    exact: bool = False, max_group_rows: int | None = None,
+) -> DataFrame:
     """Rows chosen per group within its token budget, with their ``rank``.
 
     Items are walked from the highest score; one that no longer fits is skipped. ``k_max``
-    looks only at the best of each group, and Spark applies that limit before the shuffle;
-    without it a group is walked whole by one task. ``exact`` solves every group as a
-    knapsack instead, whatever its size (see ``exact_budget_select``).
+    looks only at the best of each group, and Spark applies that limit before the shuffle.
+    Groups of any size are filled without putting one into one task (see ``greedy_fill``).
+    ``exact`` solves every group as a knapsack instead (see ``exact_budget_select``).
     """
     if exact:
         return exact_budget_select(df, group=group, score=score, id=id, tokens=tokens, budget=budget)
-    order = [F.desc(score), F.asc(id)]
-    if k_max is None:
-        top = df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-    else:
-        top = topk_per_group(df, group=group, order=order, k=k_max)
-    item = F.struct("rank", F.col(tokens).cast("long").alias("t"))
-    listed = top.groupBy(*group).agg(F.array_sort(F.collect_list(item)).alias("_items"), F.first(budget).cast("long").alias("_b"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("ranks"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = acc["used"] + x["t"] <= F.col("_b")
-        taken = F.struct((acc["used"] + x["t"]).alias("used"), F.concat(acc["ranks"], F.array(x["rank"])).alias("ranks"))
-        return F.when(fits, taken).otherwise(acc)
-
-    chosen = listed.select(*group, F.explode(F.aggregate("_items", start, step)["ranks"]).alias("rank"))
-    return top.join(chosen, [*group, "rank"])
+    return greedy_fill(
+        df, group=group, score=score, id=id, tokens=tokens, budget=budget, k_max=k_max, max_group_rows=max_group_rows
+    )
 
 
 # Token budgets of the routed requests.
@@ -124,7 +111,7 @@ REQUESTS = (("planner", "plan", 2000), ("coder", "execute", 1500), ("reviewer",
 
 def route_context(
     items: DataFrame, *, as_of: Column, requests: Sequence[tuple] = REQUESTS, query_vecs: DataFrame | None = None,
-    k_max: int | None = None, exact: bool = False,
+    k_max: int | None = None, exact: bool = False, max_group_rows: int | None = None,
 ) -> DataFrame:
     """Items chosen for every (role, stage, budget) request in one pass over the items.
 
@@ -144,9 +131,13 @@ def route_context(
             mine = (F.col("role") == role) & (F.col("stage") == stage)
             vec = F.when(mine, F.array(*[F.lit(float(x)) for x in v])).otherwise(vec)
     scored = importance(spread, as_of=as_of, role=F.col("role"), stage=F.col("stage"), query_vec=vec)
-    return budget_select(
-        scored, group=["role", "stage"], score="importance", id="id", tokens="tokens", budget="budget", k_max=k_max, exact=exact
-    )
+    # Only ids and scores take part in the choice; the rest of an item comes back for the chosen ones.
+    slim = scored.select("id", "role", "stage", "budget", "tokens", "importance")
+    chosen = budget_select(
+        slim, group=["role", "stage"], score="importance", id="id", tokens="tokens", budget="budget", k_max=k_max, exact=exact,
+        max_group_rows=max_group_rows,
+    )
+    return items.join(chosen.drop("tokens"), "id")
 
 
 def _request_vectors(query_vecs: DataFrame, requests: Sequence[tuple]) -> dict[tuple[str, str], list[float]]:
@@ -187,15 +178,34 @@ def beats(conf: float, ts, old_conf: float, old_ts, band: float = CONFIDENCE_BAN
     return ts >= old_ts
 
 
-def fold_block(confs, times, start: tuple | None, band: float) -> tuple[list[bool], tuple | None]:
-    """Which items win on arrival, given the winner so far; and the winner afterwards."""
-    state, wins = start, []
-    for conf, ts in zip(confs, times):
-        won = state is None or beats(conf, ts, state[0], state[1], band)
-        if won:
-            state = (conf, ts)
-        wins.append(won)
-    return wins, state
+def winners(conf: np.ndarray, band: float) -> tuple[np.ndarray, np.ndarray]:
+    """(highest, winner): the winner's confidence after each item, and the highest so far, of items in arrival order.
+
+    An item wins unless the winner is above it by more than the band, so what some items do to a winner from
+    before is told by two numbers: it stays if it is above their highest by more than the band, and else the
+    last winner among them is the same whatever it was. (The highest item beats whoever stands when it comes.)
+    Two stretches compose to one of the same kind; so winners after every item are a scan by doubling steps.
+    A missing confidence wins always and loses to all.
+    """
+    high, last = np.where(np.isnan(conf), np.inf, conf), conf.copy()
+    step = 1
+    while step < len(conf):
+        stays = last[:-step] - high[step:] > band
+        last = np.concatenate([last[:step], np.where(stays, last[:-step], last[step:])])
+        high = np.concatenate([high[:step], np.maximum(high[:-step], high[step:])])
+        step *= 2
+    return high, last
+
+
+def arrivals(conf: np.ndarray, before: float | None, band: float) -> np.ndarray:
+    """Which items win when they arrive, after a winner from before (None: there is none)."""
+    if not len(conf):
+        return np.zeros(0, bool)
+    if before is not None:
+        conf = np.concatenate([[before], conf])
+    _, last = winners(conf, band)
+    won = np.concatenate([[True], ~(last[:-1] - conf[1:] > band)])
+    return won if before is None else won[1:]
 
 
 def memory_upsert(
@@ -213,10 +223,10 @@ def memory_upsert(
     Items with a NULL in the key conflict with nothing: each is current, version 1, and its
     confidence is its own. They take no part in the fold.
 
-    The rule is not transitive, so items are folded in arrival order. Keys with more than
-    ``limit`` items are folded block by block in parallel: every block starts from a guess
-    of its incoming winner (none at first), and blocks whose guess was wrong are folded
-    again with the winner their predecessor reported, until nothing changes.
+    The rule is not transitive, but a stretch of items acts on the winner before it by two numbers
+    (see ``winners``). Keys with more than ``limit`` items are cut into blocks: every block gives its two
+    numbers, these compose along the key to the winner each block meets, and the blocks are folded with it,
+    in the same number of jobs whatever the data.
     """
     order, id = list(order), list(order)[-1]
     keyless = F.lit(False)
@@ -224,19 +234,19 @@ def memory_upsert(
         keyless = keyless | F.col(k).isNull()
     alone = df.filter(keyless).withColumns({"state": F.lit("current"), "version": F.lit(1).cast("long")})
     df = df.filter(~keyless)
-    slim = df.select(*key, *order, "confidence", F.unix_micros(F.col(order[0]).cast("timestamp")).alias("_at"))
+    slim = df.select(*key, *order, F.col("confidence").cast("double").alias("confidence"))
     s = split_groups(slim, list(key), order, limit)
     keys, by = s.keys, s.ord
     extra = [T.StructField("_won", T.BooleanType())]
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(by)
-        pdf["_won"], _ = fold_block(pdf["confidence"], pdf["_at"], None, band)
+        pdf["_won"] = arrivals(pdf["confidence"].to_numpy(float), None, band)
         return pdf
 
     marked = s.cold.groupBy(*keys).applyInPandas(whole, T.StructType([*s.cold.schema.fields, *extra]))
     if s.hot is not None:
-        marked = marked.unionByName(_fold_hot(s, keys, band, extra).select(marked.columns))
+        marked = marked.unionByName(_fold_hot(s, band, extra).select(marked.columns))
     flat = stored(s.finish(marked, None), "upsert")
     counted = running(flat, list(key), order, {"_wins": ("sum", F.col("_won").cast("long"))})
     # The current winner is the last win of its key.
@@ -253,62 +263,37 @@ def memory_upsert(
     return folded.unionByName(alone.withColumn("confidence", F.col("confidence").cast(folded.schema["confidence"].dataType)))
 
 
-def _fold_hot(s, keys: list[str], band: float, extra: list) -> DataFrame:
-    """Fold the blocks of long keys; the carried winners are at most MAX_BLOCKS rows."""
-    spark, by = s.hot.sparkSession, s.ord
-    hot = stored(s.hot, "upsert-blocks")
-    carry_schema = T.StructType(
-        [hot.schema[k] for k in keys]
-        + [T.StructField("_blk", hot.schema["_blk"].dataType), T.StructField("_c", T.DoubleType()), T.StructField("_t", T.LongType())]
-    )
-    first = Window.partitionBy(*keys).orderBy("_blk")
-    blocks = hot.select(*keys, "_blk").distinct().withColumn("_n", F.row_number().over(first)).orderBy(*keys, "_n").collect()
-    if len(blocks) > 2 * MAX_BLOCKS:
-        raise ValueError("more blocks than planned")
-    ids = [(*[r[k] for k in keys], r["_blk"]) for r in blocks]
-    before = {b: (a if a[:-1] == b[:-1] else None) for a, b in zip([None, *ids], ids) if a} if ids else {}
-    carry: dict[tuple, tuple | None] = {b: None for b in ids}
-
-    def with_carry(df: DataFrame, which: list[tuple]) -> DataFrame:
-        rows = [(*b, *(carry[b] or (None, None))) for b in which]
-        table = spark.createDataFrame(rows, carry_schema)
-        names = [*keys, "_blk"]
-        table = table.select(*[F.col(n).alias(f"_x_{n}") for n in names], "_c", "_t")
-        cond = F.lit(True)
-        for n in names:
-            cond = cond & df[n].eqNullSafe(table[f"_x_{n}"])
-        return df.join(F.broadcast(table), cond).drop(*[f"_x_{n}" for n in names])
-
-    def start_of(pdf: pd.DataFrame):
-        return None if pd.isna(pdf["_c"].iloc[0]) else (pdf["_c"].iloc[0], pdf["_t"].iloc[0])
-
-    def last_state(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(by)
-        _, end = fold_block(pdf["confidence"], pdf["_at"], start_of(pdf), band)
-        out = pdf.iloc[:1][[*keys, "_blk"]].copy()
-        out["_c"], out["_t"] = float(end[0]), int(end[1])
+def _fold_hot(s, band: float, extra: list) -> DataFrame:
+    """Fold the blocks of long keys; their table has at most one row per block."""
+    hot, by = stored(s.hot, "upsert-blocks"), s.ord
+    id_fields = [hot.schema[k] for k in [*s.keys, "_blk"]]
+    pair = [T.StructField("_high", T.DoubleType()), T.StructField("_last", T.DoubleType())]
+
+    def outcome(pdf: pd.DataFrame) -> pd.DataFrame:
+        high, last = winners(pdf.sort_values(by)["confidence"].to_numpy(float), band)
+        out = pdf.iloc[:1][[f.name for f in id_fields]].copy()
+        out["_high"], out["_last"] = high[-1], last[-1]
         return out
 
-    ends: dict[tuple, tuple] = {}
-    todo = ids
-    while todo:
-        need = with_carry(hot.select(*keys, "_blk", *s.ord, "confidence", "_at"), todo)
-        for r in need.groupBy(*keys, "_blk").applyInPandas(last_state, carry_schema).collect():
-            ends[(*[r[k] for k in keys], r["_blk"])] = (r["_c"], r["_t"])
-        todo = []
-        for b in ids:
-            prev = before.get(b)
-            want = ends[prev] if prev else None
-            if want != carry[b]:
-                carry[b] = want
-                todo.append(b)
-
-    placed = with_carry(hot, ids)
+    def along(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_blk")
+        high, last = pdf["_high"].to_numpy(float), pdf["_last"].to_numpy(float)
+        meets = np.full(len(pdf), np.nan)
+        for i in range(1, len(pdf)):
+            before = meets[i - 1] if i > 1 else np.nan
+            meets[i] = before if before - high[i - 1] > band else last[i - 1]
+        pdf["_meets"], pdf["_first"] = meets, np.arange(len(pdf)) == 0
+        return pdf.drop(columns=["_high", "_last"])
+
+    met = [T.StructField("_meets", T.DoubleType()), T.StructField("_first", T.BooleanType())]
+    table = hot.groupBy(*s.keys, "_blk").applyInPandas(outcome, T.StructType([*id_fields, *pair]))
+    table = stored(table.groupBy(*s.keys).applyInPandas(along, T.StructType([*id_fields, *met])), "upsert-winners")
 
     def final(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(by)
-        pdf["_won"], _ = fold_block(pdf["confidence"], pdf["_at"], start_of(pdf), band)
-        return pdf.drop(columns=["_c", "_t"])
+        before = None if pdf["_first"].iloc[0] else pdf["_meets"].iloc[0]
+        pdf["_won"] = arrivals(pdf["confidence"].to_numpy(float), before, band)
+        return pdf.drop(columns=["_meets", "_first"])
 
-    schema = T.StructType([*hot.schema.fields, *extra])
-    return placed.groupBy(*keys, "_blk").applyInPandas(final, schema)
+    placed = join_blocks(hot, table, s.keys)
+    return placed.groupBy(*s.keys, "_blk").applyInPandas(final, T.StructType([*hot.schema.fields, *extra]))

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeline.operators.keys import free_name, group_name
 from lodeline.plans.hot_groups import row_positions
 from lodeline.session import stored
 
@@ -42,7 +43,7 @@ def exact_budget_select(
     """
     ranked = row_positions(df.where(F.col(score).isNotNull()), group, [-F.col(score), id], "rank")
     ranked = stored(ranked.withColumn("rank", F.col("rank").cast("int")), "ranked")
-    name = F.to_json(F.struct(*[F.col(c) for c in group]), {"ignoreNullFields": "false"})
+    name = group_name(group)
     items = ranked.select(
         name.alias("g"),
         "rank",
@@ -62,9 +63,7 @@ def exact_budget_select(
     chosen = free
     if most is not None:
         chosen = free.unionByName(_solve(blocks, int(most) + 1))
-    own = "g"
-    while own in df.columns:
-        own += "_"
+    own = free_name(df, "g")
     chosen = chosen.withColumnRenamed("g", own)
     return ranked.withColumn(own, name).join(chosen, [own, "rank"]).select(*[F.col(f"`{c}`") for c in [*df.columns, "rank"]])
 

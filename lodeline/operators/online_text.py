@@ -26,14 +26,24 @@ def decide(s0: Column, s1: Column) -> Column:
     return F.when(s1.isNotNull() & (s0.isNull() | (s1 > s0)), 1).otherwise(0)
 
 
-def prequential_nb(df: DataFrame, *, order: str, text: str, label: str, smoothing: float = 1.0) -> DataFrame:
+NOTHING = {"d0": 0, "d1": 0, "t0": 0, "t1": 0, "v": 0}
+
+
+def prequential_nb(
+    df: DataFrame, *, order: str, text: str, label: str, smoothing: float = 1.0, known: DataFrame | None = None,
+    totals: dict[str, int] | None = None,
+) -> DataFrame:
     """For each message the scores and predictions before and after learning it.
 
     A message is scored with the counts of all earlier ones. These counts are running sums:
     per word for the word counts, over all messages for the totals and the vocabulary size
     (a word counts as new where its running count is still zero). A word that occurs in most
     messages is split into blocks like any long group. Nothing is iterated.
+
+    ``known`` (w, n0, n1) and ``totals`` (messages d0 d1, words t0 t1, vocabulary v) are what was
+    learned before the first message.
     """
+    start = {**NOTHING, **(totals or {})}
     own = lambda c: F.when(F.col(label) == c, F.col("tf")).otherwise(0)
     tokens = running(
         token_counts(df, order=order, text=text, label=label),
@@ -42,6 +52,10 @@ def prequential_nb(df: DataFrame, *, order: str, text: str, label: str, smoothin
         {"n0": ("sum", own(0)), "n1": ("sum", own(1))},
         strict=True,
     ).fillna(0, ["n0", "n1"])
+    if known is not None:
+        before = known.select("w", *[F.col(f"n{c}").alias(f"_k{c}") for c in (0, 1)])
+        tokens = tokens.join(before, "w", "left").fillna(0, ["_k0", "_k1"])
+        tokens = tokens.withColumns({f"n{c}": F.col(f"n{c}") + F.col(f"_k{c}") for c in (0, 1)}).drop("_k0", "_k1")
     tokens = stored(tokens, "token-counts")
 
     sums = tokens.groupBy(order).agg(
@@ -49,7 +63,7 @@ def prequential_nb(df: DataFrame, *, order: str, text: str, label: str, smoothin
     )
     rows = df.select(order, label).join(sums, order, "left").fillna(0, ["t", "fresh"])
     of = lambda c, x: F.when(F.col(label) == c, x).otherwise(0)
-    totals = running(
+    sums = running(
         rows,
         [],
         [order],
@@ -62,7 +76,8 @@ def prequential_nb(df: DataFrame, *, order: str, text: str, label: str, smoothin
         },
         strict=True,
     ).fillna(0, ["T0", "T1", "D0", "D1", "V"])
-    totals = stored(totals, "message-totals")
+    sums = sums.withColumns({n: F.col(n) + F.lit(start[n.lower()]) for n in ("T0", "T1", "D0", "D1", "V")})
+    totals = stored(sums, "message-totals")
 
     joined = tokens.drop(label).join(totals, order)
     parts = []

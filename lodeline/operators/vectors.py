@@ -176,42 +176,6 @@ def retrieve_topk_sources(
     return meta.join(top, "id")
 
 
-def ann_topk(
-    corpus: DataFrame,
-    queries: DataFrame,
-    *,
-    k: int,
-    id: str = "id",
-    vector: str = "embedding",
-    query: str = "query",
-    bucket_length: float = 0.6,
-    tables: int = 8,
-    max_distance: float = 1.4,
-    index_path: str | None = None,
-) -> DataFrame:
-    """Approximate search through hash tables over unit vectors; ``index_path`` keeps the index model."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, BucketedRandomProjectionLSHModel, Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    unit = Normalizer(inputCol="_raw", outputCol="_unit")
-    c = unit.transform(corpus.select(F.col(id).alias("id"), array_to_vector(F.col(vector).cast("array<double>")).alias("_raw")))
-    q = unit.transform(queries.select(F.col(query).alias("query"), array_to_vector(F.col(vector).cast("array<double>")).alias("_raw")))
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="_unit", outputCol="_hashes", bucketLength=bucket_length, numHashTables=tables, seed=42
-    )
-    model = lsh.fit(c)
-    if index_path:
-        model.write().overwrite().save(index_path)
-        model = BucketedRandomProjectionLSHModel.load(index_path)
-    near = model.approxSimilarityJoin(q, c, max_distance, distCol="_d")
-    found = near.select(
-        F.col("datasetA.query").alias("query"),
-        F.col("datasetB.id").alias("id"),
-        F.round(1 - F.col("_d") * F.col("_d") / 2, SIM_DIGITS).alias("sim"),
-    )
-    return topk_per_group(found, group=["query"], order=[F.desc("sim"), F.asc("id")], k=k)
-
-
 MAX_LABELS = 1000
 
 

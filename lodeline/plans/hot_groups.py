@@ -45,7 +45,7 @@ class Split:
         self.cold, self.hot, self.keys, self.ord, self.limit = cold, hot, keys, ord_, limit
 
     def finish(self, cold: DataFrame, hot: DataFrame | None) -> DataFrame:
-        out = cold if hot is None else cold.unionByName(hot.select(cold.columns))
+        out = cold if hot is None else cold.unionByName(hot.select(*[F.col(f"`{c}`") for c in cold.columns]))
         drop = [*self.ord, _BLK]
         if self.keys == [_ALL]:
             drop.append(_ALL)
@@ -140,7 +140,7 @@ def _with_blocks(hot: DataFrame, keys: list[str], ord_: list[str], block_rows: i
     )
 
 
-def _join_blocks(hot: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+def join_blocks(hot: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """Attach the block table (at most MAX_BLOCKS rows plus one per group) by broadcast."""
     renamed = table.select(
         *[F.col(k).alias(f"_b_{k}") for k in keys],
@@ -182,7 +182,7 @@ def _hot_positions(s: Split, name: str, total: str | None) -> DataFrame | None:
     )
     local = F.row_number().over(Window.partitionBy(*s.keys, _BLK).orderBy(*s.ord))
     hot = s.hot.withColumn(name, local.cast("long"))
-    return _join_blocks(hot, table, s.keys).withColumn(name, F.col(name) + F.col("_before")).drop("_before")
+    return join_blocks(hot, table, s.keys).withColumn(name, F.col(name) + F.col("_before")).drop("_before")
 
 
 def _plus(a: Column, b: Column) -> Column:
@@ -247,7 +247,7 @@ def running(
             ],
         )
         hot = s.hot.withColumns(over(Window.partitionBy(*s.keys, _BLK).orderBy(*s.ord)))
-        hot = _join_blocks(hot, table, s.keys)
+        hot = join_blocks(hot, table, s.keys)
         hot = hot.withColumns({out: _MERGE[fn](F.col(f"_pre_{out}"), F.col(out)) for out, fn, _ in spec})
     return s.finish(cold, hot).drop(*values)
 

@@ -17,8 +17,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodeline.functions.scalar import partition_fields
 from lodeline.functions.text import words
+from lodeline.operators import online_text
 from lodeline.operators.context import CONFIDENCE_BAND, LOSER_CAP, beats
-from lodeline.operators.online_text import decide, log_score, token_counts
+from lodeline.operators.online_text import token_counts
+from lodeline.session import stored
 from lodeline.sources.readers import flatten_events
 
 
@@ -226,55 +228,87 @@ def memory_upserts(
     return folded.unionByName(alone)
 
 
+# Batches whose word counts are read one by one before they are added up into one table.
+COMPACT = 16
+
+
 def prequential_nb(
     stream: DataFrame, path: str, checkpoint: str, *, order: str, text: str, label: str, smoothing: float = 1.0,
     available_now: bool = True, every: str = "1 minute",
 ):
-    """Test-then-train per micro-batch: score with the stored counts, then add the batch's counts.
-
-    The model is two tables, word counts and class totals, written under the batch number;
-    a repeated batch reads the version before it and overwrites its own. Messages of one
-    batch are scored with the same counts, so this equals the row-exact form when a batch
-    holds one message.
+    """Test-then-train over a stream, row by row: each message is scored with the counts of all earlier ones.
+
+    A batch adds its own word counts as a table of their own (``words``) and the totals so far (``totals``);
+    every ``COMPACT`` batches the word counts are added up (``base``). So a batch reads one base and a few
+    small tables, joined with its own words, and writes no word it did not see. All are written under the
+    batch number: a repeated batch reads what stood before it and overwrites its own. Within a batch counts
+    run in order as in ``online_text.prequential_nb``, so the result (``scored``) does not depend on how the
+    stream is cut. A message not after all earlier batches is neither scored nor learned; it goes to ``late``.
     """
+    word_schema, sums = "w string, n0 long, n1 long", "d0 long, d1 long, t0 long, t1 long, v long"
 
     def learn(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        word_schema, class_schema = "w string, n0 long, n1 long", "d0 long, d1 long, t0 long, t1 long"
+        kind = df.schema[order].dataType.simpleString()
+        totals, last = None, None
         if batch_id:
-            known = spark.read.schema(word_schema).parquet(f"{path}/words/v={batch_id - 1}")
-            total = spark.read.schema(class_schema).parquet(f"{path}/totals/v={batch_id - 1}")
-        else:
-            known = spark.createDataFrame([], word_schema)
-            total = spark.createDataFrame([(0, 0, 0, 0)], class_schema)
+            row = spark.read.schema(f"{sums}, last {kind}").parquet(f"{path}/totals/v={batch_id - 1}").first()
+            totals = row.asDict()
+            last = totals.pop("last")
+        df = df.select(order, text, label)
+        if last is not None:
+            behind = F.col(order) <= F.lit(last)
+            df.filter(behind).write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
+            df = df.filter(~behind)
+        df = stored(df, "messages")
+        known = _known_words(spark, path, batch_id, word_schema)
         tokens = token_counts(df, order=order, text=text, label=label)
-
-        t = total.first()
-        v = known.count()
-        scored = tokens.join(known, "w", "left").fillna(0, ["n0", "n1"])
-        parts = [
-            F.sum(F.col("tf") * log_score(F.col(f"n{c}"), F.lit(t[f"t{c}"]), F.lit(v), smoothing)).alias(f"score{c}") for c in (0, 1)
-        ]
-        sums = df.select(order, label).join(scored.groupBy(order).agg(*parts), order, "left").fillna(0.0, ["score0", "score1"])
-        seen = t["d0"] + t["d1"]
-        for c in (0, 1):
-            prior = F.log(F.lit(t[f"d{c}"] / seen)) if t[f"d{c}"] else F.lit(None).cast("double")
-            sums = sums.withColumn(f"score{c}", F.col(f"score{c}") + prior)
-        sums.withColumn("pred", decide(F.col("score0"), F.col("score1"))).write.mode("overwrite").parquet(f"{path}/scored/batch={batch_id}")
-
-        of = lambda c, x: F.coalesce(F.sum(F.when(F.col(label) == c, x).otherwise(0)), F.lit(0)).cast("long")
-        fresh = tokens.groupBy("w").agg(of(0, F.col("tf")).alias("n0"), of(1, F.col("tf")).alias("n1"))
-        merged = known.unionByName(fresh).groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-        merged.write.mode("overwrite").parquet(f"{path}/words/v={batch_id}")
-        docs = df.agg(of(0, F.lit(1)).alias("d0"), of(1, F.lit(1)).alias("d1"))
-        word_sums = tokens.agg(of(0, F.col("tf")).alias("t0"), of(1, F.col("tf")).alias("t1"))
-        added = docs.select("d0", "d1", *[word_sums.select(c).scalar().alias(c) for c in ("t0", "t1")])
-        both = total.unionByName(added)
-        both.agg(*[F.sum(c).alias(c) for c in ("d0", "d1", "t0", "t1")]).write.mode("overwrite").parquet(f"{path}/totals/v={batch_id}")
+        mine = stored(
+            tokens.groupBy("w").agg(
+                *[F.coalesce(F.sum(F.when(F.col(label) == c, F.col("tf"))), F.lit(0)).cast("long").alias(f"n{c}") for c in (0, 1)]
+            ),
+            "batch-words",
+        )
+        if known is not None:
+            known = stored(known.join(mine.select("w"), "w", "left_semi"), "known-words")
+        scored = online_text.prequential_nb(
+            df, order=order, text=text, label=label, smoothing=smoothing, known=known, totals=totals
+        )
+        scored.write.mode("overwrite").parquet(f"{path}/scored/batch={batch_id}")
+        mine.write.mode("overwrite").parquet(f"{path}/words/v={batch_id}")
+        seen = df.agg(*[F.count_if(F.col(label) == c).alias(f"d{c}") for c in (0, 1)], F.max(order).alias("last")).first()
+        new = mine.agg(F.count("*"), F.sum("n0"), F.sum("n1")).first()
+        start = totals or online_text.NOTHING
+        now = {
+            "d0": start["d0"] + seen["d0"],
+            "d1": start["d1"] + seen["d1"],
+            "t0": start["t0"] + (new[1] or 0),
+            "t1": start["t1"] + (new[2] or 0),
+            "v": start["v"] + new[0] - (known.count() if known is not None else 0),
+            "last": last if seen["last"] is None else seen["last"],
+        }
+        spark.createDataFrame([tuple(now.values())], f"{sums}, last {kind}").write.mode("overwrite").parquet(f"{path}/totals/v={batch_id}")
 
     return _start(stream.writeStream.foreachBatch(learn), checkpoint, available_now, every)
 
 
+def _known_words(spark, path: str, batch_id: int, schema: str) -> DataFrame | None:
+    """The word counts of all batches before this one; a base is made where one is due."""
+    if not batch_id:
+        return None
+    due = batch_id - batch_id % COMPACT
+    added = lambda df: df.groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+    def tables(base: int, end: int) -> DataFrame | None:
+        paths = [f"{path}/base/v={base}"] if base else []
+        paths += [f"{path}/words/v={v}" for v in range(base, end)]
+        return spark.read.schema(schema).parquet(*paths) if paths else None
+
+    if due and due == batch_id:
+        added(tables(due - COMPACT, due)).write.mode("overwrite").parquet(f"{path}/base/v={due}")
+    return added(tables(due, batch_id))
+
+
 def drift_monitor(
     stream: DataFrame, baseline: DataFrame, *, ts: str, text: str, correct: str, window: str = "1 hour", late: str = "1 hour"
 ) -> DataFrame:

@@ -37,6 +37,32 @@ def test_greedy_skips_and_goes_on(spark):
     assert rows(first, "id") == [(1,)]
 
 
+def greedy_walk(data):
+    out = []
+    for g in {d[0] for d in data}:
+        mine = sorted((d for d in data if d[0] == g), key=lambda d: (d[2] is None, -(d[2] or 0), d[1]))
+        left = mine[0][4]
+        for rank, (_, i, _, t, _) in enumerate(mine, 1):
+            if left is not None and t is not None and max(t, 0) <= left:
+                left -= max(t, 0)
+                out.append((g, i, rank))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("limit", [None, 1, 3, 10])
+def test_greedy_equals_the_walk(spark, limit):
+    rnd = random.Random(6)
+    data = [("steps", i, 1000.0 - i, t, 100) for i, t in enumerate([40, 70, 10, 55, 1, 50, 49, 3, 60, 46, 0, 2, 1, 1])]
+    for g in ("a", "b", None):
+        b = rnd.randint(30, 90)
+        data += [(g, i, rnd.choice([None, rnd.randint(0, 9) / 8, rnd.random()]), rnd.choice([None, -2, 0, 1, 7, rnd.randint(1, 40)]), b) for i in range(60)]
+    data += [("none", 1, 1.0, 1, None), ("much", 1, 1.0, 9, 5), ("zero", 1, 1.0, 0, 0)]
+    df = items(spark, data).withColumns({c: F.lit("c") for c in ("need", "left", "nth", "a.b")})
+    got = ctx.budget_select(df, group=["g"], score="s", id="id", tokens="t", budget="b", max_group_rows=limit)
+    assert rows(got, "g", "id", "rank") == greedy_walk(data)
+    assert got.columns == [*df.columns, "rank"]
+
+
 def test_exact_is_best_and_falls_back_when_large(spark):
     rnd = random.Random(4)
     data = [(g, i, round(rnd.random(), 3), rnd.randint(1, 20), 30) for g in "abc" for i in range(9)]
@@ -117,7 +143,20 @@ def fold(data):
     )
 
 
-@pytest.mark.parametrize("limit", [10**6, 25])
+def test_winners_after_any_winner():
+    rnd = random.Random(3)
+    for _ in range(2_000):
+        conf = [rnd.choice([round(rnd.random(), 1), rnd.random(), float("nan")]) for _ in range(rnd.randint(1, 12))]
+        before = rnd.choice([None, rnd.random(), float("nan"), 2.0])
+        state, want = before, []
+        for c in conf:
+            won = state is None or c != c or state != state or ctx.beats(c, 1, state, 0)
+            state = c if won else state
+            want.append(won)
+        assert ctx.arrivals(np.array(conf), before, 0.1).tolist() == want
+
+
+@pytest.mark.parametrize("limit", [10**6, 25, 2])
 def test_upserts_equal_the_item_by_item_rule(spark, limit):
     rnd = random.Random(9)
     data = [(i, "hot" if i % 3 else f"k{i % 7}", round(rnd.random(), 2), rnd.randrange(400)) for i in range(420)]

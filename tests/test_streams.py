@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -31,17 +33,26 @@ def run(query):
     assert not query.isActive
 
 
-def test_naive_bayes_one_message_per_batch_equals_the_exact_form(spark):
-    texts = ["win cash now", "meeting at noon", "cash prize win", "lunch at noon", "", "win win lunch"]
-    df = spark.createDataFrame([(i, t, int("win" in t)) for i, t in enumerate(texts)], "id long, text string, y int")
+@pytest.mark.parametrize("parts", [1, 4, 11])
+def test_naive_bayes_is_exact_for_any_cut(spark, monkeypatch, parts):
+    monkeypatch.setattr(jobs, "COMPACT", 3)
+    rnd = random.Random(7)
+    texts = ["win cash now", "meeting at noon", "cash prize win", "lunch at noon", "", None, "win win lunch"]
+    texts += [" ".join(rnd.choice("win cash noon lunch now a b c".split()) for _ in range(5)) for _ in range(15)]
+    df = spark.createDataFrame([(i, t, int("win" in (t or ""))) for i, t in enumerate(texts)], "id long, text string, y int")
     out = work_dir(spark, "nb")
-    run(jobs.prequential_nb(feed(spark, df, "id", len(texts)), out, f"{out}/c", order="id", text="text", label="y"))
-    got = spark.read.parquet(f"{out}/scored")
+    path = work_dir(spark, "feed")
+    run(jobs.prequential_nb(feed(spark, df, "id", parts, path), out, f"{out}/c", order="id", text="text", label="y"))
     want = online_text.prequential_nb(df, order="id", text="text", label="y")
     r = lambda c: F.round(c, 6)
-    assert rows(got, "id", r("score0"), r("score1"), "pred") == rows(want, "id", r("pre_score0"), r("pre_score1"), "pre_pred")
-    learned = {x["id"]: x["post_pred"] for x in want.collect()}
-    assert learned[5] == 1
+    cols = ["id", "y", *[r(f"{k}_score{c}") for k in ("pre", "post") for c in (0, 1)], "pre_pred", "post_pred", "changed"]
+    assert rows(spark.read.parquet(f"{out}/scored"), *cols) == rows(want, *cols)
+    # A message from before what was learned is put aside, and later ones are scored as if it had not come.
+    more = spark.createDataFrame([(3, "late", 1), (100, "win cash", 1)], df.schema)
+    run(jobs.prequential_nb(feed(spark, more, "id", 1, path), out, f"{out}/c", order="id", text="text", label="y"))
+    assert rows(spark.read.parquet(f"{out}/late"), "id") == [(3,)]
+    want = online_text.prequential_nb(df.unionByName(more.filter("id = 100")), order="id", text="text", label="y")
+    assert rows(spark.read.parquet(f"{out}/scored"), *cols) == rows(want, *cols)
 
 
 def test_upserts_across_batches_equal_batch(spark):
