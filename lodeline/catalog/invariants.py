@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodeline.catalog import ORACLE, query
 from lodeline.catalog import context, learning, telemetry
-from lodeline.catalog.fixtures import LOAD, TEL, ntz, table
+from lodeline.catalog.fixtures import LOAD, ntz, table
 from lodeline.operators import ml
 from lodeline.session import stored, work_dir
 
@@ -18,10 +18,12 @@ ROUNDS, PATIENCE = 1000, 50
 
 ORACLE["query_subgraph"] = ORACLE["subgraph_of_source"]
 
-TELEMETRY = f"WITH {TEL} SELECT kafka_offset, surface_label"
+# Readings with ten in their session so far; their label is the session's.
+FULL = f"{telemetry.ROLL_CTE}, fr AS (SELECT r.kafka_offset, t.surface_label FROM roll r JOIN tel t USING (kafka_offset) WHERE pos >= 10)"
+TELEMETRY = f"WITH {FULL} SELECT kafka_offset, surface_label"
 
 
-@query("batch_score", f"{TELEMETRY}, TRUE AS known_label, TRUE AS in_bounds FROM tel")
+@query("batch_score", f"{TELEMETRY}, TRUE AS known_label, TRUE AS in_bounds FROM fr")
 def _(spark, sf):
     """Every row is scored with a label that occurs, surer than a guess."""
     rows = learning.surface_rows(spark, sf)
@@ -31,7 +33,7 @@ def _(spark, sf):
     return scored.select("kafka_offset", "surface_label", F.col("predicted").isin(names).alias("known_label"), bounds.alias("in_bounds"))
 
 
-@query("save_load_model", f"{TELEMETRY}, TRUE AS same FROM tel")
+@query("save_load_model", f"{TELEMETRY}, TRUE AS same FROM fr")
 def _(spark, sf):
     """A model read back scores every row as before."""
     rows = learning.surface_rows(spark, sf)
@@ -44,7 +46,7 @@ def _(spark, sf):
     return both.select("kafka_offset", "surface_label", (F.col("a") == F.col("b")).alias("same"))
 
 
-@query("feature_importance", f"SELECT {len(learning.FEATURES)} AS features, 1.0 AS total, TRUE AS ranked, TRUE AS positive FROM (SELECT count(*) FROM events)")
+@query("feature_importance", f"SELECT {len(learning.FEATURES)} AS features, CAST(1 AS DOUBLE) AS total, TRUE AS ranked, TRUE AS positive FROM (SELECT count(*) FROM events)")
 def _(spark, sf):
     """Importances of all features are shares of one, ranked from the highest."""
     rows = learning.surface_rows(spark, sf)
@@ -60,7 +62,7 @@ def _(spark, sf):
 
 @query(
     "rf_classifier",
-    f"""WITH {TEL}, c AS (SELECT surface_label, count(*) AS n FROM tel GROUP BY 1)
+    f"""WITH {FULL}, c AS (SELECT surface_label, count(*) AS n FROM fr GROUP BY 1)
         SELECT surface_label, CAST(ceil(round(0.2 * n, 6)) AS BIGINT) AS tested, TRUE AS known_label, TRUE AS beats_guess FROM c""",
 )
 def _(spark, sf):
@@ -114,7 +116,7 @@ def _(spark, sf):
 
 @query(
     "embed_documents",
-    r"SELECT doc_id, 1024 AS numbers, CASE WHEN regexp_matches(text, '\S') THEN 1.0 ELSE 0.0 END AS norm FROM documents",
+    r"SELECT doc_id, 1024 AS numbers, CASE WHEN regexp_matches(text, '\S') THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS norm FROM documents",
 )
 def _(spark, sf):
     """A vector of unit length for every text with a word."""
@@ -161,7 +163,7 @@ def _(spark, sf):
 def _(spark, sf):
     """The same files read whole, with their original names."""
     path = _by_source(spark, sf)
-    names = telemetry.readers.list_files(spark, path).select(F.col("name").alias("file"))
+    names = telemetry.readers.list_files(spark, path).select(F.col("name").alias("file")).distinct()
     names = names.withColumn("original", F.concat(F.lit("upload-"), "file"))
     read = telemetry.readers.scan_documents_dir(spark, f"{path}/*", names)
     return read.agg(
