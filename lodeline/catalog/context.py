@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from lodeline.catalog import query
@@ -537,18 +539,34 @@ p AS (SELECT t[i] AS source, t[i + 1] AS target FROM (SELECT t, unnest(range(1,
 tr AS (SELECT * FROM p WHERE source <> target)"""
 
 
-@query(
-    "build_graph_tables",
-    f"""WITH {TRIPLES} SELECT 'edge' AS kind, source AS a, target AS b, count(*) AS n FROM tr GROUP BY 2, 3
-        UNION ALL SELECT 'node', id, NULL, count(*) FROM (SELECT source AS id FROM tr UNION ALL SELECT target FROM tr) GROUP BY 2""",
-)
-def _(spark, sf):
-    nodes, edges = graph.build_graph_tables(graph.neighbor_triples(table(spark, sf, "documents")))
+GRAPH_TABLES = f"""WITH {TRIPLES} SELECT 'edge' AS kind, source AS a, target AS b, count(*) AS n FROM tr GROUP BY 2, 3
+        UNION ALL SELECT 'node', id, NULL, count(*) FROM (SELECT source AS id FROM tr UNION ALL SELECT target FROM tr) GROUP BY 2"""
+
+
+def capital_pairs(text: str):
+    """An extractor of a user: each capitalized term of a line with the next one."""
+    for line in text.split("\n"):
+        terms = re.findall(graph.TERM_PATTERN, line)
+        yield from ((a, b, "next_to") for a, b in zip(terms, terms[1:]) if a != b)
+
+
+def _graph_rows(triples):
+    nodes, edges = graph.build_graph_tables(triples)
     e = edges.select(F.lit("edge").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), F.col("weight").alias("n"))
     v = nodes.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.lit(None).cast("string").alias("b"), F.col("mentions").alias("n"))
     return e.unionByName(v)
 
 
+@query("build_graph_tables", GRAPH_TABLES)
+def _(spark, sf):
+    return _graph_rows(graph.neighbor_triples(table(spark, sf, "documents")))
+
+
+@query("build_graph_tables_udtf", GRAPH_TABLES)
+def _(spark, sf):
+    return _graph_rows(graph.extract_triples(table(spark, sf, "documents"), capital_pairs))
+
+
 @query("query_subgraph_retrieved")
 def _(spark, sf):
     docs = table(spark, sf, "documents")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeline.plans.hot_groups import running
+from lodeline.session import stored
 
 MAX_PIVOT_VALUES = 1000
 
@@ -39,21 +40,32 @@ def metric_rows(one: DataFrame, metrics: Sequence[str]) -> DataFrame:
     return one.select(F.inline(F.array(*pairs)))
 
 
+def _value_counts(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """(column, key, value, w): how often each value of several columns occurs, from one scan, stored.
+
+    Numbers stand in ``value`` as doubles, everything in ``key`` as text.
+    """
+    entry = lambda n, c: F.struct(F.lit(n).alias("column"), c.cast("string").alias("key"), c.try_cast("double").alias("value"))
+    rows = df.select(F.inline(F.array(*[entry(n, c) for n, c in columns.items()])))
+    return stored(rows.groupBy("column", "key", "value").agg(F.count(F.lit(1)).alias("w")), "value-counts")
+
+
 def dataset_summary(df: DataFrame, *, user: str = "user", item: str = "item", value: str = "rating") -> DataFrame:
     """Rows, distinct users and items, per-user and per-item averages, value statistics.
 
-    Distinct counts come from counts per user and per item, so they aggregate partially.
+    All of it comes from one count per user, item and value, so the input is read once.
     """
-    per_user = df.groupBy(user).count().agg(F.count(F.lit(1)).alias("users"), F.sum("count").alias("rows"))
-    per_item = df.groupBy(item).count().agg(F.count(F.lit(1)).alias("items"))
-    median = exact_quantiles(df, value, (0.5,))
-    one = per_user.select(
-        "rows",
-        "users",
-        per_item.select("items").scalar().alias("items"),
-        df.agg(F.avg(value)).scalar().alias("mean_rating"),
-        median.select("q0").scalar().alias("median_rating"),
+    counts = _value_counts(df, {"user": F.col(user), "item": F.col(item), "value": F.col(value)})
+    of = lambda n: F.col("column") == n
+    number = of("value") & F.col("value").isNotNull()
+    one = counts.agg(
+        F.sum(F.when(of("user"), F.col("w"))).alias("rows"),
+        F.count_if(of("user")).alias("users"),
+        F.count_if(of("item")).alias("items"),
+        (F.sum(F.when(number, F.col("value") * F.col("w"))) / F.sum(F.when(number, F.col("w")))).alias("mean_rating"),
     )
+    median = _quantiles_of_counts(counts.where(number), "value", "w", (0.5,), ["column"])
+    one = one.withColumn("median_rating", median.select("q0").scalar())
     one = one.withColumns(
         {"ratings_per_user": F.col("rows") / F.col("users"), "ratings_per_item": F.col("rows") / F.col("items")}
     )
@@ -62,32 +74,34 @@ def dataset_summary(df: DataFrame, *, user: str = "user", item: str = "item", va
 
 
 def describe_numeric(df: DataFrame, cols: Sequence[str], *, approximate: bool = False) -> DataFrame:
-    """Count, mean, std, min, quartiles and max per column.
+    """Count, mean, std, min, quartiles and max per column, as doubles, from one scan.
 
-    Quartiles are exact; ``approximate`` uses a sketch with bounded state instead.
+    Quartiles are exact; ``approximate`` uses a sketch with bounded state instead of counts per value.
     """
-    out = []
-    for c in cols:
-        if approximate:
-            quarts = F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000)
-            one = df.agg(
-                F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-                F.min(c).alias("min"), F.max(c).alias("max"), quarts.alias("q"),
-            )
-        else:
-            base = df.agg(
-                F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-                F.min(c).alias("min"), F.max(c).alias("max"),
-            )
-            quarts = exact_quantiles(df, c, (0.25, 0.5, 0.75))
-            one = base.withColumn("q", quarts.select(F.array("q0", "q1", "q2")).scalar())
-        out.append(
-            one.select(
-                F.lit(c).alias("column"), "count", "mean", "std", "min",
-                F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max",
-            )
-        )
-    return reduce(DataFrame.unionByName, out)
+    names = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
+    if approximate:
+        quarts = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000)
+        stats = lambda c: [F.count(c), F.avg(c), F.stddev_samp(c), F.min(c).cast("double"), quarts(c), F.max(c).cast("double")]
+        one = df.agg(*[v.alias(f"c{i}_{j}") for i, c in enumerate(cols) for j, v in enumerate(stats(F.col(c)))])
+        row = lambda i, c: F.struct(
+            F.lit(c).alias("column"), *[F.col(f"c{i}_{j}").alias(names[j]) for j in range(4)],
+            *[F.col(f"c{i}_4")[q].cast("double").alias(f"p{p}") for q, p in enumerate((25, 50, 75))], F.col(f"c{i}_5").alias("max"),
+        )
+        return one.select(F.inline(F.array(*[row(i, c) for i, c in enumerate(cols)])))
+    counts = _value_counts(df, {c: F.col(c).cast("double") for c in cols}).where("value is not null")
+    v, w = F.col("value"), F.col("w")
+    sums = counts.groupBy("column").agg(
+        F.sum("w").alias("count"), (F.sum(v * w) / F.sum(w)).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max")
+    )
+    apart = counts.join(sums.select("column", "mean"), "column").groupBy("column")
+    spread = apart.agg(F.sum(w * (v - F.col("mean")) * (v - F.col("mean"))).alias("_q"))
+    quarts = _quantiles_of_counts(counts, "value", "w", (0.25, 0.5, 0.75), ["column"])
+    made = sums.join(spread, "column").join(quarts.drop("n"), "column").withColumn(
+        "std", F.when(F.col("count") > 1, F.sqrt(F.col("_q") / (F.col("count") - 1)))
+    )
+    made = made.withColumnsRenamed({"q0": "p25", "q1": "p50", "q2": "p75"})
+    listed = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    return listed.join(made, "column", "left").fillna(0, ["count"]).select("column", *names)
 
 
 def exact_quantiles(df: DataFrame, col: str, ps: Sequence[float], *, keys: Sequence[str] = ()) -> DataFrame:
@@ -97,17 +111,19 @@ def exact_quantiles(df: DataFrame, col: str, ps: Sequence[float], *, keys: Seque
     each wanted position falls. Neither step holds a whole group in one task.
     """
     keys = list(keys)
-    key_cols = keys or ["_one"]
-    base = df.where(F.col(col).isNotNull())
+    counts = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_w"))
+    return _quantiles_of_counts(counts, col, "_w", ps, keys)
+
+
+def _quantiles_of_counts(counts: DataFrame, col: str, weight: str, ps: Sequence[float], keys: Sequence[str]) -> DataFrame:
+    """The quantiles of ``exact_quantiles`` from how often (``weight``) each value occurs."""
+    key_cols = list(keys) or ["_one"]
     if not keys:
-        base = base.withColumn("_one", F.lit(0))
-    counts = base.groupBy(*key_cols, col).agg(F.count(F.lit(1)).alias("_w"))
-    placed = running(counts, key_cols, [col], {"_cum": ("sum", "_w")})
-    size = F.count(F.lit(1))
-    if keys:
-        placed = placed.join(base.groupBy(*keys).agg(size.alias("n")), keys)
-    else:
-        placed = placed.withColumn("n", base.agg(size).scalar())
+        counts = counts.withColumn("_one", F.lit(0))
+    placed = running(counts, key_cols, [col], {"_cum": ("sum", weight)})
+    sizes = counts.groupBy(*[F.col(k).alias(f"_s{i}") for i, k in enumerate(key_cols)]).agg(F.sum(weight).alias("n"))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_s{i}")) for i, k in enumerate(key_cols)])
+    placed = placed.join(sizes, same)
     aggs, out = [], []
     for i, p in enumerate(ps):
         at = F.lit(p) * (F.col("n") - 1)

@@ -14,12 +14,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeline.plans.hot_groups import running
+from lodeline.session import stored
+
 UNIT_MICROS = {"s": 1_000_000, "m": 60_000_000, "h": 3_600_000_000, "d": 86_400_000_000}
 
 # A sliding frame costs rows x frame, so it is used only while every group is short.
 SLIDING_LIMIT = 500
 ROWS_PER_BUCKET = 50_000
 MIN_BUCKETS, MAX_BUCKETS = 64, 4096
+MAX_SENT_PARENTS = 1_000_000
 
 
 def micros(duration: str) -> int:
@@ -75,19 +79,31 @@ def asof_aggregates(
 
 
 def _one_parent(df, parent, delays, aggs, length, sliding_limit) -> DataFrame:
+    """Short parents take a sliding frame; only the rows of long ones are cut into buckets."""
     extent = df.groupBy(parent).agg(F.count(F.lit(1)).alias("n"), F.min("_t").alias("lo"), F.max("_t").alias("hi"))
-    longest = extent.agg(F.max(F.struct("n", F.expr("hi - lo").alias("span"))).alias("m")).first()["m"]
-    if longest is None or longest["n"] <= sliding_limit:
-        w = Window.partitionBy(parent).orderBy("_t")
-        return df.withColumns(
-            {
-                feature_name(parent, a, c): AGGREGATES[a](F.col(c)).over(w.rangeBetween(-length + 1, -delay))
-                for c, delay in delays.items()
-                for a in aggs
-            }
-        )
-    means = df.groupBy(parent).agg(*[F.avg(F.col(c).cast("double")).alias(f"_mean_{c}") for c in delays])
-    return _bucketed(df, parent, delays, aggs, length, longest["n"], max(1, longest["span"]), means)
+    long_ones = extent.where(F.col("n") > sliding_limit)
+    n_long, longest = long_ones.agg(F.count("*"), F.max(F.struct("n", F.expr("hi - lo").alias("span")))).first()
+    if not n_long:
+        return _sliding(df, parent, delays, aggs, length)
+    names = long_ones.select(F.col(parent).alias("_long"))
+    if n_long <= MAX_SENT_PARENTS:
+        names = F.broadcast(names)
+    same = df[parent].eqNullSafe(names["_long"])
+    short, rest = df.join(names, same, "left_anti"), df.join(names, same, "left_semi")
+    means = rest.groupBy(parent).agg(*[F.avg(F.col(c).cast("double")).alias(f"_mean_{c}") for c in delays])
+    cut = _bucketed(rest, parent, delays, aggs, length, longest["n"], max(1, longest["span"]), means)
+    return _sliding(short, parent, delays, aggs, length).unionByName(cut)
+
+
+def _sliding(df, parent, delays, aggs, length) -> DataFrame:
+    w = Window.partitionBy(parent).orderBy("_t")
+    return df.withColumns(
+        {
+            feature_name(parent, a, c): AGGREGATES[a](F.col(c)).over(w.rangeBetween(-length + 1, -delay))
+            for c, delay in delays.items()
+            for a in aggs
+        }
+    )
 
 
 def _bucket_width(length: int, delays: Sequence[int], rows: int, span: int) -> int:
@@ -114,7 +130,8 @@ def _bucketed(df, parent, delays, aggs, length, rows, span, means) -> DataFrame:
     lies in the rows of one earlier bucket and the head in those of another. Copies of
     both are sent, with shifted times, to the row's own bucket, so heads and tails are
     running aggregates inside small (parent, bucket) groups. Whole buckets come from a
-    table with one row per bucket. No group depends on how many rows a parent has.
+    table with one row per bucket. No group depends on how many rows a parent has, and a burst in one
+    bucket is split like any long group.
     """
     columns = df.columns
     means = means.withColumnRenamed(parent, "_pm")
@@ -133,19 +150,27 @@ def _bucketed(df, parent, delays, aggs, length, rows, span, means) -> DataFrame:
     ).drop("_copy")
     spread = spread.withColumn("_bucket", F.floor(F.col("_at") / F.lit(width)))
 
-    rising = Window.partitionBy(parent, "_bucket").orderBy("_at")
-    falling = Window.partitionBy(parent, "_bucket").orderBy((-F.col("_at")).asc())
-    made: dict[str, Column] = {}
+    # One row per time first: a burst of equal times is a partial sum. Frames within a bucket are running
+    # aggregates over its times, which split a bucket with very many of them over tasks.
+    pieces, heads, strict, tails = {}, {}, {}, {}
     for c, d in delays.items():
         kind = 2 + shifts.index(delay_steps[c]) if delay_steps[c] else 0
-        upto = rising.rangeBetween(Window.unboundedPreceding, -1 if d == 1 else 0)
-        head = F.when(F.col("_kind") == kind, F.col(c))
-        tail = F.when(F.col("_kind") == 1, F.col(c))
-        for k, v in _pieces(c, head, upto).items():
-            made[f"_h_{k}_{c}"] = v
-        for k, v in _pieces(c, tail, falling.rangeBetween(Window.unboundedPreceding, -1)).items():
-            made[f"_e_{k}_{c}"] = v
-    own = spread.withColumns(made).filter(F.col("_kind") == 0)
+        for p, k, into in (("h", kind, strict if d == 1 else heads), ("e", 1, tails)):
+            for name, v in _pieces(c, F.when(F.col("_kind") == k, F.col(c))).items():
+                pieces[f"_{p}_{name}_{c}"] = v
+                fn = name.replace("lo", "min").replace("hi", "max") if name in ("lo", "hi") else "sum"
+                into[f"_{p}_{name}_{c}"] = (fn, F.col(f"_p_{p}_{name}_{c}"))
+    mine = F.max((F.col("_kind") == 0).cast("int")).alias("_mine")
+    times = spread.groupBy(parent, "_bucket", "_at").agg(mine, *[v.alias(f"_p{n}") for n, v in pieces.items()])
+    times = stored(times, "times")
+    keys = [parent, "_bucket"]
+    if heads:
+        times = running(times, keys, ["_at"], heads)
+    if strict:
+        times = running(times, keys, ["_at"], strict, strict=True)
+    times = running(times, keys, [-F.col("_at")], tails, strict=True)
+    times = times.where("_mine = 1").select(F.col(parent).alias("_tp"), F.col("_at").alias("_ta"), "_bucket", *pieces)
+    own = df.join(times, df[parent].eqNullSafe(times["_tp"]) & df["_t"].eqNullSafe(times["_ta"])).drop("_tp", "_ta")
 
     per_bucket = df.withColumn("_bucket", F.floor(F.col("_t") / F.lit(width))).groupBy(parent, "_bucket")
     table = per_bucket.agg(*[v.alias(f"_{k}_{c}") for c in delays for k, v in _pieces(c, F.col(c)).items()])

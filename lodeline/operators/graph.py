@@ -24,11 +24,30 @@ def neighbor_triples(docs: DataFrame, *, pattern: str = TERM_PATTERN) -> DataFra
     return p.filter(F.col("source") != F.col("target"))
 
 
+def extract_triples(docs: DataFrame, extract_fn, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, source, target, type): what a user's extractor finds in each text.
+
+    ``extract_fn`` is a function from a text to (source, target, type) tuples, or a class whose ``eval`` is
+    one; an object of the class is made once per task, so it may load a model. It becomes a table function
+    that is called laterally for every document. A null text is not given to it.
+    """
+    handler = extract_fn
+    if not isinstance(extract_fn, type):
+
+        class handler:  # noqa: N801
+            def eval(self, text: str):
+                yield from extract_fn(text)
+
+    triples = F.udtf(handler, returnType="source string, target string, type string")
+    found = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
+    return found.lateralJoin(triples(F.col("_text").outer())).drop("_text")
+
+
 def build_graph_tables(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Node and edge tables from (source, target, type) rows; repeated edges add weight.
 
-    The triples may come from ``neighbor_triples`` or from any extraction of the user's own,
-    for example a Python table function applied to the documents.
+    The triples may come from ``neighbor_triples`` or from an extractor of the user's own (see
+    ``extract_triples``).
     """
     edges = triples.groupBy("source", "target", "type").agg(F.count(F.lit(1)).alias("weight"))
     ends = triples.select(F.explode(F.array("source", "target")).alias("id"))

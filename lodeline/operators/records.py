@@ -77,16 +77,19 @@ def validate_plans(df: DataFrame, record: str) -> DataFrame:
     Split the result on ``reason`` into the valid and the quarantined table.
     """
     schema = (
-        "struct<`Implementation approach`: string, `File list`: array<string>, "
-        "`Data structures and interfaces`: map<string,string>, `Program call flow`: array<string>, `Task list`: array<string>>"
+        "struct<`Implementation approach`: string, `File list`: array<variant>, "
+        "`Data structures and interfaces`: map<string,string>, `Program call flow`: array<variant>, `Task list`: array<variant>>"
     )
+    # Only strings are names and steps; a number or an object in a list counts as missing.
+    text = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    strings = lambda c: F.transform(F.col(c), text)
     p = df.withColumn("_p", F.from_json(record, schema)).withColumn("_keys", F.json_object_keys(record))
     absent = F.filter(F.array(*[F.lit(k) for k in PLAN_KEYS]), lambda k: ~F.array_contains("_keys", k))
     empty = F.array().cast("array<string>")
     p = p.withColumns(
         {
-            "files": F.coalesce(clean_path_list(F.col("_p.`File list`")), empty),
-            "tasks": F.coalesce(clean_path_list(F.col("_p.`Task list`")), empty),
+            "files": F.coalesce(clean_path_list(strings("_p.`File list`")), empty),
+            "tasks": F.coalesce(clean_path_list(strings("_p.`Task list`")), empty),
         }
     )
     p = p.withColumn("tasks", F.when(F.size("tasks") == 0, F.col("files")).otherwise(F.col("tasks")))
@@ -94,7 +97,7 @@ def validate_plans(df: DataFrame, record: str) -> DataFrame:
         "files",
         lambda f: strip(F.coalesce(F.try_element_at(F.col("_p.`Data structures and interfaces`"), f), F.lit(""))) != "",
     )
-    flow = F.col("_p.`Program call flow`")
+    flow = strings("_p.`Program call flow`")
     flow_ok = flow.isNotNull() & F.coalesce(F.forall(flow, lambda s: s.isNotNull() & (strip(s) != "")), F.lit(False))
     reason = (
         F.when(F.col("_keys").isNull(), F.lit("not a JSON object"))

@@ -209,18 +209,16 @@ def session_stats(turns: DataFrame, *, session: str = "session") -> DataFrame:
 
 def memory_stats(items: DataFrame, *, agent: str = "agent") -> DataFrame:
     """Counts, tokens and means over all items, per type and per agent, as (dimension, value) rows."""
-
-    def part(dimension: str, value: Column) -> DataFrame:
-        return items.groupBy(value.alias("value")).agg(
-            F.lit(dimension).alias("dimension"),
-            F.count(F.lit(1)).alias("items"),
-            F.sum("tokens").alias("tokens"),
-            F.avg("confidence").alias("avg_confidence"),
-            F.avg("importance").alias("avg_importance"),
-        )
-
-    parts = part("all", F.lit("all")).unionByName(part("type", F.col("type"))).unionByName(part("agent", F.col(agent)))
-    return parts.select("dimension", "value", "items", "tokens", "avg_confidence", "avg_importance")
+    entry = lambda d, v: F.struct(F.lit(d).alias("dimension"), v.cast("string").alias("value"))
+    parts = F.array(entry("all", F.lit("all")), entry("type", F.col("type")), entry("agent", F.col(agent)))
+    # Every item stands under three values at once, so it is read and scored once.
+    rows = items.select(F.inline(parts), "tokens", "confidence", "importance")
+    return rows.groupBy("dimension", "value").agg(
+        F.count(F.lit(1)).alias("items"),
+        F.sum("tokens").alias("tokens"),
+        F.avg("confidence").alias("avg_confidence"),
+        F.avg("importance").alias("avg_importance"),
+    )
 
 
 def memory_growth_by_round(items: DataFrame, *, round_col: str = "round") -> DataFrame:

@@ -123,8 +123,31 @@ def filtered_memory_search(
     """Search within a user, agent or run: rows must agree with the query on every scope column."""
     if not scope:
         raise ValueError("a search needs at least one scope column")
-    tag = F.to_json(F.struct(*scope))
-    return cosine_topk(corpus.withColumn("_scope", tag), queries.withColumn("_scope", tag), k=k, scope="_scope", **kw)
+    tag = F.to_json(F.struct(*scope), {"ignoreNullFields": "false"})
+    return _scoped_topk(corpus.withColumn("_scope", tag), queries.withColumn("_scope", tag), k, **kw)
+
+
+def _scoped_topk(corpus: DataFrame, queries: DataFrame, k: int, *, id: str = "id", vector: str = "embedding", query: str = "query",
+                 piece_rows: int = BLOCK_VECTORS) -> DataFrame:
+    """Rows meet the queries of their own scope and no others; a long scope is cut into pieces, each of which meets them all."""
+    c = corpus.select(F.col(id).alias("id"), F.col(vector).alias("v"), "_scope")
+    q = queries.select(F.col(query).alias("query"), F.col(vector).alias("v"), "_scope")
+    c = c.join(q.select("_scope").distinct(), "_scope", "left_semi")
+    long_ones = c.groupBy("_scope").agg(F.ceil(F.count("*") / piece_rows).cast("int").alias("_n")).where("_n > 1")
+    if long_ones.count() <= MAX_SENT_ROWS:  # at most one in piece_rows
+        long_ones = F.broadcast(long_ones)
+    of = lambda df: df.join(long_ones, "_scope", "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
+    left = of(c).withColumn("_piece", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+    right = of(q).withColumn("_piece", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    schema = f"query {q.schema['query'].dataType.simpleString()}, id {c.schema['id'].dataType.simpleString()}, sim double"
+
+    def piece(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"query": [], "id": [], "sim": []})
+        return _best(a["id"], None, a["v"], b["query"].tolist(), None, _matrix(b["v"]), k)
+
+    found = left.groupBy("_scope", "_piece").cogroup(right.groupBy("_scope", "_piece")).applyInPandas(piece, schema)
+    return topk_per_group(found, group=["query"], order=[F.desc("sim"), F.asc("id")], k=k)
 
 
 def embedder(texts: DataFrame, *, text: str = "text", features: int = 1024):

@@ -81,6 +81,23 @@ def test_later_rows_change_nothing(requests, sliding_limit):
     assert alone == with_future
 
 
+@pytest.mark.parametrize("together", [True, False])
+def test_a_burst_in_one_bucket(spark, together):
+    """All rows of a parent within one second, at one time or at many, with groups of three rows per task."""
+    rnd = random.Random(4)
+    data = [(i, "burst", START + timedelta(microseconds=0 if together else rnd.randrange(40)), rnd.choice([None, rnd.randrange(9)]), i % 2) for i in range(60)]
+    data += [(100 + i, None if i % 2 else "calm", START + timedelta(hours=rnd.randrange(90)), i, i % 2) for i in range(12)]
+    df = spark.createDataFrame(data, "id long, parent string, at timestamp, v int, y int")
+    spark.conf.set("spark.lodeline.maxGroupRows", "3")
+    try:
+        want = brute(df.collect(), timedelta(days=3), timedelta(hours=24))
+        assert features(df, window="3d", label_delay="24h", sliding_limit=5) == want
+        want = brute(df.collect(), timedelta(days=3), timedelta(hours=24), strict=True)
+        assert features(df, window="3d", label_delay="24h", sliding_limit=20, include_current=False) == want
+    finally:
+        spark.conf.unset("spark.lodeline.maxGroupRows")
+
+
 def test_separate_cutoffs(spark, requests):
     cutoffs = spark.createDataFrame([("hot", START + timedelta(days=5)), ("none", START)], "parent string, cut timestamp")
     got = asof_window_join(cutoffs, requests, key="parent", cutoff_ts="cut", ts="at", cols=["v"], aggs=("count",), window="2d")

@@ -177,6 +177,18 @@ def test_shared_and_blocked_search_agree(spark, scope):
     assert a.filter("rank = 1 and query = id").count() == 40
 
 
+@pytest.mark.parametrize("piece_rows", [10**6, 7])
+def test_scoped_search_meets_its_own_scope_only(spark, piece_rows):
+    rnd = random.Random(2)
+    data = [(i, [rnd.gauss(0, 1) for _ in range(6)], i % 3 and i % 5, None if i % 7 else "x") for i in range(200)]
+    c = spark.createDataFrame(data, "id long, embedding array<float>, u int, w string").repartition(5)
+    q = c.filter("id < 40").withColumnRenamed("id", "query")
+    got = vec.filtered_memory_search(c, q, scope=["u", "w"], k=3, piece_rows=piece_rows)
+    tag = F.to_json(F.struct("u", F.coalesce("w", F.lit("none"))))
+    want = vec.cosine_topk(c.withColumn("tag", tag), q.withColumn("tag", tag), k=3, scope="tag")
+    assert rows(got, "query", "id", "sim", "rank") == rows(want, "query", "id", "sim", "rank")
+
+
 def test_checks_share_one_report(spark):
     df = spark.createDataFrame([(1, "a"), (1, None), (7, "z")], "n int, s string")
     made = expect(df, [("not_null", "s"), ("accepted_values", "s", ["a"]), ("range", "n", (0, 5)), ("unique", "n")])

@@ -49,6 +49,17 @@ def test_blank_plan_steps_are_not_described(spark):
     assert got[0] is None and all(got[1:])
 
 
+def test_numbers_are_no_names_or_steps(spark):
+    plan = '{"Implementation approach": "A long enough approach.", "File list": %s, "Data structures and interfaces": {"a.py": "class A", "5": "x"}, "Program call flow": %s, "Task list": %s}'
+    data = [(0, plan % ('["a.py"]', '["run"]', "[]")), (1, plan % ("[5]", '["run"]', "[]")), (2, plan % ('["a.py"]', "[7]", "[]")),
+            (3, plan % ('["a.py", 5, null, {"x": 1}]', '["run"]', '[3, "a.py"]')), (4, plan % ('["a.py"]', '["run", 2]', "[]"))]
+    made = {r["id"]: r for r in validate_plans(spark.createDataFrame(data, "id int, r string"), "r").collect()}
+    assert made[0]["reason"] is None and made[0]["tasks"] == ["a.py"]
+    assert made[1]["reason"] == "File list must contain at least one filename"
+    assert made[2]["reason"] == made[4]["reason"] == "Program call flow must be a list of non-empty strings"
+    assert made[3]["reason"] is None and made[3]["files"] == made[3]["tasks"] == ["a.py"]
+
+
 def memory_rows(spark):
     data = [(1, "fact", "k", 0.9, 1), (2, "fact", "k", 0.5, 2), (3, "fact", None, 0.9, 1), (4, "fact", None, 0.2, 2), (5, None, "k", 0.3, 3),
             (6, None, None, 0.8, 4)]
