@@ -462,7 +462,7 @@ def _(spark, sf):
     e = table(spark, sf, "embeddings")
     index = grown_index(spark, sf)
     asked = e.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query").select("query", "embedding")
-    near = index.search(asked, k=10).select("query", "id")
+    near = index.search(asked, k=10, probes=index.probes_for(k=10, recall=0.97)).select("query", "id")
     exact = vec.cosine_topk(e, asked, k=10, id="vec_id").select("query", "id", F.lit(1).alias("hit"))
     met = near.join(exact, ["query", "id"], "left").agg(F.count("*").alias("found"), F.count("hit").alias("hits"))
     appended = e.filter("vec_id % 2 <> 0").withColumnRenamed("vec_id", "query")

@@ -118,6 +118,20 @@ class VectorIndex:
         found = found.applyInPandas(best, f"query {query_type}, id {id_type}, sim double")
         return topk_per_group(found, group=["query"], order=[F.desc("sim"), F.asc("id")], k=k)
 
+    def probes_for(self, *, k: int, recall: float = 0.95, sample: int = 200) -> int:
+        """The fewest cells per query that reach ``recall`` at ``k`` on a sample of the stored vectors.
+
+        At most ``sample`` vectors, chosen by a hash of their id, are searched exactly, and the places of the
+        cells that hold their neighbors, in the order in which they would be probed, tell the recall of any number.
+        """
+        stored = self.spark.read.schema(f"{self._id_type()}, v array<double>, cell int").parquet(f"{self.path}/vectors")
+        some = stored.orderBy(F.xxhash64("id"), "id").limit(sample).select(F.col("id").alias("query"), F.col("v").alias("embedding"))
+        order = some.select("query", self._nearest(len(self.centers))("embedding").alias("cells"))
+        near = self.search(some, k=k + 1, probes=len(self.centers)).where("query <> id").select("query", "id")
+        placed = near.join(stored.select("id", "cell"), "id").join(order, "query")
+        at = placed.select(F.array_position("cells", F.col("cell")).alias("at")).agg(F.percentile("at", recall)).first()[0]
+        return 1 if at is None else int(-(-at // 1))
+
     def _id_type(self) -> str:
         field = self.spark.read.parquet(f"{self.path}/vectors").schema["id"]
         return f"id {field.dataType.simpleString()}"

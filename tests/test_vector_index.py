@@ -43,6 +43,10 @@ def test_index(spark, tmp_path, monkeypatch, cell_rows):
     assert rows(again.search(queries, k=5, probes=99), "query", "id", "sim", "rank") == want
     some = {(q, i) for q, i, *_ in rows(again.search(queries, k=5, probes=4), "query", "id", "sim", "rank")}
     assert len(some & {(q, i) for q, i, *_ in want}) >= 0.9 * len(want)
+    probes = again.probes_for(k=5, recall=0.9)
+    assert 1 <= probes < 20
+    some = {(q, i) for q, i, *_ in rows(again.search(queries, k=5, probes=probes), "query", "id", "sim", "rank")}
+    assert len(some & {(q, i) for q, i, *_ in want}) >= 0.85 * len(want)
     new = frame(spark, later).withColumnRenamed("id", "query")
     assert again.search(new, k=1, probes=1).where("query = id").count() == 100
 
