@@ -76,6 +76,8 @@ def rows():
     out += [(c, t, "user", f"common {t}") for c in range(400, 460) for t in range(3)]
     out += [(500, t, "user", f"deep {t}" + "x" * (t % 7)) for t in range(300)]
     out += [(501, 0, "user", "y" * 200_000)]
+    # Their first turns belong to a conversation that does not exist, and they have no others.
+    out += [(c, 0, "user", "gone") for c in range(601, 640) if zlib.crc32(str(c).encode()) % 6]
     rng.shuffle(out)
     return out
 
