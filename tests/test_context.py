@@ -200,3 +200,27 @@ def test_checks_share_one_report(spark):
 def test_position_accuracy_has_an_overall_row(spark):
     df = spark.createDataFrame([(5, True), (5, False), (25, True)], "position int, correct boolean")
     assert rows(position_accuracy(df), "position", "accuracy_pct") == sorted([(5, 50.0), (25, 100.0), (None, 2 / 3 * 100)], key=repr)
+
+
+def test_exact_settles_items_by_their_price(spark):
+    """Loose budgets are taken whole and wide ones leave few open items, with the same choice as a whole search."""
+    rnd = random.Random(11)
+    data, want = [], []
+    for case in range(12):
+        n, top = 400, rnd.choice((50, 3_000))
+        scores = sorted((rnd.choice((rnd.randint(0, 8) / 8, rnd.random())) for _ in range(n)), reverse=True)
+        need = [rnd.randint(0, top) for _ in range(n)]
+        limit = sum(need) // rnd.choice((1, 2, 12))
+        data += [(f"g{case}", i, s, t, limit) for i, (s, t) in enumerate(zip(scores, need))]
+        worth = np.array([round(s * 1e9) for s in scores])
+        picks = []
+        knapsack._walk(worth, np.array(need), np.zeros(limit + 1, np.int64), np.array([limit]), picks)
+        want += [(f"g{case}", i) for i in picks]
+    df = items(spark, data)
+    got = knapsack.exact_budget_select(df, group=["g"], score="s", id="id", tokens="t", budget="b")
+    assert rows(got, "g", "id") == sorted(want, key=repr)
+    shaped = df.selectExpr("g", "id AS rank", "cast(round(s * 1e9) AS long) AS worth", "t AS need", "b AS limit").where("need > 0")
+    sure, open_ = knapsack._settled(shaped)
+    sizes = {r["g"]: (r["n"], r["l"]) for r in open_.groupBy("g").agg(F.count("*").alias("n"), F.max("limit").alias("l")).collect()}
+    assert all(n < 100 and left < 60_000 for n, left in sizes.values()), sizes
+    assert sure.count() > 400
