@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from lodeline.functions.text import SENSITIVE_PATTERNS, count_matches, words
 from lodeline.plans.layout import spread
+from lodeline.session import stored
 
 GRAM = 4
 # Terms are sent to every task only up to these sizes.
 MAX_SENT_TERMS = 50_000
 MAX_SENT_CHARS = 16_000_000
+# Terms up to this length are looked up whole among the pieces of words.
+PIECE = 32
 
 
 def _longest(parts: Column) -> Column:
@@ -93,6 +96,44 @@ def contained_terms(
     return made.dropDuplicates([doc_id, term_id]) if lengths and few else made
 
 
+def mentioned_terms(
+    docs: DataFrame, terms: DataFrame, *, text: str = "text", term_id: str = "term_id", term: str = "term", whole_words: bool = False
+) -> DataFrame:
+    """The ``term_id`` of every term that is a substring of any of the texts.
+
+    A term without blanks can only occur within a word. So only the distinct words leave their tasks, in pieces
+    of the terms' lengths, and a term is found by equality: the work grows with the words, not with the pairs
+    of texts and terms. Terms with blanks are searched in the texts, long ones in the long words.
+    """
+    t = terms.select(F.col(term_id).alias("_t"), F.col(term).alias("_term")).filter(F.length("_term") > 0)
+    spaced, long_term = F.col("_term").rlike(r"\s"), F.length("_term") > PIECE
+    kind = F.when(spaced, -1).when(long_term, 0).otherwise(F.length("_term"))
+    lengths = sorted(r[0] for r in t.select(kind.alias("n")).distinct().collect())
+    found_words = F.array_distinct(F.filter(F.split("_text", r"\s"), lambda w: w != ""))
+    tokens = spread(docs.select(F.col(text).alias("_text"))).select(F.explode(found_words).alias("_word")).distinct()
+
+    word = F.col("_word")
+    listed = F.array(*[F.lit(n) for n in lengths if n > 0]).cast("array<int>")
+    # Beyond either end of the word there is nothing, which is an edge as well.
+    edge = lambda at: (at < 1) | (at > F.length(word)) | F.regexp_like(word.substr(at, F.lit(1)), F.lit(r"\W"))
+
+    def pieces_at(i: Column) -> Column:
+        ends = F.filter(listed, lambda n: edge(i - 1) & edge(i + n)) if whole_words else listed
+        return F.transform(ends, lambda n: word.substr(i, n))
+
+    pieces = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(word)), pieces_at)))
+    met = tokens.select(F.explode(pieces).alias("_term")).distinct()
+    found = t.filter(~spaced & ~long_term).join(met, "_term", "left_semi").select("_t")
+    names = dict(term_id="_t", term="_term", whole_words=whole_words)
+    if 0 in lengths:
+        big = tokens.filter(F.length(word) > PIECE).select(word.alias("doc_id"), word.alias("text"))
+        found = found.unionByName(contained_terms(big, t.filter(~spaced & long_term), **names).select("_t"))
+    if -1 in lengths:
+        whole = docs.select(F.monotonically_increasing_id().alias("doc_id"), F.col(text).alias("text"))
+        found = found.unionByName(contained_terms(stored(whole, "texts"), t.filter(spaced), **names).select("_t"))
+    return found.select(F.col("_t").alias(term_id)).distinct()
+
+
 def needle_presence(
     docs: DataFrame, needles: DataFrame, *, needle_id: str, needle: str, context: int = 60, case_insensitive: bool = False
 ) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.operators.corpus import contained_terms, lines
+from lodeline.operators.corpus import lines, mentioned_terms
 from lodeline.session import stored
 
 TERM_PATTERN = "[A-Z][a-z]+"
@@ -57,14 +57,13 @@ def build_graph_tables(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def query_subgraph(nodes: DataFrame, edges: DataFrame, chunks: DataFrame, *, whole_words: bool = False) -> tuple[DataFrame, DataFrame]:
     """Edges with an end mentioned in a retrieved chunk, and the nodes they connect."""
-    mentioned = contained_terms(
-        chunks, nodes.select(F.col("id").alias("term_id"), F.col("id").alias("term")), whole_words=whole_words
-    )
-    seen = stored(mentioned.select(F.col("term_id").alias("id")).distinct(), "mentioned")
-    by_source = edges.join(seen.withColumnRenamed("id", "source"), "source", "left_semi")
-    by_target = edges.join(seen.withColumnRenamed("id", "target"), "target", "left_semi")
-    cols = edges.columns
-    kept = by_source.select(*cols).unionByName(by_target.select(*cols)).distinct()
+    nodes = stored(nodes, "nodes")
+    seen = mentioned_terms(chunks, nodes.select(F.col("id").alias("term_id"), F.col("id").alias("term")), whole_words=whole_words)
+    seen = stored(seen.select(F.col("term_id").alias("id"), F.lit(True).alias("_seen")), "mentioned")
+    at = lambda end: seen.select(F.col("id").alias(end), F.col("_seen").alias(f"_{end}"))
+    met = edges.join(at("source"), "source", "left").join(at("target"), "target", "left")
+    met = met.filter(F.col("_source").isNotNull() | F.col("_target").isNotNull())
+    kept = stored(met.select(*edges.columns).distinct(), "kept")
     ends = kept.select(F.explode(F.array("source", "target")).alias("id")).distinct()
     return nodes.join(ends, "id", "left_semi"), kept
 

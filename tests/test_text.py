@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -159,3 +162,26 @@ def test_change_log_replay(spark):
 def test_encode_unseen_is_null(spark):
     df = spark.createDataFrame([("b",), ("a",), ("c",)], "x string")
     assert rows(clean.label_encode(df, "x", classes=df.filter("x <> 'c'"))) == [("a", 0), ("b", 1), ("c", None)]
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_mentioned_terms_equal_brute_force(spark, whole):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("aAé-.b_") for _ in range(rnd.randint(1, 6)))
+    long_word = "x" * 30 + "yz" * 5
+    texts = [rnd.choice(" \n\t").join(word() for _ in range(rnd.randint(0, 9))) for _ in range(60)] + [None, "", f"({long_word}) end"]
+    made = {word() for _ in range(150)} | {word() + " " + word() for _ in range(40)} | {long_word, long_word[1:], "q" * 40}
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    terms = spark.createDataFrame(list(enumerate(sorted(made))), "term_id long, term string")
+    edge = r"(^|[^a-zA-Z0-9_]){}([^a-zA-Z0-9_]|$)" if whole else "{}"
+    want = [(i,) for i, t in enumerate(sorted(made)) if any(re.search(edge.format(re.escape(t)), x or "") for x in texts)]
+    assert rows(corpus.mentioned_terms(docs, terms, whole_words=whole)) == sorted(want, key=repr)
+
+
+def test_subgraph_reads_words_once(spark):
+    """The texts meet the terms by their words: no plan of the search joins texts with candidates."""
+    docs = spark.createDataFrame([(i, f"Anna Berta{i % 7} Carl") for i in range(50)], "doc_id long, text string")
+    nodes, _ = graph.build_graph_tables(graph.neighbor_triples(docs))
+    terms = nodes.select(F.col("id").alias("term_id"), F.col("id").alias("term"))
+    plan = corpus.mentioned_terms(docs, terms)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(" not in plan and "contains(" not in plan.lower()
