@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,6 +98,20 @@ def latest_updates(spark, path: str, schema: T.StructType, keys: Sequence[str])
     return newest.select(*keys, "v.*")
 
 
+# Frames of rolling features that are worked out at a time.
+FRAMES = 50_000
+
+
+def _frames(values: np.ndarray, ends: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sample deviation and mean of the ``rows`` values up to each of ``ends``, per column; infinite values count as missing."""
+    lo = ends[0] - rows + 1
+    some = values[lo : ends[-1] + 1]
+    frames = np.lib.stride_tricks.sliding_window_view(np.where(np.isinf(some), np.nan, some), rows, axis=0)[ends - ends[0]]
+    mean = frames.mean(axis=2)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.sqrt(((frames - mean[:, :, None]) ** 2).sum(axis=2) / (rows - 1)), mean
+
+
 def rolling_features(
     stream: DataFrame, *, keys: Sequence[str], order: Sequence[str], cols: Sequence[str], rows: int = 10,
     idle: str | None = None, late: str | None = None,
@@ -122,42 +137,50 @@ def rolling_features(
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
     order, cols, last = list(order), list(cols), order[-1]
 
+    # A session has few readings per call and is called in every micro-batch, so what a call costs by itself counts.
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         old, held, held_last = ([list(r) for r in state.get[0]], [list(r) for r in state.get[1]], list(state.get[2])) if state.exists else ([], [], [])
         if not state.hasTimedOut:
-            pdf = pd.concat(list(batches)).sort_values(order)
-            times = pdf[order[0]].map(lambda t: t.timestamp() * 1000.0)
-            held += [[t, *v] for t, v in zip(times, pdf[cols].astype("float64").to_numpy().tolist())]
-            held_last += pdf[last].tolist()
+            for pdf in batches:
+                ms = pdf[order[0]].to_numpy().astype("datetime64[us]").astype(np.int64) / 1000.0
+                held += np.column_stack([ms, *[pdf[c].to_numpy(np.float64) for c in cols]]).tolist()
+                held_last += pdf[last].tolist()
         passed = state.getCurrentWatermarkMs() if late else float("inf")
-        ready = sorted((r[0], o, i) for i, (r, o) in enumerate(zip(held, held_last)) if r[0] < passed)
-        new, new_last = [held[i] for _, _, i in ready], [o for _, o, _ in ready]
-        wait = sorted(set(range(len(held))) - {i for _, _, i in ready})
-        held, held_last = [held[i] for i in wait], [held_last[i] for i in wait]
+        at = sorted(range(len(held)), key=lambda i: (held[i][0], held_last[i]))
+        n = sum(r[0] < passed for r in held)
+        new, new_last = [held[i] for i in at[:n]], [held_last[i] for i in at[:n]]
+        held, held_last = [held[i] for i in at[n:]], [held_last[i] for i in at[n:]]
         if not new and not held:
             state.remove()  # a pause has ended the session
             return
-        values = pd.DataFrame(old + new, columns=["_ms", *cols])
-        # A pause longer than ``idle`` starts the session anew; no frame may reach across it.
-        part = (values["_ms"].diff() > idle_ms).cumsum() if idle_ms else pd.Series(0, index=values.index)
-        place = values.groupby(part).cumcount()
-        rolled = values[cols].rolling(rows, min_periods=rows)
-        std, mean = rolled.std(), rolled.mean()
-        made = pd.DataFrame(dict(zip(keys, [[v] * len(new) for v in key])))
-        made[last] = new_last
-        for c in cols:
-            made[f"{c}_std"] = std[c].to_numpy()[len(old) :]
-            made[f"{c}_mean"] = mean[c].to_numpy()[len(old) :]
-        made["texture_score"] = made[[f"{c}_std" for c in cols]].mean(axis=1)
         keep = (old + new)[-(rows - 1) :]
         state.update((keep, held, held_last))
         if held:
-            state.setTimeoutTimestamp(int(max(passed, min(r[0] for r in held))) + 1)
+            state.setTimeoutTimestamp(int(max(passed, held[0][0])) + 1)
         elif idle_ms and keep:
             state.setTimeoutTimestamp(max(int(keep[-1][0]) + idle_ms, state.getCurrentWatermarkMs() + 1))
-        full = made[place.to_numpy()[len(old) :] >= rows - 1]
-        if len(full):
-            yield full
+        if len(old) + len(new) < rows:
+            return
+        values = np.array(old + new)
+        place = np.arange(len(values))
+        if idle_ms:
+            # A pause longer than ``idle`` starts the session anew; no frame may reach across it.
+            fresh = np.diff(values[:, 0], prepend=values[0, 0]) > idle_ms
+            place = place - np.maximum.accumulate(np.where(fresh, place, 0))
+        full = np.flatnonzero(place >= rows - 1)
+        full = full[full >= len(old)]
+        # ``full`` rows at a time have all their frames in memory.
+        for lo in range(0, len(full), FRAMES):
+            ends = full[lo : lo + FRAMES]
+            std, mean = _frames(values[:, 1:], ends, rows)
+            made = {k: [v] * len(ends) for k, v in zip(keys, key)}
+            made[last] = [new_last[i] for i in (ends - len(old)).tolist()]
+            for i, c in enumerate(cols):
+                made[f"{c}_std"], made[f"{c}_mean"] = std[:, i], mean[:, i]
+            known = ~np.isnan(std)
+            with np.errstate(invalid="ignore"):
+                made["texture_score"] = np.where(known, std, 0.0).sum(axis=1) / known.sum(axis=1)
+            yield pd.DataFrame(made)
 
     slim = stream.select(*keys, *order, *cols)
     slim = slim.withWatermark(order[0], late or idle) if late or idle else slim

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from conftest import rows
@@ -139,3 +141,14 @@ def test_broken_and_partial_messages(spark):
     assert flat[1]["problem"] is None and flat[1]["distance_cm"] == 1.5 and flat[1]["mode"] is None
     assert flat[3]["problem"] == "missing system" and flat[2]["problem"] is not None
     assert readers.flatten_events(df, on_missing="drop").count() == 1
+
+
+def test_frames_equal_pandas():
+    rng = np.random.default_rng(3)
+    values = rng.normal(size=(400, 2))
+    values[[30, 200], 0], values[90, 1] = (np.nan, np.inf), np.nan
+    ends = np.arange(9, 400, 3)
+    std, mean = jobs._frames(values, ends, 10)
+    rolled = pd.DataFrame(values).rolling(10, min_periods=10)
+    np.testing.assert_allclose(std, rolled.std().to_numpy()[ends], atol=1e-9)
+    np.testing.assert_allclose(mean, rolled.mean().to_numpy()[ends], atol=1e-9)
