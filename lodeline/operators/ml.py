@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeline.operators import boosting
 from lodeline.operators.metrics import roc_auc
 from lodeline.operators.windows import stratified_split, walk_forward
+from lodeline.plans.layout import spread
 from lodeline.session import stored
 
+# Forests trained at once, while the rows times trees that all of them hold stay below a limit.
+FITS_AT_ONCE = 4
+HELD_SAMPLES = 400_000_000
+
 
 def rf_classifier(
     train: DataFrame, *, features: Sequence[str], label: str, trees: int = 100, depth: int = 10, min_leaf: int = 5, seed: int = 42
@@ -30,7 +37,7 @@ def rf_classifier(
         ),
         IndexToString(inputCol="prediction", outputCol="predicted", labels=indexer.labels),
     ]
-    return Pipeline(stages=stages).fit(train)
+    return Pipeline(stages=stages).fit(spread(train.select(label, *features)))
 
 
 def feature_importance(model, features: Sequence[str], spark) -> DataFrame:
@@ -71,7 +78,7 @@ def _binary_auc(train: DataFrame, test: DataFrame, features: Sequence[str], labe
             VectorAssembler(inputCols=list(features), outputCol="_features"),
             RandomForestClassifier(featuresCol="_features", labelCol=label, numTrees=trees, seed=seed),
         ]
-    ).fit(train)
+    ).fit(spread(train.select(label, *features)))
     scored = model.transform(test).select(label, vector_to_array("probability")[1].alias("score"))
     return roc_auc(scored, score="score", label=label).first()["auc"]
 
@@ -97,16 +104,24 @@ def leakage_gap_report(
     cols = lambda df, fs: df.select(key, *order, label, *fs).fillna(0, list(fs))
     h = stored(walk_forward(cols(honest, honest_features), order=[*order, key], n_splits=n_splits), "honest")
     s = stored(cols(shortcut, shortcut_features), "shortcut")
-    rows = []
+    jobs = []
     for fold in range(n_splits):
         train, test = h.filter(F.col("block") <= fold), h.filter(F.col("block") == fold + 1)
         if train.select(label).distinct().count() < 2:
             continue
-        rows.append(("honest", fold, _binary_auc(train, test, honest_features, label, trees, 42)))
+        jobs.append(("honest", fold, train, test, honest_features))
     for i in range(repeats):
         split = stored(stratified_split(s, key=key, label=label, test_size=0.25, seed=i), "shuffled")
         train, test = split.filter(F.col("split") == "train"), split.filter(F.col("split") == "test")
-        rows.append(("shortcut", i, _binary_auc(train, test, shortcut_features, label, trees, 42)))
+        jobs.append(("shortcut", i, train, test, shortcut_features))
+
+    def one(job):
+        setting, i, train, test, features = job
+        return setting, i, _binary_auc(train, test, features, label, trees, 42)
+
+    at_once = max(1, min(FITS_AT_ONCE, HELD_SAMPLES // max(1, trees * s.count())))
+    with ThreadPoolExecutor(at_once) as pool:
+        rows = [f.result() for f in [pool.submit(inheritable_thread_target(one), j) for j in jobs]]
     per = spark.createDataFrame([r for r in rows if r[2] is not None], "setting string, fold int, auc double")
     fold = F.lit(None).cast("int").alias("fold")
     means = per.groupBy("setting").agg(F.avg("auc").alias("auc")).select("setting", fold, "auc")
