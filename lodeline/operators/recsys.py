@@ -16,6 +16,7 @@ from lodeline.session import stored
 LIST_ROWS = 2_000
 # Products that one task of the search adds up, on average.
 TASK_PAIRS = 2_000_000
+TASK_BLOCKS = 4
 # A user with more items is searched by joins.
 LONG_USER = 5_000
 CHUNK_PAIRS = 4_000_000
@@ -30,9 +31,21 @@ def user_item(ratings: DataFrame) -> DataFrame:
     return ratings.groupBy("user", "item").agg(F.sum("rating").alias("rating"))
 
 
-def _normalized(ratings: DataFrame) -> DataFrame:
-    norms = ratings.groupBy("user").agg(F.sqrt(F.sum(F.col("rating") * F.col("rating"))).alias("_norm"))
-    return ratings.join(norms, "user").select("user", "item", (F.col("rating") / F.col("_norm")).alias("w"))
+def _squares(ratings: DataFrame) -> DataFrame:
+    squares = ratings.groupBy("user").agg(F.sum(F.col("rating") * F.col("rating")).alias("sq"))
+    return ratings.join(squares, "user").select("user", "item", "rating", "sq")
+
+
+def _narrowed(df: DataFrame, *cols: str) -> DataFrame:
+    """The columns in the smallest numeric type that holds all their values exactly, else as they are."""
+    order = ("tinyint", "smallint", "int", "float")
+    fits = {(c, t): F.bool_and(F.coalesce(F.col(c).try_cast(t) == F.col(c), F.lit(False))) for c in cols for t in order}
+    # A long beside a float would be compared as floats.
+    whole = [c for c in cols if df.schema[c].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")]
+    fits = {k: v for k, v in fits.items() if k[1] != "float" or k[0] not in whole}
+    found = df.agg(*[v.alias(f"{c}:{t}") for (c, t), v in fits.items()]).first()
+    best = {c: next((t for t in order if (c, t) in fits and found[f"{c}:{t}"]), None) for c in cols}
+    return df.withColumns({c: F.col(c).cast(t) for c, t in best.items() if t})
 
 
 def user_neighbors(
@@ -52,12 +65,19 @@ def user_neighbors(
     far, nobody new can come in, and only the pairs near the limit get their missing products. Other
     users are searched in all lists. The result is exact.
     """
-    weights = stored(_normalized(ratings), "weights")
-    placed = row_positions(weights, ["item"], [-F.col("w"), "user"], "pos", "n")
+    squares = stored(_squares(stored(ratings, "ratings")), "squares")
+    weight = (F.col("rating") / F.sqrt("sq")).alias("w")
+    weights = squares.select("user", "item", weight)
+    placed = row_positions(squares, ["item"], [-weight, "user"], "pos", "n").withColumn("w", weight)
     placed = stored(placed.withColumn("slice", F.floor((F.col("pos") - 1) / list_rows)), "placed")
     popular = (placed.agg(F.max("n")).first()[0] or 0) > list_rows
-    entries = placed.groupBy("item", "slice").agg(F.collect_list(F.struct("user", "w")).alias("e"), F.max("w").alias("top"))
-    lists = stored(entries.select("item", "slice", "top", F.col("e.user").alias("users"), F.col("e.w").alias("ws")), "lists")
+    # Lists are what is sent most: a rating and the user's sum of squares take less room than a weight, and equal
+    # ratings side by side next to nothing.
+    small = _narrowed(placed.select("item", "slice", "w", "rating", "sq", "user"), "rating", "sq", "user")
+    entry = F.array_sort(F.collect_list(F.struct("rating", "sq", "user"))).alias("e")
+    entries = small.groupBy("item", "slice").agg(entry, F.max("w").alias("top"))
+    columns = [F.col(f"e.{c}").alias(n) for c, n in (("user", "users"), ("rating", "ratings"), ("sq", "squares"))]
+    lists = stored(entries.select("item", "slice", "top", *columns), "lists")
     first = lists.where("slice = 0").drop("slice", "top")
     left = lists.where("slice = 1").select("item", F.col("top").alias("rest"))
     long_ids = weights.groupBy("user").agg(F.count("*").alias("n")).where(F.col("n") > long_user).select("user")
@@ -69,7 +89,7 @@ def user_neighbors(
         pairs.append(_completed(found.where(F.col("state") == PARTIAL).drop("state"), placed, list_rows))
         unsure = found.where(F.col("state") == OPEN).select("user")
         again = weights.join(unsure, "user", "left_semi")
-        every = lists.select("item", "users", "ws", F.lit(None).cast("double").alias("rest"))
+        every = lists.select("item", "users", "ratings", "squares", F.lit(None).cast("double").alias("rest"))
         pairs.append(_search(again, every, k, task_pairs).drop("state"))
     pairs.append(_by_joins(weights.join(long_ids, "user", "left_semi"), weights))
     both = pairs[0]
@@ -80,7 +100,7 @@ def user_neighbors(
 
 
 def _search(queries: DataFrame, lists: DataFrame, k: int, task_pairs: int) -> DataFrame:
-    """(user, neighbor, sim, state) of ``queries`` (user, item, w) in ``lists`` (item, users, ws, rest).
+    """(user, neighbor, sim, state) of ``queries`` (user, item, w) in ``lists`` (item, users, ratings, squares, rest).
 
     ``rest`` is the largest weight of the item that is in no list. EXACT: the ``k`` best, and ties, of a user
     without such items. PARTIAL: sums that may still be among the best when what is missing is added. OPEN: one row
@@ -93,7 +113,11 @@ def _search(queries: DataFrame, lists: DataFrame, k: int, task_pairs: int) -> Da
     block = F.pmod(F.xxhash64("user"), F.lit(blocks)).cast("int")
     grouped = queries.groupBy("item", block.alias("block")).agg(F.collect_list(F.struct("user", "w")).alias("q"))
     grouped = grouped.select("item", "block", F.col("q.user").alias("q_users"), F.col("q.w").alias("q_ws"))
-    met = grouped.join(lists, "item").select("block", "q_users", "q_ws", "users", "ws", "rest")
+    met = grouped.join(lists, "item").select("block", "q_users", "q_ws", "users", "ratings", "squares", "rest")
+    # Tasks of a few blocks sort what they get in memory, however many blocks there are.
+    tasks = -(-blocks // TASK_BLOCKS)
+    if tasks > int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        met = met.repartition(tasks, "block")
 
     def run(table: pa.Table) -> pa.Table:
         return _block_best(table, k)
@@ -111,7 +135,7 @@ def _block_best(table: pa.Table, k: int) -> pa.Table:
     n_q, q_user = _ragged(table["q_users"])
     _, q_w = _ragged(table["q_ws"])
     n_e, e_user = _ragged(table["users"])
-    _, e_w = _ragged(table["ws"])
+    e_w = _ragged(table["ratings"])[1] / np.sqrt(_ragged(table["squares"])[1].astype(float))
     rest = np.nan_to_num(table["rest"].to_numpy())
     row = np.repeat(np.arange(len(n_q)), n_q)
     first = np.concatenate([[0], np.cumsum(n_e)[:-1]])
@@ -185,11 +209,43 @@ def _by_joins(queries: DataFrame, weights: DataFrame) -> DataFrame:
     return crossed.groupBy("user", "neighbor").agg(F.sum(F.col("wu") * F.col("wv")).alias("sim"))
 
 
-def candidate_items(neighbors: DataFrame, ratings: DataFrame, *, min_rating: float = 4.0) -> DataFrame:
-    """Items the neighbors rated at least ``min_rating``, with the summed sim*rating per user and item."""
-    liked = ratings.filter(F.col("rating") >= min_rating).select(F.col("user").alias("neighbor"), "item", "rating")
-    votes = neighbors.select("user", "neighbor", "sim").join(liked, "neighbor")
-    return votes.groupBy("user", "item").agg(F.round(F.sum(F.col("sim") * F.col("rating")), SIM_DIGITS).alias("score"))
+# Items of one list that a neighbor hands to a user.
+VOTE_ROWS = 1_000
+# Votes that one task adds up, on average.
+TASK_VOTES = 10_000_000
+
+
+def _item_lists(ratings: DataFrame, owner: str) -> DataFrame:
+    """The items and ratings of each user (as ``owner``) in lists of at most ``VOTE_ROWS``, equal ratings side by side."""
+    rows = _narrowed(ratings.select(F.col("user").alias(owner), "item", "rating"), "item", "rating")
+    placed = row_positions(rows, [owner], ["rating", "item"])
+    listed = placed.groupBy(owner, F.floor((F.col("pos") - 1) / VOTE_ROWS)).agg(F.array_sort(F.collect_list(F.struct("rating", "item"))).alias("e"))
+    return listed.select(owner, F.col("e.item").alias("items"), F.col("e.rating").alias("ratings"))
+
+
+def candidate_items(neighbors: DataFrame, ratings: DataFrame, *, min_rating: float = 4.0, unseen: bool = False) -> DataFrame:
+    """Items the neighbors rated at least ``min_rating``, with the summed sim*rating per user and item.
+
+    A neighbor's items go to the user as lists and are taken apart there, so that one shuffle by user serves the
+    sums and whatever follows per user. ``unseen`` leaves out what the user has rated, in the same shuffle.
+    """
+    kinds = {c: ratings.schema[c].dataType for c in ("item", "rating")}
+    liked = stored(_item_lists(ratings.filter(F.col("rating") >= min_rating), "neighbor"), "liked")
+    votes = neighbors.select("user", "neighbor", "sim").join(liked, "neighbor").select("user", "sim", "items", "ratings")
+    amount = liked.agg(F.sum(F.size("items")), F.count_distinct("neighbor")).first()
+    if unseen:
+        # A user's own items come without a similarity.
+        own = _item_lists(ratings.join(neighbors.select("user").distinct(), "user", "left_semi"), "user")
+        votes = votes.unionByName(own.select("user", F.lit(None).cast("double").alias("sim"), "items", "ratings"))
+    tasks = -(-(neighbors.count() * (amount[0] or 0) // max(1, amount[1])) // TASK_VOTES)
+    tasks = max(tasks, int(neighbors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    each = votes.repartition(tasks, "user").select("user", "sim", F.explode(F.arrays_zip("items", "ratings")).alias("e"))
+    each = each.select("user", F.col("e.items").cast(kinds["item"]).alias("item"), "sim", F.col("e.ratings").cast(kinds["rating"]).alias("rating"))
+    score = F.round(F.sum(F.col("sim") * F.col("rating")), SIM_DIGITS).alias("score")
+    if not unseen:
+        return each.groupBy("user", "item").agg(score)
+    summed = each.groupBy("user", "item").agg(score, F.bool_or(F.col("sim").isNull()).alias("_seen"))
+    return summed.filter(~F.col("_seen")).drop("_seen")
 
 
 def unseen_items(candidates: DataFrame, ratings: DataFrame) -> DataFrame:
@@ -212,7 +268,7 @@ def recommend(
     neighbors = stored(user_neighbors(ratings, k=k_neighbors), "neighbors")
     if users is not None:
         neighbors = neighbors.join(users.select("user"), "user", "left_semi")
-    open_items = unseen_items(candidate_items(neighbors, ratings, min_rating=min_neighbor_rating), ratings)
+    open_items = candidate_items(neighbors, ratings, min_rating=min_neighbor_rating, unseen=True)
     return topk_per_group(open_items, group=["user"], order=[F.desc("score"), F.asc("item")], k=topn)
 
 

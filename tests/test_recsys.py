@@ -102,3 +102,25 @@ def test_title_default(spark):
 def test_precision_counts_liked_hits(ratings):
     made = recsys.precision_at_k(ratings.withColumn("t", F.col("item")), order=["t", "item"], holdout=2, k_neighbors=5)
     assert all(0 <= r["hits"] <= r["recs"] <= 5 and r["precision"] == r["hits"] / r["recs"] for r in made.collect())
+
+
+@pytest.mark.parametrize("shift,scale", [(0, 1), (2**40, 0.1)])
+def test_lists_keep_ids_and_ratings_exactly(spark, ratings, shift, scale):
+    """Lists are sent in small types only where these hold every value."""
+    kind = "long" if scale == 1 else "double"
+    df = ratings.select((F.col("user") + shift).alias("user"), "item", (F.col("rating") * scale).cast(kind).alias("rating"))
+    assert rows(recsys.user_neighbors(df, k=5), "user", "neighbor", "sim") == brute_neighbors(df.collect(), 5)
+    small = recsys._narrowed(df, "user", "rating")
+    assert [t for _, t in small.dtypes] == (["tinyint", "bigint", "tinyint"] if scale == 1 else ["bigint", "bigint", "double"])
+    assert rows(small, "user", "item", "rating") == rows(df, "user", "item", "rating")
+
+
+def test_unseen_items_in_the_same_shuffle(ratings, monkeypatch):
+    monkeypatch.setattr(recsys, "VOTE_ROWS", 7)
+    neighbors = recsys.user_neighbors(ratings, k=5).cache()
+    found = recsys.candidate_items(neighbors, ratings)
+    votes = ratings.filter("rating >= 4").withColumnRenamed("user", "neighbor").join(neighbors, "neighbor")
+    plain = votes.groupBy("user", "item").agg(F.round(F.sum(F.col("sim") * F.col("rating")), 9).alias("score"))
+    assert rows(found, "user", "item", "score") == rows(plain, "user", "item", "score")
+    fused = recsys.candidate_items(neighbors, ratings, unseen=True)
+    assert rows(fused, "user", "item", "score") == rows(recsys.unseen_items(found, ratings), "user", "item", "score")
