@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeline.plans.hot_groups import running
+from lodeline.plans.layout import dealt
 from lodeline.session import stored
 
 UNIT_MICROS = {"s": 1_000_000, "m": 60_000_000, "h": 3_600_000_000, "d": 86_400_000_000}
@@ -81,10 +82,13 @@ def asof_aggregates(
 def _one_parent(df, parent, delays, aggs, length, sliding_limit) -> DataFrame:
     """Short parents take a sliding frame; only the rows of long ones are cut into buckets."""
     extent = df.groupBy(parent).agg(F.count(F.lit(1)).alias("n"), F.min("_t").alias("lo"), F.max("_t").alias("hi"))
-    long_ones = extent.where(F.col("n") > sliding_limit)
-    n_long, longest = long_ones.agg(F.count("*"), F.max(F.struct("n", F.expr("hi - lo").alias("span")))).first()
+    is_long = F.col("n") > sliding_limit
+    long_ones = extent.where(is_long)
+    n_long, longest, n_short = extent.agg(
+        F.count_if(is_long), F.max(F.when(is_long, F.struct("n", F.expr("hi - lo").alias("span")))), F.sum(F.when(~is_long, F.col("n")))
+    ).first()
     if not n_long:
-        return _sliding(df, parent, delays, aggs, length)
+        return _sliding(dealt(df, n_short or 0, parent), parent, delays, aggs, length)
     names = long_ones.select(F.col(parent).alias("_long"))
     if n_long <= MAX_SENT_PARENTS:
         names = F.broadcast(names)
@@ -92,7 +96,7 @@ def _one_parent(df, parent, delays, aggs, length, sliding_limit) -> DataFrame:
     short, rest = df.join(names, same, "left_anti"), df.join(names, same, "left_semi")
     means = rest.groupBy(parent).agg(*[F.avg(F.col(c).cast("double")).alias(f"_mean_{c}") for c in delays])
     cut = _bucketed(rest, parent, delays, aggs, length, longest["n"], max(1, longest["span"]), means)
-    return _sliding(short, parent, delays, aggs, length).unionByName(cut)
+    return _sliding(dealt(short, n_short or 0, parent), parent, delays, aggs, length).unionByName(cut)
 
 
 def _sliding(df, parent, delays, aggs, length) -> DataFrame:
@@ -164,6 +168,7 @@ def _bucketed(df, parent, delays, aggs, length, rows, span, means) -> DataFrame:
     times = spread.groupBy(parent, "_bucket", "_at").agg(mine, *[v.alias(f"_p{n}") for n, v in pieces.items()])
     times = stored(times, "times")
     keys = [parent, "_bucket"]
+    times = dealt(times, times.count(), *keys)
     if heads:
         times = running(times, keys, ["_at"], heads)
     if strict:

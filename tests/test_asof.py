@@ -114,3 +114,18 @@ def test_missing_label_fails(spark):
     labels = spark.createDataFrame([(1, 0)], "id long, y int")
     with pytest.raises(Exception, match="no label for key 2"):
         align_target(left, labels, key="id", label="y").collect()
+
+
+def test_window_tasks_stay_small(spark, monkeypatch):
+    """What a task sorts is bounded by rows, not by Spark's number of partitions."""
+    from lodeline.plans import layout
+
+    monkeypatch.setattr(layout, "TASK_ROWS", 50)
+    df = spark.range(2_000).select("id", (F.col("id") % 40).alias("parent"), F.timestamp_seconds(F.col("id") * 60).alias("at"), F.col("id").cast("double").alias("v"))
+    args = dict(ts="at", parents=["parent"], cols=["v"], aggs=("count", "max"), window="1h")
+    many = asof_aggregates(df, **args)
+    assert "hashpartitioning(parent#" in (plan := many._jdf.queryExecution().executedPlan().toString()) and ", 40), REPARTITION_BY_NUM" in plan
+    monkeypatch.setattr(layout, "TASK_ROWS", 10**6)
+    assert rows(many) == rows(asof_aggregates(df, **args))
+    monkeypatch.setattr(layout, "TASK_ROWS", 50)
+    assert rows(asof_aggregates(df, sliding_limit=10, **args)) == rows(many)
