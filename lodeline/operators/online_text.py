@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeline.functions.text import words
-from lodeline.plans.hot_groups import running
+from lodeline.plans.hot_groups import WINDOW_ROWS, running
+from lodeline.plans.layout import dealt, dealt_texts
 from lodeline.session import stored
 
 
 def token_counts(df: DataFrame, *, order: str, text: str, label: str) -> DataFrame:
-    """Occurrences of each lowercased word per message."""
-    tokens = df.select(order, label, F.explode(words(F.lower(text))).alias("w"))
+    """Occurrences of each lowercased word per message; a task counts a bounded amount of text."""
+    texts = dealt_texts(df.select(order, label, text), text, order)
+    tokens = texts.select(order, label, F.explode(words(F.lower(text))).alias("w"))
     return tokens.groupBy(order, label, "w").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -31,7 +33,7 @@ NOTHING = {"d0": 0, "d1": 0, "t0": 0, "t1": 0, "v": 0}
 
 def prequential_nb(
     df: DataFrame, *, order: str, text: str, label: str, smoothing: float = 1.0, known: DataFrame | None = None,
-    totals: dict[str, int] | None = None,
+    totals: dict[str, int] | None = None, tokens: DataFrame | None = None,
 ) -> DataFrame:
     """For each message the scores and predictions before and after learning it.
 
@@ -41,16 +43,15 @@ def prequential_nb(
     messages is split into blocks like any long group. Nothing is iterated.
 
     ``known`` (w, n0, n1) and ``totals`` (messages d0 d1, words t0 t1, vocabulary v) are what was
-    learned before the first message.
+    learned before the first message. ``tokens`` are the stored ``token_counts``, if they are at hand.
     """
     start = {**NOTHING, **(totals or {})}
     own = lambda c: F.when(F.col(label) == c, F.col("tf")).otherwise(0)
+    if tokens is None:
+        tokens = stored(token_counts(df, order=order, text=text, label=label), "message-words")
+    n = tokens.count()
     tokens = running(
-        token_counts(df, order=order, text=text, label=label),
-        ["w"],
-        [order],
-        {"n0": ("sum", own(0)), "n1": ("sum", own(1))},
-        strict=True,
+        tokens, ["w"], [order], {"n0": ("sum", own(0)), "n1": ("sum", own(1))}, strict=True, rows=n
     ).fillna(0, ["n0", "n1"])
     if known is not None:
         before = known.select("w", *[F.col(f"n{c}").alias(f"_k{c}") for c in (0, 1)])
@@ -79,7 +80,8 @@ def prequential_nb(
     sums = sums.withColumns({n: F.col(n) + F.lit(start[n.lower()]) for n in ("T0", "T1", "D0", "D1", "V")})
     totals = stored(sums, "message-totals")
 
-    joined = tokens.drop(label).join(totals, order)
+    by_message = lambda x: dealt(x, n, order, task_rows=WINDOW_ROWS)
+    joined = by_message(tokens.drop(label)).join(by_message(totals), order)
     parts = []
     for c in (0, 1):
         mine = F.when(F.col(label) == c, 1).otherwise(0)

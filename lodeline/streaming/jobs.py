@@ -285,7 +285,7 @@ def prequential_nb(
             df = df.filter(~behind)
         df = stored(df, "messages")
         known = _known_words(spark, path, batch_id, word_schema)
-        tokens = token_counts(df, order=order, text=text, label=label)
+        tokens = stored(token_counts(df, order=order, text=text, label=label), "message-words")
         mine = stored(
             tokens.groupBy("w").agg(
                 *[F.coalesce(F.sum(F.when(F.col(label) == c, F.col("tf"))), F.lit(0)).cast("long").alias(f"n{c}") for c in (0, 1)]
@@ -295,7 +295,7 @@ def prequential_nb(
         if known is not None:
             known = stored(known.join(mine.select("w"), "w", "left_semi"), "known-words")
         scored = online_text.prequential_nb(
-            df, order=order, text=text, label=label, smoothing=smoothing, known=known, totals=totals
+            df, order=order, text=text, label=label, smoothing=smoothing, known=known, totals=totals, tokens=tokens
         )
         scored.write.mode("overwrite").parquet(f"{path}/scored/batch={batch_id}")
         mine.write.mode("overwrite").parquet(f"{path}/words/v={batch_id}")
