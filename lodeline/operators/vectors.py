@@ -17,6 +17,8 @@ SIM_DIGITS = 9
 # Query vectors are sent to every task only up to this many numbers.
 MAX_SHARED_VALUES = 1_000_000
 QUERY_SLICE = 512
+# Vectors that one step of a Python task holds as doubles.
+ROW_SLICE = 512
 BLOCK_VECTORS = 20_000
 MAX_SENT_ROWS = 1_000_000
 
@@ -40,24 +42,36 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def _best(ids, scopes, vectors, q_ids, q_scopes, q_unit, k) -> pd.DataFrame:
-    """The k most similar rows of this batch for each query, a slice of the queries at a time."""
-    order = np.argsort(np.asarray(ids), kind="stable")
-    ids, unit = np.asarray(ids)[order], _matrix(vectors)[order]
-    q_ids = np.asarray(q_ids)
+    """The k most similar of these rows for each query, a slice of the rows and of the queries at a time."""
+    ids, q_ids = np.asarray(ids), np.asarray(q_ids)
+    vectors = np.asarray(vectors, dtype=object)
+    order = np.argsort(ids, kind="stable")
     if q_scopes is not None:
-        scopes, q_scopes = np.asarray(scopes)[order], np.asarray(q_scopes)
-    parts = []
-    for lo in range(0, len(q_ids), QUERY_SLICE):
-        sims = np.round(q_unit[lo : lo + QUERY_SLICE] @ unit.T, SIM_DIGITS)
+        scopes, q_scopes = np.asarray(scopes), np.asarray(q_scopes)
+    best = np.zeros((len(q_ids), 0), dtype="int64"), np.zeros((len(q_ids), 0))
+    for at in range(0, len(order), ROW_SLICE):
+        rows = order[at : at + ROW_SLICE]
+        best = _merged(best, rows, _matrix(vectors[rows]), scopes, q_scopes, q_unit, k)
+    at, sims = best
+    out = pd.DataFrame({"query": np.repeat(q_ids, at.shape[1]), "id": ids[at.ravel()], "sim": sims.ravel()})
+    return out[np.isfinite(out["sim"])].reset_index(drop=True)
+
+
+def _merged(best, rows, unit, scopes, q_scopes, q_unit, k):
+    """The k best of those found so far and of these rows, whose ids are all higher."""
+    ats, tops = [], []
+    for lo in range(0, len(q_unit), QUERY_SLICE):
+        cut = slice(lo, lo + QUERY_SLICE)
+        sims = np.round(q_unit[cut] @ unit.T, SIM_DIGITS)
         if q_scopes is not None:
-            sims[q_scopes[lo : lo + QUERY_SLICE, None] != scopes[None, :]] = -np.inf
+            sims[q_scopes[cut, None] != scopes[rows][None, :]] = -np.inf
+        sims = np.concatenate([best[1][cut], sims], axis=1)
+        at = np.concatenate([best[0][cut], np.broadcast_to(rows, (len(sims), len(rows)))], axis=1)
         # Columns are in id order, so a stable sort breaks ties by the smaller id.
-        best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(sims)), best.shape[1])
-        cols = best.ravel()
-        out = pd.DataFrame({"query": q_ids[lo + rows], "id": ids[cols], "sim": sims[rows, cols]})
-        parts.append(out[np.isfinite(out["sim"])])
-    return pd.concat(parts, ignore_index=True)
+        top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        ats.append(np.take_along_axis(at, top, axis=1))
+        tops.append(np.take_along_axis(sims, top, axis=1))
+    return np.concatenate(ats), np.concatenate(tops)
 
 
 def cosine_topk(
@@ -229,11 +243,13 @@ def zero_shot_multilabel(
         unit = _unit(np.array([r[1] for r in rows], dtype="float64"))
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                sims = np.round(_matrix(b[vector]) @ unit.T, 4)
-                yield pd.DataFrame(
-                    {id: b[id], "labels": [[{"label": n, "score": float(s)} for n, s in zip(names, r)] for r in sims]}
-                )
+            for whole in batches:
+                for at in range(0, len(whole), ROW_SLICE):
+                    b = whole.iloc[at : at + ROW_SLICE]
+                    sims = np.round(_matrix(b[vector]) @ unit.T, 4)
+                    yield pd.DataFrame(
+                        {id: b[id], "labels": [[{"label": n, "score": float(s)} for n, s in zip(names, r)] for r in sims]}
+                    )
 
         scored = df.select(id, vector).mapInPandas(scan, f"{id} {df.schema[id].dataType.simpleString()}, labels {kind}")
     by_score = F.array_sort(F.transform("labels", lambda x: F.struct((-x["score"]).alias("s"), x["label"].alias("label"))))
