@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodeline.functions.text import strip
 from lodeline.operators.aggregates import topk_per_group
+from lodeline.plans.layout import waves
 
 SIM_DIGITS = 9
 # Query vectors are sent to every task only up to this many numbers.
@@ -19,6 +20,8 @@ MAX_SHARED_VALUES = 1_000_000
 QUERY_SLICE = 512
 # Vectors that one step of a Python task holds as doubles.
 ROW_SLICE = 512
+# Texts that one task turns into vectors.
+TASK_TEXTS = 20_000
 BLOCK_VECTORS = 20_000
 MAX_SENT_ROWS = 1_000_000
 
@@ -175,7 +178,7 @@ def embedder(texts: DataFrame, *, text: str = "text", features: int = 1024):
         IDF(inputCol="_tf", outputCol="_idf"),
         Normalizer(inputCol="_idf", outputCol="_vec"),
     ]
-    return Pipeline(stages=stages).fit(texts)
+    return Pipeline(stages=stages).fit(waves(texts.select(text), TASK_TEXTS))
 
 
 def embed_documents(
@@ -193,7 +196,7 @@ def embed_documents(
     from pyspark.ml.functions import vector_to_array
 
     model = model or embedder(texts, text=text)
-    made = model.transform(texts)
+    made = model.transform(waves(texts, TASK_TEXTS))
     return made.withColumn(out, vector_to_array("_vec", "float32")).drop("_words", "_tf", "_idf", "_vec")
 
 

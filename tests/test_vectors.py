@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
+from conftest import rows
 
 from lodeline.operators import vectors as vec
 
@@ -33,6 +34,16 @@ def test_best_rows_of_slices(monkeypatch, scoped):
         assert list(zip(-mine["sim"], mine["id"])) == sorted(of)[:5]
 
 
+def test_texts_are_embedded_on_all_cores(spark, monkeypatch):
+    monkeypatch.setattr(vec, "TASK_TEXTS", 10)
+    texts = spark.createDataFrame([(i, f"a w{i % 7} w{i % 5}") for i in range(200)] + [(200, ""), (201, None)], "id long, text string").coalesce(1)
+    texts = texts.fillna("", ["text"])
+    made = vec.embed_documents(texts)
+    cores = spark.sparkContext.defaultParallelism
+    assert made.rdd.getNumPartitions() == cores * -(-202 // (10 * cores))
+    assert rows(made, "id") == sorted([(i,) for i in range(202)], key=repr)
+
+
 def test_labels_of_slices(spark):
     df = spark.createDataFrame([(i, "t", [float(i), 1.0]) for i in range(1200)], "id long, text string, embedding array<float>").coalesce(1)
     protos = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 1.0])], "label string, embedding array<float>")
