@@ -20,7 +20,7 @@ FEATURES = [f"{c}_{k}" for c in ROLL_COLS for k in ("std", "mean")] + ["texture_
 def surface_rows(spark, sf):
     shape = shape_features(*[F.col(c) for c in ROLL_COLS])
     df = rolled(spark, sf).withColumns({n: c for n, c in shape.items() if n in FEATURES})
-    df = df.select("kafka_offset", "surface_label", *FEATURES)
+    df = stored(df.select("kafka_offset", "surface_label", *FEATURES), "rolled")
     return stored(windows.stratified_split(df, key="kafka_offset", label="surface_label"), "surface")
 
 

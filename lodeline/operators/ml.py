@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from lodeline.operators import boosting
 from lodeline.operators.metrics import roc_auc
 from lodeline.operators.windows import stratified_split, walk_forward
-from lodeline.plans.layout import spread
+from lodeline.plans.layout import spread, waves
 from lodeline.session import stored
 
 # Forests trained at once, while the rows times trees that all of them hold stay below a limit.
 FITS_AT_ONCE = 4
 HELD_SAMPLES = 400_000_000
+# Rows of one task that trains or scores.
+FIT_ROWS, SCORE_ROWS = 1_000_000, 100_000
 
 
 def rf_classifier(
@@ -37,7 +39,7 @@ def rf_classifier(
         ),
         IndexToString(inputCol="prediction", outputCol="predicted", labels=indexer.labels),
     ]
-    return Pipeline(stages=stages).fit(spread(train.select(label, *features)))
+    return Pipeline(stages=stages).fit(waves(train.select(label, *features), FIT_ROWS))
 
 
 def feature_importance(model, features: Sequence[str], spark) -> DataFrame:
@@ -59,10 +61,10 @@ def load_model(path: str):
 
 
 def batch_score(model, df: DataFrame, *, keep: Sequence[str]) -> DataFrame:
-    """Predicted label and the highest class probability."""
+    """Predicted label and the highest class probability; all cores score."""
     from pyspark.ml.functions import vector_to_array
 
-    scored = model.transform(df)
+    scored = model.transform(waves(df, SCORE_ROWS))
     return scored.select(*keep, "predicted", F.array_max(vector_to_array("probability")).alias("confidence"))
 
 

@@ -36,3 +36,13 @@ def test_classifier_uses_all_cores(spark, monkeypatch):
     model = ml.rf_classifier(_rows(spark), features=["a"], label="y", trees=3)
     assert ml.batch_score(model, _rows(spark), keep=["id"]).count() == 240
     assert min(parts) >= spark.sparkContext.defaultParallelism
+
+
+def test_forest_and_scores_take_equal_parts_for_all_cores(spark, monkeypatch):
+    parts, cores = _seen(monkeypatch), spark.sparkContext.defaultParallelism
+    many = _rows(spark).repartition(2 * cores - 1)
+    model = ml.rf_classifier(many, features=["a"], label="y", trees=3)
+    assert parts == [cores]
+    monkeypatch.setattr(ml, "SCORE_ROWS", 20)
+    scored = ml.batch_score(model, _rows(spark), keep=["id"])
+    assert scored.rdd.getNumPartitions() == cores * -(-240 // (20 * cores)) and scored.count() == 240
