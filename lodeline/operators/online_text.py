@@ -116,7 +116,7 @@ def prequential_nb(
 def fit_batch_nb(train: DataFrame, *, text: str, label: str) -> tuple[DataFrame, dict[str, int]]:
     """Word counts per class as a table of all words (w, n0, n1), and the totals: words, vocabulary and messages."""
     of = lambda c, x: F.coalesce(F.sum(F.when(F.col(label) == c, x).otherwise(0)), F.lit(0)).cast("long")
-    tokens = train.select(label, F.explode(words(F.lower(text))).alias("w"))
+    tokens = dealt_texts(train.select(label, text), text).select(label, F.explode(words(F.lower(text))).alias("w"))
     counts = stored(tokens.groupBy("w").agg(*[of(c, F.lit(1)).alias(f"n{c}") for c in (0, 1)]), "word-counts")
     sums = counts.agg(F.count("w").alias("v"), *[F.coalesce(F.sum(f"n{c}"), F.lit(0)).alias(f"t{c}") for c in (0, 1)]).first()
     seen = train.agg(*[of(c, F.lit(1)).alias(f"d{c}") for c in (0, 1)]).first()

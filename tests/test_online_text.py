@@ -45,3 +45,14 @@ def test_scores_do_not_depend_on_the_tasks(spark, monkeypatch):
     monkeypatch.setattr(hot_groups, "WINDOW_ROWS", 100)
     monkeypatch.setattr(online_text, "WINDOW_ROWS", 100)
     assert rows(online_text.prequential_nb(_messages(spark), **KEYS), *cols) == want and len(want) == 121
+
+
+def test_batch_training_counts_bounded_texts(spark, monkeypatch):
+    monkeypatch.setattr(layout, "TASK_CHARS", 500)
+    parts, deal = [], online_text.dealt_texts
+    monkeypatch.setattr(online_text, "dealt_texts", lambda *a: parts.append(deal(*a)) or parts[-1], raising=False)
+    df = _messages(spark)
+    counts, totals = online_text.fit_batch_nb(df, text="text", label="y")
+    assert parts and parts[0].rdd.getNumPartitions() > 8
+    n = df.filter("text <> ''").select(F.explode(F.split("text", " ")).alias("w")).count()
+    assert totals["t0"] + totals["t1"] == n == counts.agg(F.sum(F.col("n0") + F.col("n1"))).first()[0]
