@@ -15,9 +15,8 @@ from lodeline.operators.windows import stratified_split, walk_forward
 from lodeline.plans.layout import spread, waves
 from lodeline.session import stored
 
-# Forests trained at once, while the rows times trees that all of them hold stay below a limit.
+# Forests trained at once.
 FITS_AT_ONCE = 4
-HELD_SAMPLES = 400_000_000
 # Rows of one task that trains or scores.
 FIT_ROWS, SCORE_ROWS = 1_000_000, 100_000
 
@@ -71,18 +70,14 @@ def batch_score(model, df: DataFrame, *, keep: Sequence[str]) -> DataFrame:
 def _binary_auc(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, trees: int, seed: int):
     """AUC of a forest on the test rows, or None for a one-class test part."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
 
-    model = Pipeline(
-        stages=[
-            VectorAssembler(inputCols=list(features), outputCol="_features"),
-            RandomForestClassifier(featuresCol="_features", labelCol=label, numTrees=trees, seed=seed),
-        ]
-    ).fit(spread(train.select(label, *features)))
-    scored = model.transform(test).select(label, vector_to_array("probability")[1].alias("score"))
-    return roc_auc(scored, score="score", label=label).first()["auc"]
+    from lodeline.operators.forest import BinaryForest
+
+    forest = BinaryForest(features=features, label=label, trees=trees, seed=seed)
+    model = Pipeline(stages=[forest]).fit(spread(train.select(label, *features)))
+    # Rows of one part may lie in few files. Scores are read more than once.
+    scored = model.transform(waves(test.select(label, *features), SCORE_ROWS)).select(label, "score")
+    return roc_auc(stored(scored, "scored"), score="score", label=label).first()["auc"]
 
 
 def leakage_gap_report(
@@ -104,7 +99,9 @@ def leakage_gap_report(
     """
     spark = honest.sparkSession
     cols = lambda df, fs: df.select(key, *order, label, *fs).fillna(0, list(fs))
-    h = stored(walk_forward(cols(honest, honest_features), order=[*order, key], n_splits=n_splits), "honest")
+    # The split reads its rows more than once.
+    h = stored(cols(honest, honest_features), "features")
+    h = stored(walk_forward(h, order=[*order, key], n_splits=n_splits), "honest")
     s = stored(cols(shortcut, shortcut_features), "shortcut")
     jobs = []
     for fold in range(n_splits):
@@ -121,8 +118,7 @@ def leakage_gap_report(
         setting, i, train, test, features = job
         return setting, i, _binary_auc(train, test, features, label, trees, 42)
 
-    at_once = max(1, min(FITS_AT_ONCE, HELD_SAMPLES // max(1, trees * s.count())))
-    with ThreadPoolExecutor(at_once) as pool:
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
         rows = [f.result() for f in [pool.submit(inheritable_thread_target(one), j) for j in jobs]]
     per = spark.createDataFrame([r for r in rows if r[2] is not None], "setting string, fold int, auc double")
     fold = F.lit(None).cast("int").alias("fold")
