@@ -9,6 +9,7 @@ from lodeline.catalog.fixtures import ARRIVAL, RAT, RAW, r6, ratings, raw_rating
 from lodeline.catalog.timeline import HELD, TIME_ORDER
 from lodeline.operators import recsys, windows
 from lodeline.operators.aggregates import topk_per_group
+from lodeline.session import stored
 
 
 def _recommend_sql(source: str, k: int, n: int) -> str:
@@ -67,6 +68,7 @@ TRAIN = f"""{RAW}, {HELD}, tr AS (SELECT "user", item, CAST(sum(rating) AS BIGIN
       (SELECT 1 FROM liked l WHERE l."user" = r."user" AND l.item = r.item AND l.rating >= 4)""")
 def _(spark, sf):
     marked = windows.last_n_holdout(raw_ratings(spark, sf), user="user", order=TIME_ORDER, n=5)
+    marked = stored(marked.select("user", "item", "rating", "held"), "marked")
     recs = recsys.recommend(recsys.user_item(marked.filter(~F.col("held"))), topn=5)
     return recsys.relevant_hits(recs, marked.filter("held")).select("user", "item")
 

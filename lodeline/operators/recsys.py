@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,9 +19,13 @@ LIST_ROWS = 2_000
 # Products that one task of the search adds up, on average.
 TASK_PAIRS = 2_000_000
 TASK_BLOCKS = 4
+# Users who ask for an item are sent one by one if there are so many times more blocks than of them.
+FEW = 4
 # A user with more items is searched by joins.
 LONG_USER = 5_000
-CHUNK_PAIRS = 4_000_000
+# Products that are added up at a time, and those of one round of the search, whose shuffle is removed before the next.
+CHUNK_PAIRS = 250_000
+ROUND_PAIRS = 1_500_000_000
 SIM_DIGITS = 9
 # Rounding and the order of sums stay within this; bounds are compared with it in hand.
 SLACK = 1e-8
@@ -36,16 +42,36 @@ def _squares(ratings: DataFrame) -> DataFrame:
     return ratings.join(squares, "user").select("user", "item", "rating", "sq")
 
 
+INTEGERS = {"tinyint": 7, "smallint": 15, "int": 31, "bigint": 63}
+
+
 def _narrowed(df: DataFrame, *cols: str) -> DataFrame:
-    """The columns in the smallest numeric type that holds all their values exactly, else as they are."""
-    order = ("tinyint", "smallint", "int", "float")
-    fits = {(c, t): F.bool_and(F.coalesce(F.col(c).try_cast(t) == F.col(c), F.lit(False))) for c in cols for t in order}
-    # A long beside a float would be compared as floats.
-    whole = [c for c in cols if df.schema[c].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")]
-    fits = {k: v for k, v in fits.items() if k[1] != "float" or k[0] not in whole}
-    found = df.agg(*[v.alias(f"{c}:{t}") for (c, t), v in fits.items()]).first()
-    best = {c: next((t for t in order if (c, t) in fits and found[f"{c}:{t}"]), None) for c in cols}
-    return df.withColumns({c: F.col(c).cast(t) for c, t in best.items() if t})
+    """The columns in the smallest numeric type that holds all their values exactly, else as they are.
+
+    Bounds and comparisons find it: a cast that fails costs more than all the rest of a row.
+    """
+    types = {c: df.schema[c].dataType.simpleString() for c in cols}
+    checks = [F.count("*").alias("rows")]
+    for c in cols:
+        x = F.col(c)
+        checks += [F.count(x).alias(f"{c}:n"), F.min(x).alias(f"{c}:min"), F.max(x).alias(f"{c}:max")]
+        if types[c] not in INTEGERS:
+            checks.append(F.bool_and((F.rint(x) if types[c] in ("double", "float") else F.floor(x)) == x).alias(f"{c}:whole"))
+        if types[c] == "double":
+            checks.append(F.bool_and(x.cast("float").cast("double") == x).alias(f"{c}:float"))
+    found = df.agg(*checks).first().asDict()
+
+    def best(c: str) -> str | None:
+        if not found["rows"] or found[f"{c}:n"] < found["rows"]:
+            return None
+        if found.get(f"{c}:whole", True):
+            for t in ("tinyint", "smallint", "int"):
+                if -(2 ** INTEGERS[t]) <= found[f"{c}:min"] and found[f"{c}:max"] < 2 ** INTEGERS[t]:
+                    return t
+        return "float" if found.get(f"{c}:float") else None
+
+    chosen = {c: best(c) for c in cols}
+    return df.withColumns({c: F.col(c).cast(t) for c, t in chosen.items() if t})
 
 
 def user_neighbors(
@@ -68,9 +94,14 @@ def user_neighbors(
     squares = stored(_squares(stored(ratings, "ratings")), "squares")
     weight = (F.col("rating") / F.sqrt("sq")).alias("w")
     weights = squares.select("user", "item", weight)
-    placed = row_positions(squares, ["item"], [-weight, "user"], "pos", "n").withColumn("w", weight)
-    placed = stored(placed.withColumn("slice", F.floor((F.col("pos") - 1) / list_rows)), "placed")
-    popular = (placed.agg(F.max("n")).first()[0] or 0) > list_rows
+    raters = squares.groupBy("item").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    popular = raters > list_rows
+    if popular:
+        placed = row_positions(squares, ["item"], [-weight, "user"], "pos", "n").withColumn("w", weight)
+        placed = stored(placed.withColumn("slice", F.floor((F.col("pos") - 1) / list_rows)), "placed")
+    else:
+        # Every item has one list.
+        placed = squares.select("*", weight, F.lit(0).cast("long").alias("slice"))
     # Lists are what is sent most: a rating and the user's sum of squares take less room than a weight, and equal
     # ratings side by side next to nothing.
     small = _narrowed(placed.select("item", "slice", "w", "rating", "sq", "user"), "rating", "sq", "user")
@@ -79,11 +110,15 @@ def user_neighbors(
     columns = [F.col(f"e.{c}").alias(n) for c, n in (("user", "users"), ("rating", "ratings"), ("sq", "squares"))]
     lists = stored(entries.select("item", "slice", "top", *columns), "lists")
     first = lists.where("slice = 0").drop("slice", "top")
-    left = lists.where("slice = 1").select("item", F.col("top").alias("rest"))
+    if popular:
+        first = first.join(lists.where("slice = 1").select("item", F.col("top").alias("rest")), "item", "left")
+    else:
+        first = first.withColumn("rest", F.lit(None).cast("double"))
     long_ids = weights.groupBy("user").agg(F.count("*").alias("n")).where(F.col("n") > long_user).select("user")
-    usual = weights.join(long_ids, "user", "left_anti")
+    any_long = bool(long_ids.head(1))
+    usual = weights.join(long_ids, "user", "left_anti") if any_long else weights
 
-    found = stored(_search(usual, first.join(left, "item", "left"), k, task_pairs), "found")
+    found = _search(usual, first, k, task_pairs)
     pairs = [found.where(F.col("state") == EXACT).drop("state")]
     if popular:
         pairs.append(_completed(found.where(F.col("state") == PARTIAL).drop("state"), placed, list_rows))
@@ -91,7 +126,8 @@ def user_neighbors(
         again = weights.join(unsure, "user", "left_semi")
         every = lists.select("item", "users", "ratings", "squares", F.lit(None).cast("double").alias("rest"))
         pairs.append(_search(again, every, k, task_pairs).drop("state"))
-    pairs.append(_by_joins(weights.join(long_ids, "user", "left_semi"), weights))
+    if any_long:
+        pairs.append(_by_joins(weights.join(long_ids, "user", "left_semi"), weights))
     both = pairs[0]
     for more in pairs[1:]:
         both = both.unionByName(more)
@@ -108,21 +144,33 @@ def _search(queries: DataFrame, lists: DataFrame, k: int, task_pairs: int) -> Da
     """
     asked = queries.groupBy("item").agg(F.count("*").alias("n"))
     sizes = lists.groupBy("item").agg(F.sum(F.size("users")).alias("m"))
-    total = asked.join(sizes, "item").agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+    total, most = asked.join(sizes, "item").agg(F.sum(F.col("n") * F.col("m")), F.max("n")).first()
+    total, most = total or 0, most or 0
     blocks = max(1, -(-total // task_pairs))
+    rounds = min(blocks, max(1, -(-total // ROUND_PAIRS)))
     block = F.pmod(F.xxhash64("user"), F.lit(blocks)).cast("int")
-    grouped = queries.groupBy("item", block.alias("block")).agg(F.collect_list(F.struct("user", "w")).alias("q"))
-    grouped = grouped.select("item", "block", F.col("q.user").alias("q_users"), F.col("q.w").alias("q_ws"))
-    met = grouped.join(lists, "item").select("block", "q_users", "q_ws", "users", "ratings", "squares", "rest")
+    queries = queries.withColumn("block", block)
     # Tasks of a few blocks sort what they get in memory, however many blocks there are.
-    tasks = -(-blocks // TASK_BLOCKS)
-    if tasks > int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")):
-        met = met.repartition(tasks, "block")
+    tasks = -(-blocks // (TASK_BLOCKS * rounds))
 
     def run(table: pa.Table) -> pa.Table:
         return _block_best(table, k)
 
-    return met.groupBy("block").applyInArrow(run, "user long, neighbor long, sim double, state int")
+    found = []
+    for i in range(rounds):
+        mine = queries.where(F.col("block") % rounds == i)
+        if most * FEW <= blocks:
+            # Hardly two users of a block share an item.
+            grouped = mine.select("item", "block", F.array("user").alias("q_users"), F.array("w").alias("q_ws"))
+        else:
+            grouped = mine.groupBy("item", "block").agg(F.collect_list(F.struct("user", "w")).alias("q"))
+            grouped = grouped.select("item", "block", F.col("q.user").alias("q_users"), F.col("q.w").alias("q_ws"))
+        met = grouped.join(lists, "item").select("block", "q_users", "q_ws", "users", "ratings", "squares", "rest")
+        if tasks > int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+            met = met.repartition(tasks, "block")
+        best = met.groupBy("block").applyInArrow(run, "user long, neighbor long, sim double, state int")
+        found.append(stored(best, "found"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def _ragged(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,14 +211,21 @@ def _block_best(table: pa.Table, k: int) -> pa.Table:
 
 def _best(users, u, other, product, missing, k):
     """Sums of ``product`` per user (index ``u``) and other user, and what of them has to be kept."""
-    names, v = np.unique(other, return_inverse=True)
-    key = u * len(names) + v
+    low = int(other.min()) if len(other) else 0
+    width = (int(other.max()) - low if len(other) else 0) + 1
+    names = None
+    if width * max(1, len(users)) < 2**62:
+        v = other.astype(np.int64) - low
+    else:
+        names, v = np.unique(other, return_inverse=True)
+        width = len(names)
+    key = u * width + v
     order = np.argsort(key, kind="stable")
     key = key[order]
     new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.array([], int)
     sim = np.add.reduceat(product[order], new) if len(key) else product
-    u, v = np.divmod(key[new], max(1, len(names)))
-    other = names[v]
+    u, v = np.divmod(key[new], width)
+    other = v + low if names is None else names[v]
     real = (users[u] != other) & (sim > 0)
     u, other, sim = u[real], other[real], sim[real]
     bounds = np.searchsorted(u, np.arange(len(users) + 1))

@@ -7,6 +7,8 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from lodeline.operators import recsys
+from lodeline.session import CLEANUP
+from lodeline.session import stored as _stored
 
 
 @pytest.fixture(scope="module")
@@ -124,3 +126,36 @@ def test_unseen_items_in_the_same_shuffle(ratings, monkeypatch):
     assert rows(found, "user", "item", "score") == rows(plain, "user", "item", "score")
     fused = recsys.candidate_items(neighbors, ratings, unseen=True)
     assert rows(fused, "user", "item", "score") == rows(recsys.unseen_items(found, ratings), "user", "item", "score")
+
+
+def test_search_in_rounds_removes_its_shuffles(spark, ratings, monkeypatch):
+    """Rounds give the same neighbors, and what they shuffled is gone when they end."""
+    kept = []
+    monkeypatch.setattr(recsys, "ROUND_PAIRS", 300)
+    monkeypatch.setattr(recsys, "stored", lambda df, name: kept.append(name) or _stored(df, name))
+    made = recsys.user_neighbors(ratings, k=5, list_rows=20, task_pairs=100)
+    assert kept.count("found") > 4
+    assert rows(made, "user", "neighbor", "sim") == brute_neighbors(ratings.collect(), 5)
+
+
+def test_stored_removes_what_it_shuffled(spark):
+    def blocks():
+        status = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(f.getName().startswith("shuffle_") for f in (status.apply(i) for i in range(status.size())))
+
+    before, setting = blocks(), spark.conf.get(CLEANUP)
+    df = spark.range(1_000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("s"))
+    again = _stored(df, "sums")
+    assert blocks() <= before and spark.conf.get(CLEANUP) == setting
+    assert again.count() == 7 and df.count() == 7
+
+
+def test_narrowing_by_bounds(spark):
+    """Types are found without a cast that fails: no row raises, and values on the edge keep their value."""
+    edge = spark.createDataFrame([(127, 32767, 2**31 - 1, 0.5, 3.0, 0.1), (-128, -32769, -(2**31), -2.0, -4.0, 1.0)], "a long, b long, c long, d double, e double, f double")
+    plan_free = recsys._narrowed(edge, *edge.columns)
+    assert [t for _, t in plan_free.dtypes] == ["tinyint", "int", "int", "float", "tinyint", "double"]
+    assert rows(plan_free) == rows(edge)
+    beyond = spark.createDataFrame([(128, 2**31, float("nan"), None), (0, 0, 1.0, 1.0)], "a long, b long, d double, e double")
+    assert [t for _, t in recsys._narrowed(beyond, *beyond.columns).dtypes] == ["smallint", "bigint", "float", "double"]
+    assert recsys._narrowed(beyond.limit(0), "a").schema["a"].dataType.simpleString() == "bigint"
