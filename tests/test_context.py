@@ -224,3 +224,28 @@ def test_exact_settles_items_by_their_price(spark):
     sizes = {r["g"]: (r["n"], r["l"]) for r in open_.groupBy("g").agg(F.count("*").alias("n"), F.max("limit").alias("l")).collect()}
     assert all(n < 100 and left < 60_000 for n, left in sizes.values()), sizes
     assert sure.count() > 400
+
+
+def test_exact_rows_stay_short(spark, monkeypatch):
+    """No row holds the table of a budget, and a table ends where all items behind its block are taken."""
+    monkeypatch.setattr(knapsack, "RANGE", 40)
+    monkeypatch.setattr(knapsack, "ROW", 10)
+    kept, keep = [], knapsack.stored
+
+    def spy(df, name):
+        made = keep(df, name)
+        if name == "tables":
+            kept.append(made.agg(F.max(F.size("t")).alias("row"), F.max(F.col("u") * 10 + F.size("t")).alias("end"), F.min("u").alias("u")).first())
+        return made
+
+    monkeypatch.setattr(knapsack, "stored", spy)
+    data = [("a", i, 1.0 + (i * 7 % 11) / 1000, 20 + i * 5 % 7, 400) for i in range(40)]
+    df = spark.createDataFrame(data, "g string, id long, s double, t long, b long")
+    monkeypatch.setattr(knapsack, "_settled", lambda items: (items.select("g", "rank").limit(0), items))
+    got = knapsack.exact_budget_select(df, group=["g"], score="s", id="id", tokens="t", budget="b", block_items=4)
+    ranked = sorted(data, key=lambda r: (-r[2], r[1]))
+    picks = []
+    need = np.array([r[3] for r in ranked])
+    knapsack._walk(np.array([round(r[2] * 1e9) for r in ranked]), need, np.zeros(401, np.int64), np.array([400]), picks)
+    assert sorted(r["rank"] - 1 for r in got.collect()) == picks
+    assert len(kept) > 4 and max(k["row"] for k in kept) <= 10 and kept[0]["end"] < 150 and kept[0]["u"] == 0
