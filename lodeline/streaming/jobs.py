@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,6 +101,8 @@ def latest_updates(spark, path: str, schema: T.StructType, keys: Sequence[str])
 
 # Frames of rolling features that are worked out at a time.
 FRAMES = 50_000
+# States that the sessions of a stream share.
+BUCKETS = 128
 
 
 def _frames(values: np.ndarray, ends: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,9 +115,17 @@ def _frames(values: np.ndarray, ends: np.ndarray, rows: int) -> tuple[np.ndarray
         return np.sqrt(((frames - mean[:, :, None]) ** 2).sum(axis=2) / (rows - 1)), mean
 
 
+def _packed(df: pd.DataFrame) -> bytes:
+    batch = pa.RecordBatch.from_pandas(df, preserve_index=False)
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
 def rolling_features(
     stream: DataFrame, *, keys: Sequence[str], order: Sequence[str], cols: Sequence[str], rows: int = 10,
-    idle: str | None = None, late: str | None = None,
+    idle: str | None = None, late: str | None = None, buckets: int = BUCKETS,
 ) -> DataFrame:
     """Stddev and mean of the last ``rows`` readings of a session, from the ``rows``-th on.
 
@@ -124,57 +135,85 @@ def rolling_features(
     event time, however files and micro-batches cut them: they wait in the state until the
     watermark has passed them. Without it a micro-batch must not hold readings older than
     those already seen of the session.
+
+    Sessions share ``buckets`` states by a hash of their keys: a call handles all sessions of a bucket as arrays,
+    since a call per session costs more than its few readings. The number belongs to the checkpoint.
     """
     names = [f"{c}_{k}" for c in cols for k in ("std", "mean")]
     fields = {f.name: f for f in stream.schema.fields}
+    # Python holds whole numbers with gaps as doubles, so missing ones are marked beside them.
+    marks = {k: f"_no_{k}" for k in keys if isinstance(fields[k].dataType, T.IntegralType)}
+    ids = [*keys, *marks.values()]
     out_schema = T.StructType(
-        [fields[k] for k in keys] + [fields[order[-1]]] + [T.StructField(n, T.DoubleType()) for n in [*names, "texture_score"]]
-    )
-    rows_type = T.ArrayType(T.ArrayType(T.DoubleType()))
-    state_schema = T.StructType(
-        [T.StructField("buffer", rows_type), T.StructField("held", rows_type), T.StructField("held_last", T.ArrayType(fields[order[-1]].dataType))]
+        [fields[k] for k in keys] + [T.StructField(m, T.BooleanType()) for m in marks.values()] + [fields[order[-1]]]
+        + [T.StructField(n, T.DoubleType()) for n in [*names, "texture_score"]]
     )
+    state_schema = T.StructType([T.StructField("readings", T.BinaryType())])
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
     order, cols, last = list(order), list(cols), order[-1]
+    # Keys, columns and the last of ``order`` may share names.
+    values, slots = [f"_v{i}" for i in range(len(cols))], [f"_k{i}" for i in range(len(ids))]
 
-    # A session has few readings per call and is called in every micro-batch, so what a call costs by itself counts.
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old, held, held_last = ([list(r) for r in state.get[0]], [list(r) for r in state.get[1]], list(state.get[2])) if state.exists else ([], [], [])
+        parts = [pa.ipc.open_stream(state.get[0]).read_pandas()] if state.exists else []
         if not state.hasTimedOut:
             for pdf in batches:
-                ms = pdf[order[0]].to_numpy().astype("datetime64[us]").astype(np.int64) / 1000.0
-                held += np.column_stack([ms, *[pdf[c].to_numpy(np.float64) for c in cols]]).tolist()
-                held_last += pdf[last].tolist()
-        passed = state.getCurrentWatermarkMs() if late else float("inf")
-        at = sorted(range(len(held)), key=lambda i: (held[i][0], held_last[i]))
-        n = sum(r[0] < passed for r in held)
-        new, new_last = [held[i] for i in at[:n]], [held_last[i] for i in at[:n]]
-        held, held_last = [held[i] for i in at[n:]], [held_last[i] for i in at[n:]]
-        if not new and not held:
-            state.remove()  # a pause has ended the session
-            return
-        keep = (old + new)[-(rows - 1) :]
-        state.update((keep, held, held_last))
-        if held:
-            state.setTimeoutTimestamp(int(max(passed, held[0][0])) + 1)
-        elif idle_ms and keep:
-            state.setTimeoutTimestamp(max(int(keep[-1][0]) + idle_ms, state.getCurrentWatermarkMs() + 1))
-        if len(old) + len(new) < rows:
+                made = {n: pdf[k] for n, k in zip(slots, ids)}
+                made["_ms"] = pdf[order[0]].to_numpy().astype("datetime64[us]").astype(np.int64) / 1000.0
+                made |= {"_last": pdf[last], "_seen": False, **{n: pdf[c].to_numpy(np.float64) for n, c in zip(values, cols)}}
+                parts.append(pd.DataFrame(made))
+        parts = [p for p in parts if len(p)]
+        if not parts:
+            state.remove()
             return
-        values = np.array(old + new)
-        place = np.arange(len(values))
+        watermark = state.getCurrentWatermarkMs() if late or idle else 0
+        passed = watermark if late else float("inf")
+        every = pd.concat(parts, ignore_index=True)
+        waiting = every[~every["_seen"]].sort_values(["_ms", "_last"], kind="stable")
+        held, new = waiting[waiting["_ms"] >= passed], waiting[waiting["_ms"] < passed]
+        ready = pd.concat([every[every["_seen"]], new], ignore_index=True)
+        code = ready.groupby(slots, dropna=False, sort=False).ngroup().to_numpy()
+        by_session = np.argsort(code, kind="stable")
+        ready, code = ready.iloc[by_session].reset_index(drop=True), code[by_session]
+        n = np.arange(len(ready))
+        is_first = np.diff(code, prepend=-1) != 0
+        ends = np.append(np.flatnonzero(is_first)[1:], len(ready))
+        end = ends[np.cumsum(is_first) - 1] if len(ready) else n
+        fresh, ms = is_first.copy(), ready["_ms"].to_numpy()
         if idle_ms:
             # A pause longer than ``idle`` starts the session anew; no frame may reach across it.
-            fresh = np.diff(values[:, 0], prepend=values[0, 0]) > idle_ms
-            place = place - np.maximum.accumulate(np.where(fresh, place, 0))
-        full = np.flatnonzero(place >= rows - 1)
-        full = full[full >= len(old)]
-        # ``full`` rows at a time have all their frames in memory.
+            fresh |= np.diff(ms, prepend=ms[:1]) > idle_ms
+        place = n - np.maximum.accumulate(np.where(fresh, n, 0))
+        full = np.flatnonzero((place >= rows - 1) & ~ready["_seen"].to_numpy(bool))
+
+        keep = end - n <= rows - 1
+        if idle_ms:
+            # Sessions whose pause is over, unless readings of theirs wait.
+            wait = set(held[slots].astype(object).itertuples(index=False, name=None))
+            over = keep & (ms[np.maximum(end - 1, 0)] + idle_ms < watermark)
+            for i in np.flatnonzero(over):
+                over[i] = tuple(ready.loc[i, slots].astype(object)) not in wait
+            keep &= ~over
+        kept = ready[keep].assign(_seen=True)
+        due = []
+        if len(held):
+            due.append(int(max(passed, held["_ms"].iloc[0])) + 1)
+        if idle_ms and keep.any():
+            due.append(max(int(ms[keep & (n == end - 1)].min()) + idle_ms, watermark + 1))
+        if len(kept) or len(held):
+            state.update((_packed(pd.concat([p for p in (kept, held) if len(p)], ignore_index=True)),))
+            if due:
+                state.setTimeoutTimestamp(min(due))
+        else:
+            state.remove()
+
+        readings = ready[values].to_numpy(np.float64)
+        # ``FRAMES`` rows at a time have all their frames in memory.
         for lo in range(0, len(full), FRAMES):
-            ends = full[lo : lo + FRAMES]
-            std, mean = _frames(values[:, 1:], ends, rows)
-            made = {k: [v] * len(ends) for k, v in zip(keys, key)}
-            made[last] = [new_last[i] for i in (ends - len(old)).tolist()]
+            at = full[lo : lo + FRAMES]
+            std, mean = _frames(readings, at, rows)
+            some = ready.iloc[at]
+            made = {k: some[n].to_numpy() for n, k in zip(slots, ids)} | {last: some["_last"].to_numpy()}
             for i, c in enumerate(cols):
                 made[f"{c}_std"], made[f"{c}_mean"] = std[:, i], mean[:, i]
             known = ~np.isnan(std)
@@ -182,10 +221,14 @@ def rolling_features(
                 made["texture_score"] = np.where(known, std, 0.0).sum(axis=1) / known.sum(axis=1)
             yield pd.DataFrame(made)
 
-    slim = stream.select(*keys, *order, *cols)
+    slim = stream.select(*dict.fromkeys([*keys, *order, *cols]))
     slim = slim.withWatermark(order[0], late or idle) if late or idle else slim
+    slim = slim.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    slim = slim.withColumns({m: F.col(k).isNull() for k, m in marks.items()})
+    slim = slim.withColumns({k: F.coalesce(k, F.lit(0).cast(fields[k].dataType)) for k in marks})
     forget = GroupStateTimeout.EventTimeTimeout if late or idle else GroupStateTimeout.NoTimeout
-    return slim.groupBy(*keys).applyInPandasWithState(step, out_schema, state_schema, "append", forget)
+    made = slim.groupBy("_bucket").applyInPandasWithState(step, out_schema, state_schema, "append", forget)
+    return made.withColumns({k: F.when(~F.col(m), F.col(k)) for k, m in marks.items()}).drop(*marks.values())
 
 
 def memory_upserts(

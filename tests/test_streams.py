@@ -152,3 +152,17 @@ def test_frames_equal_pandas():
     rolled = pd.DataFrame(values).rolling(10, min_periods=10)
     np.testing.assert_allclose(std, rolled.std().to_numpy()[ends], atol=1e-9)
     np.testing.assert_allclose(mean, rolled.mean().to_numpy()[ends], atol=1e-9)
+
+
+def test_sessions_share_states(spark):
+    """The states, and so the calls of a micro-batch, do not grow with the sessions; missing keys are a session too."""
+    data = [(None if i % 40 == 7 else i % 40, None if i % 3 == 0 else "s", i, i * 20, float(i * 7 % 11)) for i in range(1_600)]
+    df = spark.createDataFrame(data, "device long, session string, off long, s long, x double")
+    df = df.withColumn("at", F.timestamp_seconds(F.col("s") + 1_700_000_000)).drop("s")
+    out = work_dir(spark, "shared")
+    made = jobs.rolling_features(feed(spark, df, "off", 3), keys=["device", "session"], order=["at", "off"], cols=["x"], buckets=5)
+    run(jobs.write_files(made, f"{out}/rows", f"{out}/c"))
+    want = rolling_stats(df, keys=["device", "session"], order=["at", "off"], cols=["x"])
+    cols = ["device", "session", "off", *[F.round(c, 6) for c in ("x_std", "x_mean", "texture_score")]]
+    assert rows(spark.read.parquet(f"{out}/rows"), *cols) == rows(want, *cols)
+    assert spark.read.format("statestore").load(f"{out}/c").count() <= 5
